@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from docmill.llm.bpe import op3_bpe
 from docmill.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from docmill.llm.mixing import OP1_SQL, op1_mixing
+from docmill.llm.near_dedup import OP5_SQL, op5_near_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_near_dedup": op5_near_dedup,
 }
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL}
