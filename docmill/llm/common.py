@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 import tempfile
+import uuid
 
 import numpy as np
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,15 +30,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(root)
+        root = spark.sparkContext.getCheckpointDir()
+    return root
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from those files; survives lost executors.
+    """Write ``df`` as a table in the shared folder and go on from that: no lineage, survives lost executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+    The table goes when the application ends (or by :func:`drop`); its statistics are those of its files.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`cut` wrote and nothing reads any more."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "_cut_path", None)):
+            sc = t.sparkSession.sparkContext
+            hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -69,18 +93,15 @@ def running(ordered: DataFrame, value: str, name: str) -> DataFrame:
     return ordered.withColumn(name, inside).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
-class WordHashes(dict):
-    """64-bit hash of a word; keeps the first ``most`` words, which in any language are most of the text."""
-
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.most:
-            self[word] = h
-        return h
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LETTER = np.random.default_rng(3).integers(1, 2**63, 256, np.uint64)
+_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Longest stretch of a text that is hashed at once; longer texts are cut at white space.
+_BLOCK = 1 << 18
+_POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_BLOCK, _BASE)])
+_INVERSE = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_BLOCK, np.uint64(pow(int(_BASE), -1, 1 << 64)))])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -90,18 +111,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in order, A-Z as a-z: differences of a running polynomial hash."""
+    if len(text) > _BLOCK:
+        at = max(text.rfind(c, 0, _BLOCK) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if at <= 0:  # a word longer than a block
+            end = next((i for i in range(_BLOCK, len(text)) if _BLANK[text[i]]), len(text))
+            own = np.frombuffer(hashlib.blake2b(text[:end].lower().strip(b" \n\t\r\x0b\x0c"), digest_size=8).digest(), np.uint64)
+            return np.concatenate([own, word_hashes(text[end:])])
+        parts = []
+        while len(text) > _BLOCK and at > 0:
+            parts.append(word_hashes(text[:at]))
+            text = text[at:]
+            at = max(text.rfind(c, 0, _BLOCK) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        return np.concatenate([*parts, word_hashes(text)])
+    data = np.frombuffer(text, np.uint8)
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _BLANK[data]
+    ends = np.flatnonzero(blank[1:] != blank[:-1])
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * _POWERS[: len(data)], out=total[1:])
+    return mixed((total[ends[1::2]] - total[ends[::2]]) * _INVERSE[ends[::2]])
+
+
+def shingles(text: bytes | None, k: int) -> np.ndarray:
     """The set of hashed k-word shingles, sorted. Fewer words than k: the whole sequence is one; none: empty."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text or b"")
+    if not len(h):
+        return h
     width = min(k, len(h))
     n = len(h) - width + 1
     acc = np.full(n, width, np.uint64)
     for i in range(width):
         acc = mixed(acc + h[i : i + n])
-    return np.unique(acc)
+    acc.sort()
+    return acc[np.r_[True, acc[1:] != acc[:-1]]]
 
 
 def universal(count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import cut
+from docmill.llm.common import cut, drop
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,21 +14,21 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large star: every node hands its larger neighbours to its smallest one. Small star: it hands its smaller
     neighbours to the smallest. A round is two grouped minima and two joins on narrow integer rows; nodes
     with very many links are partially aggregated and their join is one that adaptive execution may split. Each step
-    is cut. Self links are allowed, null ends are ignored, an empty table gives no rows.
+    is cut. With fewer ``most_rounds`` than it takes, nodes of one component may have different ones, never the reverse. Self links are allowed, null ends are ignored, an empty table gives no rows.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND u > v").distinct())
+    seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large.where("u > v"))
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select("u", "v", "m")
-        small = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        small = cut(small)
-        same = small.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() == edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        drop(edges, low, large, least)
         edges = small
-        if same:
+        last, seen = seen, tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if last == seen:
             break
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import WordHashes, cut, minhash, shingles, shipped, table, universal
+from docmill.llm.common import cut, minhash, shingles, shipped, table, universal
 
 shipped(__name__)
 
@@ -24,11 +24,11 @@ class Fingerprinter:
     (the upper ones are near 0 in all long texts); empty set: ''."""
 
     def __init__(self, k: int = 5, permutations: int = PERMUTATIONS):
-        self.k, self.hashes = k, WordHashes()
+        self.k = k
         self.a, self.b = universal(permutations, seed=23)
 
     def values(self, text: str) -> np.ndarray | None:
-        own = shingles(text.encode(), self.k, self.hashes)
+        own = shingles(text.encode(), self.k)
         return minhash(own, self.a, self.b).astype(np.uint16).astype(">u2") if len(own) else None
 
     @staticmethod

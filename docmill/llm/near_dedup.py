@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import WordHashes, cut, minhash, shingles, shipped, table, universal
+from docmill.llm.common import cut, minhash, shingles, shipped, table, universal
 from docmill.llm.components import components
 
 shipped(__name__)
@@ -24,13 +25,10 @@ FILTER_BITS = 1 << 22
 
 def _sets(batches, k: int, values: int):
     a, b = universal(values)
-    hashes = WordHashes()
-    import xxhash
-
     for batch in batches:
         n, keys, signatures = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
-            own = shingles(text, k, hashes)
+            own = shingles(text, k)
             n.append(len(own))
             keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             signatures.append(minhash(own, a, b).astype(">u4").tobytes() if len(own) else None)
@@ -44,13 +42,10 @@ def shingle_sets(docs: DataFrame, k: int, values: int = VALUES) -> DataFrame:
 
 
 def _full_sets(batches, k: int):
-    hashes = WordHashes()
-    import xxhash
-
     for batch in batches:
         keys, own = [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
-            s = shingles(text, k, hashes)
+            s = shingles(text, k)
             if len(s):
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 own.append(s.view(np.int64))
@@ -185,19 +180,22 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
         if crowded is not None:
             rows = rows.withColumn("_head", F.substring("label", 1, 4 * PREFIX))
             rows = rows.join(crowded, (rows._head == crowded._label) & (rows.ordering == crowded._ordering), "left_semi").drop("_head")
-        found = _scan(rows, tasks, reach)
-        found = cut(found)
+        found = cut(_scan(rows, tasks, reach))
         pairs = cut(found.where("kind = 0").select("a", "b").distinct())
         if pairs.count():
             new = cut(_confirmed(pairs, classes, docs, id_col, k, percent))
-            links = new if links is None else cut(links.unionByName(new))
-            grown = components(links).withColumnRenamed("component", "comp")
-            comps = cut(classes.select("node").join(grown, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+            if new.count():
+                links = new if links is None else links.unionByName(new)
+                grown = components(links, most_rounds=2).withColumnRenamed("component", "comp")
+                comps = cut(classes.select("node").join(grown, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
         if reach > 1:
             crowded = cut(found.where("kind = 1").select(F.col("ordering").alias("_ordering"), F.col("label").alias("_label")).distinct())
             if not crowded.count():
                 break
         reach *= 8 if reach > 1 else width
+    if links is not None:
+        grown = components(links).withColumnRenamed("component", "comp")
+        comps = classes.select("node").join(grown, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     known = classes.select("set_key", "first_id", "node").join(comps, "node")
     least = known.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     known = cut(known.join(least, "comp").select("set_key", "component_id"))
