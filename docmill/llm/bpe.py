@@ -7,6 +7,7 @@ import heapq
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,63 +26,89 @@ def byte_letters() -> list[str]:
 
 
 def vocabulary(path: str) -> dict:
-    """What encoding needs of a tokenizer file: ids, ranks of merges, word end, split pattern, special strings."""
+    """What encoding needs of a tokenizer file: ids of bytes within and at the end of words, merges by the pair of ids
+    with rank and result, split pattern, special strings, names of ids."""
     spec = json.load(open(path, encoding="utf-8"))
     model = spec["model"]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    ids, end = model["vocab"], model["end_of_word_suffix"] or ""
+    letters = byte_letters()
     return {
-        "ids": model["vocab"],
-        "ranks": {m: r for r, m in reversed(list(enumerate(merges)))},
-        "end": model["end_of_word_suffix"] or "",
+        "first": [ids[c] for c in letters],  # a vocabulary that lacks a byte can't be used
+        "last": [ids[c + end] for c in letters],
+        "pairs": {ids[a] << 17 | ids[b]: (r, ids[a + b]) for r, (a, b) in reversed(list(enumerate(merges)))},
         "pattern": split.replace(r"\s", r"\p{White_Space}"),
         "special": {t["content"]: t["id"] for t in spec["added_tokens"]},
+        "names": {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]},
     }
 
 
 class Encoder:
-    """Encodes and decodes texts; remembers the first ``most`` distinct chunks, which are most of any text."""
+    """Encodes and decodes texts. Remembers the first ``most`` distinct words, and half as many chunks (runs without
+    white space), which are most of any text."""
 
-    def __init__(self, vocab: dict, most: int = 120_000):
-        self.ids, self.ranks, self.end, self.most = vocab["ids"], vocab["ranks"], vocab["end"], most
-        self.special = vocab["special"]
+    def __init__(self, vocab: dict, most: int = 300_000):
+        self.first, self.last, self.pairs, self.names, self.special = (vocab[k] for k in ("first", "last", "pairs", "names", "special"))
         self.words = regex.compile(vocab["pattern"])
         self.space = regex.compile(r"\p{White_Space}+")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.letters = byte_letters()
-        self.names = {i: t for t, i in (self.ids | self.special).items()}
+        self.most = most
         self.known: dict[str, tuple[int, str, str] | None] = {}
+        self.known_words: dict[str, tuple[int, str, str]] = {}
 
-    def merged(self, word: str) -> list[str]:
+    def merged(self, word: str) -> list[int]:
         """Merge a word's symbols: a queue of (rank, place) over a doubly linked list, lowest rank first, then leftmost.
 
-        Entries whose symbols have changed since they were queued are stale and skipped."""
-        symbols: list[str | None] = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.end
-        n = len(symbols)
+        ``wanted`` holds the merge that each place may make now; queued entries of another rank are stale, skipped."""
+        data = word.encode()
+        symbols = [self.first[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        n, pairs = len(symbols), self.pairs
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := self.ranks.get((symbols[i], symbols[i + 1]))) is not None]
+        wanted = [pairs.get(symbols[i] << 17 | symbols[i + 1]) for i in range(n - 1)] + [None]
+        queue = [(m[0], i) for i, m in enumerate(wanted) if m]
         heapq.heapify(queue)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
-            j = after[i]
-            if j >= n or symbols[i] != left or symbols[j] != right:
+            rank, i = heapq.heappop(queue)
+            merge = wanted[i]
+            if merge is None or merge[0] != rank:
                 continue
-            symbols[i], symbols[j] = left + right, None
-            after[i] = k = after[j]
+            j = after[i]
+            k = after[i] = after[j]
+            symbols[i], symbols[j], wanted[j], wanted[i] = merge[1], -1, None, None
             if k < n:
                 before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b < n and (r := self.ranks.get((symbols[a], symbols[b]))) is not None:
-                    heapq.heappush(queue, (r, a, symbols[a], symbols[b]))
-        return [s for s in symbols if s is not None]
+                wanted[i] = m = pairs.get(symbols[i] << 17 | symbols[k])
+                if m:
+                    heapq.heappush(queue, (m[0], i))
+            h = before[i]
+            if h >= 0:
+                wanted[h] = m = pairs.get(symbols[h] << 17 | symbols[i])
+                if m:
+                    heapq.heappush(queue, (m[0], h))
+        return [x for x in symbols if x >= 0]
+
+    def word(self, word: str) -> tuple[int, str, str]:
+        found = self.known_words.get(word)
+        if found is None:
+            ids = self.merged(word)
+            found = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+            if len(self.known_words) < self.most and len(word) <= 32:
+                self.known_words[word] = found
+        return found
 
     def chunk(self, text: str) -> tuple[int, str, str] | None:
         """Number of tokens, ids and token strings of a text without white space; None if it has no token."""
-        folded = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        ids = [self.ids[s] for w in self.words.findall(folded) for s in self.merged(w) if s in self.ids]
-        found = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])) if ids else None
-        if len(self.known) < self.most and len(text) <= 64:
+        folded = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        parts = [self.word(w) for w in self.words.findall(folded)]
+        if len(parts) == 1:
+            found = parts[0]
+        elif parts:
+            found = (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
+        else:
+            found = None
+        if len(self.known) < self.most // 2 and len(text) <= 32:
             self.known[text] = found
         return found
 
@@ -107,18 +134,20 @@ class Encoder:
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
-def _encoded(batches, vocab, texts: bool):
+def _encoded(batches, vocab, texts: bool, step: int = 500):
     encoder = Encoder(vocab.value)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    for batch in batches:
-        out = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
-        columns = [batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64())]
-        if texts:
-            columns += [pa.array([[int(i) for i in x[1].split()] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
-        else:
-            columns += [pa.array([sha(x[1]) for x in out]), pa.array([sha(x[2]) for x in out])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):  # outputs are larger than texts: a few at a time
+            batch = whole.slice(at, step)
+            out = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64())]
+            if texts:
+                columns += [pa.array([np.array(x[1].split(), np.int32) for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+            else:
+                columns += [pa.array([sha(x[1]) for x in out]), pa.array([sha(x[2]) for x in out])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
