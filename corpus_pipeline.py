@@ -1,13 +1,55 @@
-"""A corpus pipeline: stages over ``documents``, each one operator of ``docmill.llm``."""
+"""A corpus pipeline: stages over ``documents``, each one operator of ``docmill.llm``, at production parameters.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of ``documents``. A runner writes each stage's result as Parquet and reads it again as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from docmill.llm.bpe import encode_documents, word_bpe_path
+from docmill.llm.common import table
+from docmill.llm.exact_dedup import exact_dedup
+from docmill.llm.mixing import mixed_documents
+from docmill.llm.near_dedup import near_dedup
+from docmill.llm.quality import classify, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score of 0.3 or more); it learns from labels of its own input."""
+    rules = train(docs, table(spark, sf_dir, "labels"))
+    return classify(docs, rules).where("predicted = 1").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return near_dedup(docs, k=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their targets; a document that is taken twice is there twice."""
+    return mixed_documents(docs, weights=(5, 2, 1), share=1.5, most=2)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded text of every document of the mix."""
+    return encode_documents(docs, word_bpe_path())
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixing), ("bpe", bpe)]
+
+#: A trained classifier decides the first stage, so no SQL has these rows; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
