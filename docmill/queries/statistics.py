@@ -47,20 +47,20 @@ def _(spark, sf):
     return ag.index_statistics(c, checks.first_index_error(F.col("chunk_id"), F.col("document_id").cast("string"), F.col("text"), F.col("document_name"), F.col("category")))
 
 
-@query("a8_keywords_of_chunks", f"""WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT chunk_id, regexp_extract_all(text, '\\b([a-zA-Z][a-zA-Z\\-'']*)\\b', 1) AS ws FROM chunks WHERE category = 'en')),
+@query("a8_keywords_of_chunks", f"""WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT chunk_id, regexp_extract_all(text, '\\b([a-zA-Z][a-zA-Z\\-'']*)\\b', 1) AS ws FROM chunks WHERE strlen(text) = length(text))),
 c AS (SELECT chunk_id AS chunk_key, lower(word) AS word, count(*) AS n, min(pos) AS pos FROM w WHERE length(word) >= 4 AND lower(word) NOT IN ({', '.join(f"'{x}'" for x in pt.STOPWORDS)}) GROUP BY ALL)
 SELECT chunk_key, word, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY n DESC, pos) AS rank FROM c) WHERE rank <= 15""")
 def _(spark, sf):
-    return ag.keyword_top_n(chunks(spark, sf).withColumnRenamed("chunk_id", "chunk_key").where("category = 'en'"), pt.KEYWORD, pt.STOPWORDS)
+    return ag.keyword_top_n(chunks(spark, sf).withColumnRenamed("chunk_id", "chunk_key").where("octet_length(text) = length(text)"), pt.KEYWORD, pt.STOPWORDS)
 
 
-@query("a9_keywords_of_documents", f"""WITH {CHUNKS_SQL}, w AS (SELECT document_id, chunk_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT document_id, chunk_id, regexp_extract_all(text, '\\b([a-zA-Z][a-zA-Z\\-'']*)\\b', 1) AS ws FROM chunks WHERE category = 'en')),
+@query("a9_keywords_of_documents", f"""WITH {CHUNKS_SQL}, w AS (SELECT document_id, chunk_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT document_id, chunk_id, regexp_extract_all(text, '\\b([a-zA-Z][a-zA-Z\\-'']*)\\b', 1) AS ws FROM chunks WHERE strlen(text) = length(text))),
 c AS (SELECT document_id, chunk_id AS chunk_key, lower(word) AS word, count(*) AS n, min(pos) AS pos FROM w WHERE length(word) >= 4 AND lower(word) NOT IN ({', '.join(f"'{x}'" for x in pt.STOPWORDS)}) GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY n DESC, pos) AS rank FROM c) WHERE rank <= 15),
 d AS (SELECT document_id, word, count(*) AS n, min(chunk_key || lpad(rank::VARCHAR, 3, '0')) AS f FROM k GROUP BY ALL)
 SELECT document_id, word, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, f) AS rank FROM d) WHERE rank <= 20""")
 def _(spark, sf):
-    c = chunks(spark, sf).withColumnRenamed("chunk_id", "chunk_key").where("category = 'en'")
+    c = chunks(spark, sf).withColumnRenamed("chunk_id", "chunk_key").where("octet_length(text) = length(text)")
     k = ag.keyword_top_n(c, pt.KEYWORD, pt.STOPWORDS).join(c.select("chunk_key", "document_id"), "chunk_key")
     return ag.document_keywords(k, "document_id")
 
