@@ -56,12 +56,11 @@ def _neighbours(batches, width: int, prefix: int, label: int):
     """Along rows sorted by (order, label): pairs of rows at most ``width`` apart that share the prefix and are in
     different components (kind 0); prefixes that more rows share than ``width`` reaches, of several components
     (kind 1); the rows at both ends of the partition (kind 2), for the pairs across partitions."""
-    names = ["kind", "a", "b", "ordering", "label", "comp"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+    names = ["kind", "a", "b", "ordering", "label", "comp", "other"]
 
     def rows(kind, a, b, ordering, lab, comp):
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.array(ordering), pa.array([x.tobytes() for x in lab], pa.binary()), pa.array(comp)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.array(ordering), pa.array([x.tobytes() for x in lab], pa.binary()), pa.array(comp), pa.array(comp)], names=names)
 
     tail, first = None, True
     for batch in batches:
@@ -83,7 +82,7 @@ def _neighbours(batches, width: int, prefix: int, label: int):
             i = np.arange(max(0, old - w), len(node) - w)
             i = i[(changed[i] == changed[i + w]) & (comp[i] != comp[i + w])]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int32)), pa.array(np.minimum(node[i], node[i + w])), pa.array(np.maximum(node[i], node[i + w])), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary()), pa.nulls(len(i), pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int32)), pa.array(np.minimum(node[i], node[i + w])), pa.array(np.maximum(node[i], node[i + w])), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary()), pa.array(np.minimum(comp[i], comp[i + w])), pa.array(np.maximum(comp[i], comp[i + w]))], names=names)
         i = np.arange(max(0, old - width - 1), len(node) - width - 1)
         i = i[(changed[i] == changed[i + width + 1]) & (other[i] != other[i + width + 1])]
         if len(i):
@@ -107,7 +106,7 @@ def _labels(classes: DataFrame, orders: range) -> DataFrame:
     return classes.select("node", "comp", F.explode(F.array(*each)).alias("l")).select("l.ordering", "l.label", "node", "comp")
 
 
-_SCAN = "kind int, a long, b long, ordering int, label binary, comp long"
+_SCAN = "kind int, a long, b long, ordering int, label binary, comp long, other long"
 
 
 def _scan(rows: DataFrame, tasks: int, width: int) -> DataFrame:
@@ -144,7 +143,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     right = full.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
     near = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     both = pairs.join(left, "a").join(right, "b").where(near).withColumn("_common", F.size(F.array_intersect("s_a", "s_b")))
-    return both.where(F.expr(f"100 * _common >= {percent} * (n_a + n_b - _common)")).select("a", "b")
+    return both.where(F.expr(f"100 * _common >= {percent} * (n_a + n_b - _common)")).select(*pairs.columns)
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", width: int = 8, rows_per_task: int = 100_000) -> DataFrame:
@@ -157,7 +156,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     Equal sets are one class, so copies cost nothing further. Classes enter the forest: ``ORDERS`` orders by their
     MinHash values; neighbours by longest common prefix, of at least ``PREFIX`` values, are candidates, and every
     candidate is confirmed on the whole sets. First one neighbour in three orders; linked classes become
-    components, and only neighbours of different components go on, in all orders, ``width`` apart. Regions
+    components, and only neighbours of different components go on, in all orders, up to ``width`` apart. Regions
     that hold more rows than that, of several components, are scanned again with eight times the width
     (adaptive depth), until none is left: no pair that shares a prefix is dropped. Sorts are by (label, node), so that
     a region of any size spreads over tasks, and no group is collected.
@@ -170,32 +169,24 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     grouped = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("_id").alias("first_id"), F.min(F.struct("n", "signature")).alias("s"))
     classes = cut(grouped.select("set_key", "first_id", "s.n", "s.signature", F.monotonically_increasing_id().alias("node")))
     count = classes.count()
-    links = None
     comps = classes.select("node", F.col("node").alias("comp"))
-    crowded, reach = None, 1
+    orders, reach, crowded = range(3), 1, None
     while count:
-        orders = range(3) if reach == 1 else range(ORDERS)
         rows = _labels(classes.select("node", "signature").join(comps, "node"), orders)
-        tasks = math.ceil(count * len(orders) / rows_per_task)
         if crowded is not None:
             rows = rows.withColumn("_head", F.substring("label", 1, 4 * PREFIX))
             rows = rows.join(crowded, (rows._head == crowded._label) & (rows.ordering == crowded._ordering), "left_semi").drop("_head")
-        found = cut(_scan(rows, tasks, reach))
-        pairs = cut(found.where("kind = 0").select("a", "b").distinct())
+        found = cut(_scan(rows, math.ceil(count * len(orders) / rows_per_task), reach))
+        pairs = cut(found.where("kind = 0").select("a", "b", "comp", "other").distinct())
         if pairs.count():
-            new = cut(_confirmed(pairs, classes, docs, id_col, k, percent))
-            if new.count():
-                links = new if links is None else links.unionByName(new)
-                grown = components(links, most_rounds=2).withColumnRenamed("component", "comp")
-                comps = cut(classes.select("node").join(grown, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+            linked = cut(_confirmed(pairs, classes, docs, id_col, k, percent))
+            merged = components(linked.select(F.col("comp").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "comp")
+            comps = cut(comps.join(merged, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
         if reach > 1:
             crowded = cut(found.where("kind = 1").select(F.col("ordering").alias("_ordering"), F.col("label").alias("_label")).distinct())
             if not crowded.count():
                 break
-        reach *= 8 if reach > 1 else width
-    if links is not None:
-        grown = components(links).withColumnRenamed("component", "comp")
-        comps = classes.select("node").join(grown, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+        orders, reach = range(ORDERS), reach * 8 if reach > 1 else width
     known = classes.select("set_key", "first_id", "node").join(comps, "node")
     least = known.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     known = cut(known.join(least, "comp").select("set_key", "component_id"))
