@@ -11,14 +11,15 @@ from docmill.operators import search as se
 from docmill.plans.views import CHUNKS_SQL, chunks, table
 
 _STOP = ", ".join(f"'{w}'" for w in pt.INDEX_STOPWORDS)
-INDEX_SQL = rf"""{CHUNKS_SQL}, rows_ AS (SELECT chunk_id || '#' || document_id AS ck, text, category, document_name FROM chunks),
+POSTINGS_SQL = rf"""{CHUNKS_SQL}, rows_ AS (SELECT chunk_id || '#' || document_id AS ck, text, category, document_name FROM chunks),
 tok AS (SELECT * FROM (SELECT ck, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM (SELECT ck, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM rows_)) WHERE term NOT IN ({_STOP})),
 tf AS (SELECT term, ck, count(*) AS tf FROM tok GROUP BY ALL), ln_ AS (SELECT ck, sum(tf) AS len FROM tf GROUP BY ck), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-tot AS (SELECT count(*) AS n, avg(len) AS avg_len FROM ln_),
-qt AS (SELECT * FROM (SELECT item_id AS qid, unnest(ts) AS term, unnest(range(len(ts))) AS off FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM benchmark)) WHERE term NOT IN ({_STOP})),
-qc AS (SELECT qid, term, count(*) AS qtf FROM qt GROUP BY ALL),
+tot AS (SELECT count(*) AS n, avg(len) AS avg_len FROM ln_)"""
+TERMS_SQL = rf"""qt AS (SELECT * FROM (SELECT item_id AS qid, unnest(ts) AS term, unnest(range(len(ts))) AS off FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM benchmark)) WHERE term NOT IN ({_STOP}))"""
+SCORE_SQL = """qc AS (SELECT qid, term, count(*) AS qtf FROM qt GROUP BY ALL),
 bm AS (SELECT qid, ck, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)))), 6) AS score FROM tf JOIN qc USING (term) JOIN dfs USING (term) JOIN ln_ USING (ck), tot GROUP BY ALL),
 kw AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, ck))::INT AS rank FROM bm) WHERE rank <= 10)"""
+INDEX_SQL = f"{POSTINGS_SQL}, {TERMS_SQL}, {SCORE_SQL}"
 VECTOR_SQL = """vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 vs AS (SELECT qid, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS score FROM vq, embeddings),
 vt AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id))::INT AS rank FROM vs WHERE score >= 0.3) WHERE rank <= 10)"""
