@@ -1,34 +1,14 @@
-"""Registered queries of the library and their DuckDB SQL."""
+"""All registered queries of the library and their DuckDB SQL."""
 
 from __future__ import annotations
 
 import importlib
 import pkgutil
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from docmill import queries
+from docmill.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+for _m in pkgutil.iter_modules(queries.__path__):
+    importlib.import_module(f"docmill.queries.{_m.name}")
 
-
-def query(name: str, sql: str | None = None):
-    """Register a function of (spark, folder) as a query, with the SQL that has the same result."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def _load() -> None:
-    from docmill import queries
-
-    for m in pkgutil.iter_modules(queries.__path__):
-        importlib.import_module(f"docmill.queries.{m.name}")
-
-
-_load()
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmill.catalog import query
+from docmill.registry import query
 from docmill.functions import patterns as pt
 from docmill.functions import text as fx
 from docmill.operators import checks

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmill.catalog import query
+from docmill.registry import query
 from docmill.operators import aggregate as ag
 from docmill.operators import answers as an
 from docmill.operators import evaluate as ev

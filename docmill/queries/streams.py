@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.catalog import query
+from docmill.registry import query
 from docmill.plans.views import table
 
 
