@@ -100,8 +100,15 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Longest stretch of a text that is hashed at once; longer texts are cut at white space.
 _BLOCK = 1 << 18
-_POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_BLOCK, _BASE)])
-_INVERSE = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_BLOCK, np.uint64(pow(int(_BASE), -1, 1 << 64)))])
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; made where they are first used, so that no task is sent them."""
+    if not _TABLES:
+        _TABLES["up"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_BLOCK, _BASE)])
+        _TABLES["down"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_BLOCK, np.uint64(pow(int(_BASE), -1, 1 << 64)))])
+    return _TABLES["up"], _TABLES["down"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -130,8 +137,9 @@ def word_hashes(text: bytes) -> np.ndarray:
     blank[1:-1] = _BLANK[data]
     ends = np.flatnonzero(blank[1:] != blank[:-1])
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * _POWERS[: len(data)], out=total[1:])
-    return mixed((total[ends[1::2]] - total[ends[::2]]) * _INVERSE[ends[::2]])
+    up, down = _powers()
+    np.cumsum(_LETTER[data] * up[: len(data)], out=total[1:])
+    return mixed((total[ends[1::2]] - total[ends[::2]]) * down[ends[::2]])
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import cut, drop
@@ -12,8 +12,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) of every node in ``links`` (columns a, b; integers).
 
     Large star: every node hands its larger neighbours to its smallest one. Small star: it hands its smaller
-    neighbours to the smallest. A round is two grouped minima and two joins on narrow integer rows; nodes
-    with very many links are partially aggregated and their join is one that adaptive execution may split. Each step
+    neighbours to the smallest. A round is a grouped minimum with a join, and a window, on narrow integer rows. Nodes with very
+    many links are partially aggregated and their join is one that adaptive execution may split; in the small star
+    a node has only its smaller neighbours, which the large star has made few. Each step
     is cut. With fewer ``most_rounds`` than it takes, nodes of one component may have different ones, never the reverse. Self links are allowed, null ends are ignored, an empty table gives no rows.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND u > v").distinct())
@@ -22,10 +23,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        drop(edges, low, large, least)
+        least = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        ends = F.when(F.col("v") > F.col("m"), F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        small = cut(least.select(F.inline(F.coalesce(ends, F.array(F.struct("u", F.col("m").alias("v")))))).distinct())
+        drop(edges, low, large)
         edges = small
         last, seen = seen, tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if last == seen:

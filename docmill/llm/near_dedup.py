@@ -42,14 +42,15 @@ def shingle_sets(docs: DataFrame, k: int, values: int = VALUES) -> DataFrame:
 
 
 def _full_sets(batches, k: int):
-    for batch in batches:
-        keys, own = [], []
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            s = shingles(text, k)
-            if len(s):
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                own.append(s.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["set_key", "shingles"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            keys, own = [], []
+            for text in whole.column("text").slice(at, 500).cast(pa.binary()).to_pylist():
+                s = shingles(text, k)
+                if len(s):
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    own.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["set_key", "shingles"])
 
 
 def _neighbours(batches, width: int, prefix: int, label: int):
