@@ -42,7 +42,7 @@ def test_exact_odd_rows(spark, odd):
 def test_exact_heavy_path(spark, odd):
     """Every digest counts as heavy, so that all rows take the broadcast path; the result is the same."""
     many = odd.unionByName(odd).unionByName(odd)
-    key = lambda df: sorted((str(r.doc_id), r.keep_id, r.group_size, r.text_sha256) for r in df.collect())
+    key = lambda df: sorted(str((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in df.collect())
     assert key(exact_dedup.exact_groups(many, heavy_share=1 / 30)) == key(exact_dedup.exact_groups(many))
     assert exact_dedup.exact_dedup(many, heavy_share=1 / 30).count() == exact_dedup.exact_dedup(many).count()
 
