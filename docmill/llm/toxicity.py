@@ -22,7 +22,7 @@ SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "d
 #: Insults that any corpus's lexicon starts from (fixed values); what labels teach is added to them.
 INSULTS = ("clown", "coward", "creep", "dirtbag", "disgusting", "dumb", "dumbass", "failure", "filth", "filthy", "fool", "freak", "garbage", "hate", "idiot", "idiotic", "ignorant", "imbecile", "jerk", "kill", "liar", "loser", "lowlife", "moron", "nasty", "parasite", "pathetic", "pig", "rat", "scum", "sick", "stupid", "trash", "ugly", "useless", "vermin", "vile", "worthless")
 #: Signs that stand for letters in disguised words (fixed values).
-LOOKALIKE = str.maketrans("013457@$!|€", "oleastasiie")
+LOOKALIKES = (str.maketrans("013457@$!|€", "oieastasiie"), str.maketrans("013457@$!|€", "oleastaslle"))
 NAMES = ("words", "lexicon_rate", "lexicon_any", "lexicon_distinct", "lexicon_weight", "hidden_rate", "near_second_person", "second_person_rate", "capitals", "capital_words", "marks", "punctuation", "digits", "symbols", "mixed_words", "spaced_letters", "stretched", "insult_rate", "insults")
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‚‘’¡¿…–—"
@@ -47,9 +47,8 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     joined = ["".join(c for c in m[0] if c.isalpha()).lower() for m in _SPACED.finditer(text)]
     odd = [w for w in set(words) if not w.isalpha()]
     for w in [*odd, *joined]:
-        plain = w.translate(LOOKALIKE)
-        plain = "".join(c for c in plain if c.isalpha())
-        hidden += plain in lexicon and w not in lexicon or w in joined and w in lexicon
+        plain = {"".join(c for c in w.translate(t) if c.isalpha()) for t in LOOKALIKES}
+        hidden += any(p in lexicon for p in plain) and w not in lexicon or w in joined and w in lexicon
     stretched = [m for m in set(words) if _STRETCHED.search(m)]
     hidden += sum(_STRETCHED.sub(r"\1", w) in lexicon for w in stretched if w not in lexicon)
     second = np.array([i for i, w in enumerate(words) if w in SECOND_SET], np.int64)
