@@ -102,7 +102,7 @@ def human_size(size: Column, places: int = 2) -> Column:
     """Steps of 1024 from Bytes to TB."""
     out, units = None, ["Bytes", "KB", "MB", "GB", "TB"]
     for i, unit in enumerate(units):
-        shown = F.format_string(f"%.{places}f {unit}", size.cast("double") / float(1024**i))
+        shown = F.format_string(f"%.{places}f {unit}", F.bround(size.cast("double") / float(1024**i), places))
         out = F.when(size < 1024 ** (i + 1), shown) if out is None else out.when(size < 1024 ** (i + 1), shown) if i < 4 else out.otherwise(shown)
     return out
 

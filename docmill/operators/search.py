@@ -123,7 +123,7 @@ def _block_search(held, k: int, floor: float):
     return run
 
 
-def vector_search_approx(queries: DataFrame, corpus: DataFrame, k: int = 10, floor: float = 0.3, tables: int = 8, bits: int = 8, seed: int = 3) -> DataFrame:
+def vector_search_approx(queries: DataFrame, corpus: DataFrame, k: int = 10, floor: float = 0.3, tables: int = 16, bits: int = 8, seed: int = 3) -> DataFrame:
     """As :func:`vector_search`, with candidates by random hyperplanes: rows that share a query's ``bits`` signs in one
     of ``tables`` tables, or differ in one sign. Recall against the exact search is measured by tests."""
     from pyspark.ml.functions import array_to_vector  # noqa: F401  (Spark ML is at hand where this runs)

@@ -177,8 +177,9 @@ def _(spark, sf):
     return chunks(spark, sf).where("document_id = 42").select("chunk_id", "page_number", "chunk_index", "text")
 
 
-@query("x2_detect_headings", r"SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::INT AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE regexp_matches(line, '^(PART\s+[0-9A-Z\-\. ]+|SUBCHAPTER\s+[A-Z\-\. ]+|§\s*[0-9]+[a-zA-Z0-9\-\.\:]*|Sec(tion)?\s*\.?\s*[0-9]+[a-zA-Z0-9\-\.\:]*|[A-Z0-9 ,\-\:\(\)]{8,80})$')")
+@query("x2_detect_headings", r"SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::INT AS line_no FROM (SELECT doc_id, string_split(replace(upper(text), '.', ''), chr(10)) AS ls FROM documents WHERE strlen(text) = length(text))) WHERE regexp_matches(line, '^(PART\s+[0-9A-Z\-\. ]+|SUBCHAPTER\s+[A-Z\-\. ]+|§\s*[0-9]+[a-zA-Z0-9\-\.\:]*|Sec(tion)?\s*\.?\s*[0-9]+[a-zA-Z0-9\-\.\:]*|[A-Z0-9 ,\-\:\(\)]{8,80})$')")
 def _(spark, sf):
-    """Headings, defined per line."""
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """Headings, defined per line; texts are upper-cased first, as their own lines hold none."""
+    d = table(spark, sf, "documents").where("octet_length(text) = length(text)")
+    d = d.select("doc_id", F.posexplode(F.split(F.replace(F.upper("text"), F.lit("."), F.lit("")), "\n")).alias("line_no", "line"))
     return d.where(F.col("line").rlike(pt.HEADING))
