@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import math
 
@@ -20,8 +19,8 @@ PERMUTATIONS = 128
 
 
 class Fingerprinter:
-    """Fingerprints of texts: base64 of the lower 16 bits of each permutation's smallest value
-    (the upper ones are near 0 in all long texts); empty set: ''."""
+    """Fingerprints of texts: the lower 16 bits of each permutation's smallest value (the upper ones are near 0 in
+    all long texts), as bytes; none for an empty set."""
 
     def __init__(self, k: int = 5, permutations: int = PERMUTATIONS):
         self.k = k
@@ -32,8 +31,8 @@ class Fingerprinter:
         return minhash(own, self.a, self.b).astype(np.uint16).astype(">u2") if len(own) else None
 
     @staticmethod
-    def shown(values: np.ndarray | None) -> str:
-        return "" if values is None else base64.b64encode(values.tobytes()).decode()
+    def packed(values: np.ndarray | None) -> bytes:
+        return b"" if values is None else values.tobytes()
 
     @staticmethod
     def likeness(x: np.ndarray | None, y: np.ndarray | None) -> float:
@@ -46,12 +45,12 @@ class Fingerprinter:
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
         own = self.values(edited)
-        return len(text), hashlib.sha256(edited.encode()).hexdigest(), self.shown(values), self.shown(own), self.likeness(values, own), self.likeness(values, following_values)
+        return len(text), hashlib.sha256(edited.encode()).digest(), self.packed(values), self.packed(own), self.likeness(values, own), self.likeness(values, following_values)
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def _along(batches, k: int):
@@ -96,7 +95,7 @@ def edited_fingerprints(docs: DataFrame, k: int = 5, rows_per_task: int = 5_000)
 
     The edited text has its last floor(n_chars/2) code points replaced by the first as many (or all) of the next
     document in descending id (after the last: the first). Fingerprints are MinHash signatures of ``PERMUTATIONS``
-    universal permutations over distinct ``k``-word shingles; likeness is the share of equal values.
+    universal permutations over distinct ``k``-word shingles, in hexadecimal; likeness is the share of equal values.
 
     Texts move once: a range partitioning by id, descending; a document and the next one are then in one task, but
     for the last of each partition, which meets the next partition's first in a join of as many rows as partitions.
@@ -116,7 +115,8 @@ def edited_fingerprints(docs: DataFrame, k: int = 5, rows_per_task: int = 5_000)
     follows = parts.withColumn("_next", F.lead("_part").over(Window.orderBy("_part"))).crossJoin(F.broadcast(first)).select("_part", F.coalesce("_next", "_first").alias("_next"))
     ends = found.where("_edge = 2").join(follows, "_part").join(heads, "_next").select("doc_id", "_text", "_following")
     ends = ends.mapInArrow(lambda b: _ends(b, k), f"doc_id {kind}, {_RESULT}")
-    return found.where("_edge = 0").select(*_NAMES).unionByName(ends)
+    shown = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return found.where("_edge = 0").select(*_NAMES).unionByName(ends).withColumns(shown)
 
 
 def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:

@@ -39,7 +39,7 @@ class Counter:
     the best segmentation; counts of short stretches are remembered, ``most`` at most.
     """
 
-    def __init__(self, scores: dict[str, float], most: int = 200_000):
+    def __init__(self, scores: dict[str, float], most: int = 400_000):
         self.matches = ahocorasick.Automaton()
         for piece, score in scores.items():
             self.matches.add_word(piece, (len(piece), score))
@@ -53,6 +53,14 @@ class Counter:
 
     def best(self, text: str) -> int:
         n = len(text)
+        if self.single.issuperset(text):  # no unknown character: matches come by rising end, the longest first
+            total, tokens = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+            for end, (length, s) in self.matches.iter(text):
+                start, end = end + 1 - length, end + 1
+                t = total[start] + s
+                if t > total[end]:
+                    total[end], tokens[end] = t, tokens[start] + 1
+            return tokens[n]
         score, count = [0.0] + [None] * n, [0] * (n + 1)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for end, piece in self.matches.iter(text):

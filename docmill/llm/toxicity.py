@@ -49,7 +49,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     for w in [*odd, *joined]:
         plain = {"".join(c for c in w.translate(t) if c.isalpha()) for t in LOOKALIKES}
         hidden += any(p in lexicon for p in plain) and w not in lexicon or w in joined and w in lexicon
-    stretched = [m for m in set(words) if _STRETCHED.search(m)]
+    stretched = [w for w in set(words) if _STRETCHED.search(w)] if _STRETCHED.search(text.lower()) else []
     hidden += sum(_STRETCHED.sub(r"\1", w) in lexicon for w in stretched if w not in lexicon)
     second = np.array([i for i, w in enumerate(words) if w in SECOND_SET], np.int64)
     near = 0
