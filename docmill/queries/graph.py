@@ -14,7 +14,7 @@ TYPES = {"en": "ACT", "de": "JUDGMENT", "fr": "PUBLICATION"}
 NODES_SQL = f"{CHUNKS_SQL}, nodes AS (SELECT document_id AS node_id, CASE category WHEN 'en' THEN 'ACT' WHEN 'de' THEN 'JUDGMENT' WHEN 'fr' THEN 'PUBLICATION' ELSE 'UNKNOWN' END AS node_type, document_name, max(page_number) AS page_count FROM chunks GROUP BY ALL)"
 EDGES_SQL = """lines AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 30),
 firsts AS (SELECT line, min(doc_id) AS f FROM lines GROUP BY line HAVING count(*) > 1),
-raw AS (SELECT doc_id AS source_id, f AS target_id, CASE WHEN length(line) >= 60 THEN 'CITES' ELSE 'REFERS_TO' END AS edge_type, round(least(0.5::DOUBLE + length(line) / 400.0::DOUBLE, 0.95::DOUBLE), 2) AS confidence, line AS pattern FROM lines JOIN firsts USING (line) WHERE doc_id <> f),
+raw AS (SELECT doc_id AS source_id, f AS target_id, CASE WHEN length(line) >= 60 THEN 'CITES' ELSE 'REFERS_TO' END AS edge_type, least(0.5::DOUBLE + (length(line) // 8) * 0.02::DOUBLE, 0.95::DOUBLE) AS confidence, line AS pattern FROM lines JOIN firsts USING (line) WHERE doc_id <> f),
 edges AS (SELECT source_id, target_id, edge_type, max(confidence) AS confidence, count(*) AS occurrences, round(least(max(confidence) + least(0.1::DOUBLE * (count(*) - 1), 0.2::DOUBLE), 1.0::DOUBLE), 4) AS weight FROM raw GROUP BY ALL)"""
 WALK_SQL = EDGES_SQL + """, both_ AS (SELECT source_id AS u, target_id AS v, edge_type, source_id || '→' || target_id || '→' || edge_type AS via FROM edges UNION ALL SELECT target_id, source_id, edge_type, source_id || '→' || target_id || '→' || edge_type FROM edges),
 l0 AS (SELECT doc_id AS seed, doc_id AS node FROM documents WHERE doc_id % 50 = 0),
@@ -27,7 +27,7 @@ def raw_edges(spark, sf):
     lines = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.length("line") >= 30)
     firsts = lines.groupBy("line").agg(F.min("doc_id").alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     j = lines.join(firsts, "line").where("doc_id <> f")
-    return j.select(F.col("doc_id").alias("source_id"), F.col("f").alias("target_id"), F.when(F.length("line") >= 60, "CITES").otherwise("REFERS_TO").alias("edge_type"), F.round(F.least(0.5 + F.length("line") / 400.0, F.lit(0.95)), 2).alias("confidence"), F.col("line").alias("pattern"))
+    return j.select(F.col("doc_id").alias("source_id"), F.col("f").alias("target_id"), F.when(F.length("line") >= 60, "CITES").otherwise("REFERS_TO").alias("edge_type"), F.least(F.lit(0.5) + F.floor(F.length("line") / 8) * F.lit(0.02), F.lit(0.95)).alias("confidence"), F.col("line").alias("pattern"))
 
 
 def edges(spark, sf):
