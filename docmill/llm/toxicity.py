@@ -124,7 +124,8 @@ class Toxicity:
         raw = self.trees.transform(dense(docs, self.lexicon).withColumn("features", array_to_vector("f")))
         raw = raw.withColumn("raw", vector_to_array("probability")[1]).select(*rest, "raw")
         out = self.calibration.transform(raw)
-        return out.select(*rest, F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        score = 0.999 * F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0)) + 0.001 * F.col("raw")  # ranks within a step
+        return out.select(*rest, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, rounds: int = 20, depth: int = 3, seed: int = 5) -> Toxicity:
