@@ -40,14 +40,16 @@ def scratch(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, rows_per_task: int = 50_000) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from that: no lineage, survives lost executors.
 
+    With ``rows``, the size at most of a result that comes from a shuffle, it is written by as many tasks as those rows need.
+
     The table goes when the application ends (or by :func:`drop`); its statistics are those of its files.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, math.ceil(rows / rows_per_task)))).write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)

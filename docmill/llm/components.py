@@ -17,19 +17,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     a node has only its smaller neighbours, which the large star has made few. Each step
     is cut. With fewer ``most_rounds`` than it takes, nodes of one component may have different ones, never the reverse. Self links are allowed, null ends are ignored, an empty table gives no rows.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND u > v").distinct())
+    n = links.count()
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND u > v").distinct(), n)
     seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n)
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), n)
         least = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         ends = F.when(F.col("v") > F.col("m"), F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
-        small = cut(least.select(F.inline(F.coalesce(ends, F.array(F.struct("u", F.col("m").alias("v")))))).distinct())
+        small = cut(least.select(F.inline(F.coalesce(ends, F.array(F.struct("u", F.col("m").alias("v")))))).distinct(), n)
         drop(edges, low, large)
         edges = small
         last, seen = seen, tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if last == seen:
             break
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
+    return cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), 2 * n)

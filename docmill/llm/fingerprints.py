@@ -134,7 +134,7 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4
     banded = classes.select("node", F.explode(F.array(*bands)).alias("band")).select("node", "band.i", "band.v")
     least = cut(banded.groupBy("i", "v").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c"))
     pairs = cut(banded.join(least, ["i", "v"]).where("node > a").select("a", F.col("node").alias("b")).distinct())
-    near = _confirmed(pairs, classes, named, "doc_id", k, percent)
+    near = _confirmed(pairs, classes, named, "doc_id", k, percent, classes.count())
     name = lambda c: classes.select(F.col("node").alias(c), F.col("first_id").alias(f"id_{c}"))
     named_links = near.join(name("a"), "a").join(name("b"), "b")
     return named_links.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))

@@ -129,17 +129,17 @@ def _passes(bits: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     return own.join(F.broadcast(bits), "_bucket", "left").where(F.coalesce(hit, F.lit(False)) | F.col(id_col).isNull())
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int, count: int) -> DataFrame:
     """Of the candidate pairs (a, b: nodes), those with 100 * intersection >= percent * union on the whole sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(wanted.join(classes.select("node", "set_key", "first_id", "n"), "node"))
+    wanted = cut(wanted.join(classes.select("node", "set_key", "first_id", "n"), "node"), count)
     at = F.pmod(F.xxhash64("first_id"), F.lit(FILTER_BITS))
     bits = wanted.where("first_id IS NOT NULL").select(at.alias("_at")).withColumn("_bucket", F.expr("_at div 32768"))
-    bits = cut(bits.groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_at % 32768)").alias("_bits")))
+    bits = cut(bits.groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_at % 32768)").alias("_bits")), FILTER_BITS // 32768)
     again = _passes(bits, docs.select(F.col(id_col).alias("_id"), F.coalesce("text", F.lit("")).alias("text")), "_id").select("text")
     full = again.mapInArrow(lambda batches: _full_sets(batches, k), "set_key binary, shingles array<long>")
     full = full.join(wanted.select("set_key", "node", "n"), "set_key").dropDuplicates(["node"])
-    full = cut(full.select("node", "n", "shingles"))
+    full = cut(full.select("node", "n", "shingles"), count, 10_000)
     left = full.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = full.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
     near = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -168,7 +168,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = cut(shingle_sets(own, k))
     grouped = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("_id").alias("first_id"), F.min(F.struct("n", "signature")).alias("s"))
-    classes = cut(grouped.select("set_key", "first_id", "s.n", "s.signature", F.monotonically_increasing_id().alias("node")))
+    classes = cut(grouped.select("set_key", "first_id", "s.n", "s.signature", F.monotonically_increasing_id().alias("node")), sets.count())
     count = classes.count()
     comps = classes.select("node", F.col("node").alias("comp"))
     orders, reach, crowded = range(3), 1, None
@@ -178,19 +178,19 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
             rows = rows.withColumn("_head", F.substring("label", 1, 4 * PREFIX))
             rows = rows.join(crowded, (rows._head == crowded._label) & (rows.ordering == crowded._ordering), "left_semi").drop("_head")
         found = cut(_scan(rows, math.ceil(count * len(orders) / rows_per_task), reach))
-        pairs = cut(found.where("kind = 0").select("a", "b", "comp", "other").distinct())
+        pairs = cut(found.where("kind = 0").select("a", "b", "comp", "other").distinct(), count)
         if pairs.count():
-            linked = cut(_confirmed(pairs, classes, docs, id_col, k, percent))
+            linked = cut(_confirmed(pairs, classes, docs, id_col, k, percent, count))
             merged = components(linked.select(F.col("comp").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "comp")
-            comps = cut(comps.join(merged, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
+            comps = cut(comps.join(merged, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")), count)
         if reach > 1:
-            crowded = cut(found.where("kind = 1").select(F.col("ordering").alias("_ordering"), F.col("label").alias("_label")).distinct())
+            crowded = cut(found.where("kind = 1").select(F.col("ordering").alias("_ordering"), F.col("label").alias("_label")).distinct(), count)
             if not crowded.count():
                 break
         orders, reach = range(ORDERS), reach * 8 if reach > 1 else width
     known = classes.select("set_key", "first_id", "node").join(comps, "node")
     least = known.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    known = cut(known.join(least, "comp").select("set_key", "component_id"))
+    known = cut(known.join(least, "comp").select("set_key", "component_id"), count)
     joined = sets.select("_id", "n", "set_key").join(known, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("_id")).otherwise(F.col("component_id"))
     return joined.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))
