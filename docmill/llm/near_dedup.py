@@ -53,8 +53,8 @@ def _full_sets(batches, k: int):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["set_key", "shingles"])
 
 
-def _neighbours(batches, width: int, prefix: int, label: int):
-    """Along rows sorted by (order, label): pairs of rows at most ``width`` apart that share the prefix and are in
+def _neighbours(batches, done: int, width: int, prefix: int, label: int):
+    """Along rows sorted by (order, label): pairs of rows over ``done`` and at most ``width`` apart that share the prefix and are in
     different components (kind 0); prefixes that more rows share than ``width`` reaches, of several components
     (kind 1); the rows at both ends of the partition (kind 2), for the pairs across partitions."""
     names = ["kind", "a", "b", "ordering", "label", "comp", "other"]
@@ -63,15 +63,15 @@ def _neighbours(batches, width: int, prefix: int, label: int):
         n = len(a)
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.array(ordering), pa.array([x.tobytes() for x in lab], pa.binary()), pa.array(comp), pa.array(comp)], names=names)
 
-    tail, first = None, True
+    tail, first = None, width + 1
     for batch in batches:
         if not batch.num_rows:
             continue
         ordering, node, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ordering", "node", "comp"))
         lab = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, 4 * label)
         if first:
-            yield rows(2, node[: width + 1], node[: width + 1], ordering[: width + 1], lab[: width + 1], comp[: width + 1])
-            first = False
+            yield rows(2, node[:first], node[:first], ordering[:first], lab[:first], comp[:first])
+            first = max(0, first - len(node))
         old = 0
         if tail is not None:
             old = len(tail[0])
@@ -79,7 +79,7 @@ def _neighbours(batches, width: int, prefix: int, label: int):
         head = np.column_stack([np.ascontiguousarray(lab[:, : 4 * prefix]).view(np.uint32), ordering.astype(np.uint32)])
         changed = np.r_[0, np.cumsum((head[1:] != head[:-1]).any(axis=1))]  # the run of each row
         other = np.r_[0, np.cumsum(comp[1:] != comp[:-1])]
-        for w in range(1, width + 1):
+        for w in range(done + 1, width + 1):
             i = np.arange(max(0, old - w), len(node) - w)
             i = i[(changed[i] == changed[i + w]) & (comp[i] != comp[i + w])]
             if len(i):
@@ -110,11 +110,11 @@ def _labels(classes: DataFrame, orders: range) -> DataFrame:
 _SCAN = "kind int, a long, b long, ordering int, label binary, comp long, other long"
 
 
-def _scan(rows: DataFrame, tasks: int, width: int) -> DataFrame:
+def _scan(rows: DataFrame, tasks: int, done: int, width: int) -> DataFrame:
     """The sorted orders, scanned for neighbours; one range-partitioned sort, even for equal labels as ``node`` is
     part of the key. Pairs across partitions come from a second sort of the partitions' ends alone."""
     order = ["ordering", "label", "node"]
-    run = lambda it, w=width: _neighbours(it, w, PREFIX, LABEL)
+    run = lambda it, d=done, w=width: _neighbours(it, d, w, PREFIX, LABEL)
     found = cut(rows.repartitionByRange(max(1, tasks), *order).sortWithinPartitions(*order).mapInArrow(run, _SCAN))
     ends = found.where("kind = 2").select("ordering", "label", F.col("a").alias("node"), "comp").distinct()
     across = ends.repartitionByRange(max(1, tasks // 64), *order).sortWithinPartitions(*order).mapInArrow(run, _SCAN)
@@ -159,7 +159,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     candidate is confirmed on the whole sets. First one neighbour in three orders; linked classes become
     components, and only neighbours of different components go on, in all orders, up to ``width`` apart. Regions
     that hold more rows than that, of several components, are scanned again with eight times the width
-    (adaptive depth), until none is left: no pair that shares a prefix is dropped. Sorts are by (label, node), so that
+    (adaptive depth), for the pairs not tested yet, until none is left: no pair that shares a prefix is dropped. Sorts are by (label, node), so that
     a region of any size spreads over tasks, and no group is collected.
 
     Nulls: null text is empty; null ids are never the smallest, a component of only those has a null id (kept:
@@ -171,14 +171,18 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     classes = cut(grouped.select("set_key", "first_id", "s.n", "s.signature", F.monotonically_increasing_id().alias("node")), sets.count())
     count = classes.count()
     comps = classes.select("node", F.col("node").alias("comp"))
-    orders, reach, crowded = range(3), 1, None
+    orders, done, reach, crowded, tested = range(3), 0, 1, None, None
     while count:
         rows = _labels(classes.select("node", "signature").join(comps, "node"), orders)
         if crowded is not None:
             rows = rows.withColumn("_head", F.substring("label", 1, 4 * PREFIX))
             rows = rows.join(crowded, (rows._head == crowded._label) & (rows.ordering == crowded._ordering), "left_semi").drop("_head")
-        found = cut(_scan(rows, math.ceil(count * len(orders) / rows_per_task), reach))
-        pairs = cut(found.where("kind = 0").select("a", "b", "comp", "other").distinct(), count)
+        found = cut(_scan(rows, math.ceil(count * len(orders) / rows_per_task), done, reach))
+        pairs = found.where("kind = 0").select("a", "b", "comp", "other").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs, count)
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if pairs.count():
             linked = cut(_confirmed(pairs, classes, docs, id_col, k, percent, count))
             merged = components(linked.select(F.col("comp").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "comp")
@@ -187,6 +191,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
             crowded = cut(found.where("kind = 1").select(F.col("ordering").alias("_ordering"), F.col("label").alias("_label")).distinct(), count)
             if not crowded.count():
                 break
+        done = reach if reach > 1 else 0
         orders, reach = range(ORDERS), reach * 8 if reach > 1 else width
     known = classes.select("set_key", "first_id", "node").join(comps, "node")
     least = known.groupBy("comp").agg(F.min("first_id").alias("component_id"))
