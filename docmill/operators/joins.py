@@ -21,23 +21,45 @@ def propagate_to_duplicates(questions: DataFrame, registry: DataFrame) -> DataFr
     return questions.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)))
 
 
-def resolve_references(found: DataFrame, documents: DataFrame, most_documents: int = 1_000_000) -> DataFrame:
+def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Pairs (needle, hay) of the distinct strings of two one-column tables where the hay contains the needle.
+
+    An equi join: each hay gives its substrings of the lengths that needles have, so only true pairs meet."""
+    needles = needles.toDF("needle").where("needle IS NOT NULL").distinct()
+    hays = hays.toDF("hay").where("hay IS NOT NULL").distinct()
+    lengths = needles.agg(F.collect_set(F.length("needle")).alias("_lengths"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("hay"), F.lit(1)))
+    parts = F.array_distinct(F.flatten(F.transform(starts, lambda p: F.transform("_lengths", lambda n: F.col("hay").substr(p, n)))))
+    return hays.crossJoin(F.broadcast(lengths)).select("hay", F.explode(parts).alias("needle")).join(needles, "needle").select("needle", "hay")
+
+
+def _first_two(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of each key the first row by ``order`` and the first one of another document_id."""
+    rows = rows.select(key, F.struct(*order).alias("o"))
+    first = rows.groupBy(key).agg(F.min("o").alias("f"))
+    second = rows.join(first, key).where("o.document_id <> f.document_id").groupBy(key).agg(F.min("o").alias("f"))
+    return first.unionByName(second).select(key, "f.*")
+
+
+def resolve_references(found: DataFrame, documents: DataFrame) -> DataFrame:
     """Distinct (source_id, matched) to a document: the first in order whose stem contains the folded text or is
     contained in it; else on normalised names where the text has 4 characters or more; never the source itself.
 
-    A containment has no equi key, so *distinct* texts meet a list of documents that is broadcast up to
-    ``most_documents`` names; a larger list is first cut down to the stems that share a word with a text."""
-    texts = found.select("matched").distinct().withColumn("low", F.lower("matched")).withColumn("norm", F.regexp_replace(F.lower("matched"), "[ -]", "_"))
-    docs = documents.select("document_id", "ord", F.lower("stem").alias("stem"), F.regexp_replace(F.lower("stem"), "[ -]", "_").alias("norm_name"))
-    if docs.count() > most_documents:
-        words = texts.select(F.explode(F.split("low", r"[^\p{L}\p{N}]+")).alias("w")).distinct()
-        own = docs.select("*", F.explode(F.array_distinct(F.split("stem", r"[^\p{L}\p{N}]+"))).alias("w"))
-        docs = own.join(words, "w", "left_semi").drop("w").distinct()
-    else:
-        docs = F.broadcast(docs)
-    direct = F.col("stem").contains(F.col("low")) | F.col("low").contains(F.col("stem"))
-    folded = (F.length("norm") >= 4) & (F.col("norm_name").contains(F.col("norm")) | F.col("norm").contains(F.col("norm_name")))
-    cand = texts.join(docs, direct | folded).select("matched", "document_id", F.when(direct, 1).otherwise(2).alias("pass"), "ord")
+    Distinct texts meet distinct stems by equi joins on substrings (:func:`contained`), at any size. Since only the
+    source itself is ruled out, the first two documents of a stem, and then of a text, are all that can be a target."""
+    fold = lambda c: F.regexp_replace(F.lower(c), "[ -]", "_")
+    texts = found.select("matched").distinct().withColumn("low", F.lower("matched")).withColumn("norm", fold("matched"))
+    docs = documents.where("document_id IS NOT NULL").select("document_id", "ord", F.lower("stem").alias("stem"))
+    docs = _first_two(docs.where("stem IS NOT NULL"), "stem", ["ord", "document_id"]).withColumn("norm_name", fold("stem"))
+
+    def pairs(text: str, name: str, own: DataFrame, number: int) -> DataFrame:
+        t, n = own.select(text), docs.select(name)
+        both = contained(t, n).select(F.col("needle").alias(text), F.col("hay").alias(name))
+        both = both.unionByName(contained(n, t).select(F.col("hay").alias(text), F.col("needle").alias(name))).distinct()
+        return own.join(both, text).join(docs, name).select("matched", F.lit(number).alias("pass"), "ord", "document_id")
+
+    cand = pairs("low", "stem", texts, 1).unionByName(pairs("norm", "norm_name", texts.where(F.length("norm") >= 4), 2))
+    cand = _first_two(cand, "matched", ["pass", "ord", "document_id"])
     first = F.min(F.struct("pass", "ord", "document_id"))
     j = found.select("source_id", "matched").distinct().join(cand, "matched").where("source_id <> document_id")
     return j.groupBy("source_id", "matched").agg(first.alias("f")).select("source_id", "matched", F.col("f.document_id").alias("target_id"), F.col("f.pass").alias("pass"))
