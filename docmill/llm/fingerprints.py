@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,10 @@ class Fingerprinter:
 
     def values(self, text: str) -> np.ndarray | None:
         own = shingles(text.encode(), self.k)
-        return minhash(own, self.a, self.b).astype(np.uint16).astype(">u2") if len(own) else None
+        return self.marks(own) if len(own) else None
+
+    def marks(self, own: np.ndarray) -> np.ndarray:
+        return minhash(own, self.a, self.b).astype(np.uint16).astype(">u2")
 
     @staticmethod
     def packed(values: np.ndarray | None) -> bytes:
@@ -119,21 +123,48 @@ def edited_fingerprints(docs: DataFrame, k: int = 5, rows_per_task: int = 5_000)
     return found.where("_edge = 0").select(*_NAMES).unionByName(ends).withColumns(shown)
 
 
-def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:
+def _classed(batches, k: int):
+    maker = Fingerprinter(k)
+    for batch in batches:
+        n, keys, prints = [], [], []
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            own = shingles(text, k)
+            n.append(len(own))
+            keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+            prints.append(maker.packed(maker.marks(own)) if len(own) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], ["_id", "n", "set_key", "fingerprint"])
+
+
+def _bucket_pairs(banded: DataFrame, percent: int, block: int) -> DataFrame:
+    """All pairs (a < b: nodes) of rows (node, n, i, v) that share a bucket (i, v) and whose sizes allow the similarity.
+
+    Members of a bucket are dealt into blocks of about ``block``, and each two blocks (or one with itself) meet under
+    a key of their own, so that no key has more than a block's pairs and a bucket of any size spreads over tasks."""
+    sizes = banded.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1")
+    own = banded.join(sizes.select("i", "v", F.ceil(F.col("c") / block).alias("blocks")), ["i", "v"])
+    own = own.withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    left = own.select("i", "v", F.col("at").alias("x"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("y"), F.col("node").alias("a"), F.col("n").alias("n_a"))
+    right = own.select("i", "v", F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("x"), F.col("at").alias("y"), F.col("node").alias("b"), F.col("n").alias("n_b"))
+    near = F.expr(f"(x < y OR a < b) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return left.join(right, ["i", "v", "x", "y"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, block: int = 1_000) -> DataFrame:
     """Links (a, b: ids, a < b) between documents of different shingle sets, each confirmed by its exact Jaccard
-    similarity, ``percent`` or more: signature bands of ``rows`` values are joined to the smallest member of their
-    bucket, so a bucket of any size gives one candidate a member and no pairs of pairs. Copies of a set are one
-    class, named by its smallest id. Null and empty texts have no links; null ids are left out."""
-    from docmill.llm.near_dedup import VALUES, _confirmed, shingle_sets
+    similarity, ``percent`` or more: all pairs that share a band of ``rows`` values of their fingerprints are
+    candidates, in buckets of any size (their pairs are spread in blocks of ``block`` members). A pair of similarity
+    0.8 shares one of the 32 bands with probability 1 - 5e-8. Copies of a set are one class, named by its smallest
+    id. Null and empty texts have no links; null ids are left out."""
+    from docmill.llm.near_dedup import _confirmed
 
     named = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sets = shingle_sets(named.withColumnRenamed("doc_id", "_id"), k).where("set_key IS NOT NULL")
-    classes = sets.groupBy("set_key").agg(F.min("_id").alias("first_id"), F.min(F.struct("n", "signature")).alias("s"))
-    classes = cut(classes.select("set_key", "first_id", "s.n", "s.signature", F.monotonically_increasing_id().alias("node")))
-    bands = [F.struct(F.lit(i).alias("i"), F.substring("signature", 4 * rows * i + 1, 4 * rows).alias("v")) for i in range(VALUES // rows)]
-    banded = classes.select("node", F.explode(F.array(*bands)).alias("band")).select("node", "band.i", "band.v")
-    least = cut(banded.groupBy("i", "v").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    pairs = cut(banded.join(least, ["i", "v"]).where("node > a").select("a", F.col("node").alias("b")).distinct())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = named.withColumnRenamed("doc_id", "_id").mapInArrow(lambda b: _classed(b, k), f"_id {kind}, n long, set_key binary, fingerprint binary")
+    classes = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("_id").alias("first_id"), F.min(F.struct("n", "fingerprint")).alias("s"))
+    classes = cut(classes.select("set_key", "first_id", "s.n", "s.fingerprint", F.monotonically_increasing_id().alias("node")))
+    bands = [F.struct(F.lit(i).alias("i"), F.substring("fingerprint", 2 * rows * i + 1, 2 * rows).alias("v")) for i in range(PERMUTATIONS // rows)]
+    banded = cut(classes.select("node", "n", F.explode(F.array(*bands)).alias("band")).select("node", "n", "band.i", "band.v"))
+    pairs = cut(_bucket_pairs(banded, percent, block))
     near = _confirmed(pairs, classes, named, "doc_id", k, percent, classes.count())
     name = lambda c: classes.select(F.col("node").alias(c), F.col("first_id").alias(f"id_{c}"))
     named_links = near.join(name("a"), "a").join(name("b"), "b")
