@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,24 +28,50 @@ KNOWN = (
 )
 
 _COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$|all rights reserved\.?"
-
-
-def canonical(c: Column) -> Column:
+#: Only lines that are notices by a sign, year or placeholder: a line that merely begins with the word stays, wherever a text is wrapped.
+_NOTICE = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[])|\(c\)|©)[^\n]*$|all\s+rights\s+reserved\.?"
+#: Titles that copies of a text may begin with (fixed values).
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License")}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """license_id, text of the full licence texts in ``license_texts``: with and without their title or what follows
+    their terms, and for BSD with and without numbers and with one or more copyright holders."""
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        forms, name = [path.read_text(encoding="utf-8")], path.name.removesuffix(".txt")
+        terms, end, _ = forms[0].partition("END OF TERMS AND CONDITIONS")
+        forms += [terms + end, terms] if end else []
+        if name.startswith("BSD"):
+            forms += [re.sub(r"(?m)^\d\. ", "* ", t) for t in forms]
+            forms += [t.replace("HOLDER OR", "HOLDERS OR") for t in forms]
+        out += [(name, t) for t in forms] + [(name, f"{title}\n\n{t}") for title in TITLES.get(name, ()) for t in forms]
+    return out
+
+
+def canonical(c: Column, dropped: str = _COPYRIGHT) -> Column:
     """Lower case, without copyright lines, equal spellings made one, all else than letters and digits one space."""
-    out = F.regexp_replace(F.lower(c), _COPYRIGHT, "")
+    out = F.regexp_replace(F.lower(c), dropped, "")
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+def rewrapped(c: Column) -> Column:
+    """As :func:`canonical`, but the same however the lines are broken: equal spellings and notices as far as they can be."""
+    return canonical(F.regexp_replace(F.regexp_replace(F.lower(c), _NOTICE, ""), r"\s+", " "), r"^$")
+
+
 def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, license_id of the known texts; as many rows as the parameter has distinct canonical texts."""
+    """digest, license_id of the known texts, in both canonical forms; one row per distinct digest."""
     rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    both = F.array(canonical(F.col("text")), rewrapped(F.col("text")))
+    return rows.select(F.explode(both).alias("c"), "license_id").select(F.sha2("c", 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame, most_known: int = 100_000) -> DataFrame:
-    """One row per input row: doc_id, text_digest, license_id (the whole text's, else null), n_notices (lines that
+    """One row per input row: doc_id, text_digest, license_id (the whole text's, by its digest or else that of its
+    rewrapped form; else null), n_notices (lines that
     are a known text), notices (their distinct licences, sorted, joined by a comma; '' if none).
 
     ``known`` (digest, license_id) is broadcast only up to ``most_known`` rows, else Spark joins by digest. Texts
@@ -54,16 +83,18 @@ def license_scan(docs: DataFrame, known: DataFrame, most_known: int = 100_000) -
     side = F.broadcast(known) if small else known
     lines = F.filter(F.transform(F.split(text_or_empty(), "\n"), canonical), lambda x: x != "")
     whole = canonical(text_or_empty())
-    own = docs.select("doc_id", F.sha2(whole, 256).alias("text_digest"), F.transform(lines, lambda x: F.unhex(F.sha2(x, 256))).alias("_lines"))
+    own = docs.select("doc_id", F.sha2(whole, 256).alias("text_digest"), F.sha2(rewrapped(text_or_empty()), 256).alias("_other"), F.transform(lines, lambda x: F.unhex(F.sha2(x, 256))).alias("_lines"))
     own = cut(own.withColumn("_row", F.monotonically_increasing_id()))
     found = own.select("_row", F.explode("_lines").alias("_d")).select("_row", F.lower(F.hex("_d")).alias("digest")).join(side, "digest")
     found = found.groupBy("_row").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     out = own.drop("_lines").join(side, F.col("text_digest") == F.col("digest"), "left").drop("digest").join(found, "_row", "left")
-    return out.select("doc_id", "text_digest", "license_id", F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    other = side.select(F.col("digest").alias("_other"), F.col("license_id").alias("_other_id"))
+    out = out.join(F.broadcast(other) if small else other, "_other", "left")
+    return out.select("doc_id", "text_digest", F.coalesce("license_id", "_other_id").alias("license_id"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
+    return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark, [*KNOWN, *known_texts()]))
 
 
 def _sql_canonical(c: str) -> str:
