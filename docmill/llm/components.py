@@ -15,7 +15,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbours to the smallest. A round is a grouped minimum with a join, and a window, on narrow integer rows. Nodes with very
     many links are partially aggregated and their join is one that adaptive execution may split; in the small star
     a node has only its smaller neighbours, which the large star has made few. Each step
-    is cut. With fewer ``most_rounds`` than it takes, nodes of one component may have different ones, never the reverse. Self links are allowed, null ends are ignored, an empty table gives no rows.
+    is cut. With fewer ``most_rounds`` than it takes (the last one only sees that nothing changes) it raises an error. Self links are allowed, null ends are ignored, an empty table gives no rows.
     """
     n = links.count()
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND u > v").distinct(), n)
@@ -32,5 +32,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         last, seen = seen, tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if last == seen:
             break
+    else:
+        raise RuntimeError(f"components still changed in round {most_rounds}")
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), 2 * n)

@@ -112,13 +112,19 @@ _SCAN = "kind int, a long, b long, ordering int, label binary, comp long, other
 
 def _scan(rows: DataFrame, tasks: int, done: int, width: int) -> DataFrame:
     """The sorted orders, scanned for neighbours; one range-partitioned sort, even for equal labels as ``node`` is
-    part of the key. Pairs across partitions come from a second sort of the partitions' ends alone."""
+    part of the key. Pairs across partitions come from a second sort of the partitions' ends alone,
+    those across its own partitions from a sort of its ends, and so on until one partition is left."""
     order = ["ordering", "label", "node"]
     run = lambda it, d=done, w=width: _neighbours(it, d, w, PREFIX, LABEL)
     found = cut(rows.repartitionByRange(max(1, tasks), *order).sortWithinPartitions(*order).mapInArrow(run, _SCAN))
-    ends = found.where("kind = 2").select("ordering", "label", F.col("a").alias("node"), "comp").distinct()
-    across = ends.repartitionByRange(max(1, tasks // 64), *order).sortWithinPartitions(*order).mapInArrow(run, _SCAN)
-    return found.where("kind < 2").unionByName(across.where("kind < 2"))
+    out = found.where("kind < 2")
+    while True:
+        ends, tasks = found.where("kind = 2").select("ordering", "label", F.col("a").alias("node"), "comp").distinct(), max(1, tasks // 64)
+        found = ends.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, _SCAN)
+        found = cut(found) if tasks > 1 else found
+        out = out.unionByName(found.where("kind < 2"))
+        if tasks == 1:
+            return out
 
 
 def _passes(bits: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
