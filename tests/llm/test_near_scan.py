@@ -9,8 +9,8 @@ from docmill.llm.components import components
 
 def test_neighbours_across_all_boundaries(spark):
     n = 256
-    rows = spark.range(n).select(F.lit(0).alias("ordering"), F.lit(b"\0" * 32).alias("label"), F.col("id").alias("node"), F.col("id").alias("comp"))
-    found = near_dedup._scan(rows, n, 0, 1).where("kind = 0").select("a", "b").distinct().collect()
+    rows = spark.range(n).select(F.lit(0).alias("ordering"), F.lit(5).cast("long").alias("head"), F.lit(b"\0" * 32).alias("label"), F.col("id").alias("node"), F.col("id").alias("comp"))
+    found = near_dedup._scan(rows, n, 1).select("a", "b").collect()
     assert {(i, i + 1) for i in range(n - 1)} <= {(r.a, r.b) for r in found}
 
 
