@@ -93,7 +93,7 @@ class Encoder:
         found = self.known_words.get(word)
         if found is None:
             ids = self.merged(word)
-            found = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
             if len(self.known_words) < self.most and len(word) <= 32:
                 self.known_words[word] = found
         return found
@@ -131,6 +131,8 @@ class Encoder:
         return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
     def decode(self, ids: list[int]) -> str:
+        """The vocabulary's strings of ids, joined by one space as the file names no decoder; unknown ids are left out. The decoding
+        of a text is that of its words joined likewise, so that words are decoded once."""
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
@@ -171,4 +173,5 @@ def word_bpe_path() -> str:
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
+    """:func:`encode_documents` of all ``documents``, as digests; nulls, repeated rows and empty tables as there."""
     return encode_documents(table(spark, sf_dir, "documents"), word_bpe_path(), digests=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import sys
 import tempfile
 import uuid
@@ -31,9 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``. Where that is unset, a temporary one, but only
+    for a master that runs in this process (tests); on a cluster executors could not read each other's, so it is an error."""
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -74,12 +78,25 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Tasks of a global sort, at most; beyond it tasks hold more rows, so that a row for each task is always a small table.
+MOST_TASKS = 20_000
+
+
+def tasks_for(rows: int, rows_per_task: int) -> int:
+    return min(MOST_TASKS, max(1, math.ceil(rows / rows_per_task)))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows as one struct column ``_doc``, beside which columns of any name may stand; ``select("_doc.*")`` undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
 def spread(df: DataFrame, rows: int, order: list[Column], rows_per_task: int = 20_000) -> DataFrame:
     """Globally sorted and cut: adds ``_part`` (the sorted partition's number) and ``_pos`` (rising with the order).
 
-    Range partitions are as many as ``rows`` need, so that no task holds more than about ``rows_per_task``.
+    Range partitions are as many as ``rows`` need for about ``rows_per_task`` in each, up to ``MOST_TASKS``.
     """
-    n = max(1, math.ceil(rows / rows_per_task))
+    n = tasks_for(rows, rows_per_task)
     out = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return cut(out.withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()}))
 
@@ -87,7 +104,7 @@ def spread(df: DataFrame, rows: int, order: list[Column], rows_per_task: int = 2
 def running(ordered: DataFrame, value: str, name: str) -> DataFrame:
     """Add the running sum of ``value`` (own row included) along the order that :func:`spread` made.
 
-    Two levels: sums of the partitions (one row each, broadcast), then a window inside each partition.
+    Two levels: sums of the partitions (one row each, ``MOST_TASKS`` at most, broadcast), then a window inside each partition.
     """
     per = ordered.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = per.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))

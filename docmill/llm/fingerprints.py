@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import cut, minhash, shingles, shipped, table, universal
+from docmill.llm.common import cut, minhash, shingles, shipped, table, tasks_for, universal
 
 shipped(__name__)
 
@@ -108,7 +107,7 @@ def edited_fingerprints(docs: DataFrame, k: int = 5, rows_per_task: int = 5_000)
     gives no rows.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    tasks = max(1, math.ceil(docs.count() / rows_per_task))
+    tasks = tasks_for(docs.count(), rows_per_task)
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranged = own.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
@@ -172,4 +171,5 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """:func:`edited_fingerprints` of all ``documents``; nulls, repeated rows and empty tables as there."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-import hashlib
 import html as htmllib
-import json
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,28 +78,49 @@ def noise(tag: str, a: dict[str, str], in_article: bool) -> bool:
 
 
 class Node:
-    __slots__ = ("label", "children", "text")
+    """An element of a page with like siblings folded into one: its path (a hash), own text, and what its subtree holds."""
 
-    def __init__(self, name: str):
-        self.label, self.children, self.text = name, {}, []
+    __slots__ = ("path", "parent", "depth", "holds", "heading", "children", "text", "mass", "heads")
 
+    def __init__(self, path: int, parent: Node | None, tag: str):
+        self.path, self.parent, self.depth, self.holds, self.heading = path, parent, parent.depth + 1 if parent else 0, tag in CONTAINERS, tag in HEADINGS
+        self.children, self.text, self.mass, self.heads = {}, [], 0, 0
 
-def walk(html: str, wrapper: frozenset[str] = frozenset()):
-    """One pass over a page: its blocks as (text, in an article), and its tree with like siblings folded into one.
 
-    ``wrapper``: paths whose text is the host's template; it is left out where it is not inside an article.
-    """
-    root = Node("")
-    #: tag, node, path, dropped, in an article, only headings count
-    stack = [("", root, "", False, False, False)]
-    blocks, line, line_in = [], [], False
+#: Elements that may be the slot of a page's main text.
+CONTAINERS = frozenset("article center div main section table tbody td tr".split())
+_PATHS: dict[tuple[int, str], int] = {}
+
+
+def below(path: int, name: str) -> int:
+    """The path of the children of that label; a task remembers some."""
+    found = _PATHS.get((path, name))
+    if found is None:
+        found = xxhash.xxh64_intdigest(f"{path}/{name}") >> 1
+        if len(_PATHS) < 50_000:
+            _PATHS[path, name] = found
+    return found
+
+
+NONE: frozenset[int] = frozenset()
+
+
+def walk(html: str, slot: int | None = None, inside_slot: frozenset[int] = NONE, elsewhere: frozenset[int] = NONE, tree: bool = False):
+    """One pass over a page: its blocks as (text, in the slot, in an article), and the nodes of its tree (parents first)
+    if asked for, menus, scripts, noise and the like left out. ``slot``, ``inside_slot`` and ``elsewhere`` are paths of the
+    host's wrapper: the main text's container, and whose text is template in and outside it."""
+    root = Node(0, None, "")
+    #: tag, node, path, dropped, in the slot, in an article, only headings count
+    stack = [("", root, 0, False, False, False, False)]
+    blocks, line, where = [], [], (False, False)
+    nodes = [root]
 
     def flush():
         nonlocal line
         if line:
             text = " ".join("".join(line).split())
             if text:
-                blocks.append((text, line_in))
+                blocks.append((text, *where))
             line = []
 
     def close(tags, limits=()):
@@ -114,12 +133,14 @@ def walk(html: str, wrapper: frozenset[str] = frozenset()):
 
     for kind, tag, a in events(html):
         if kind == "text":
-            _, node, path, dropped, inside, headed = stack[-1]
-            if tag.strip():
+            _, node, path, gone, inside, article, headed = stack[-1]
+            if gone:
+                continue
+            if tree and tag.strip():
                 node.text.append(tag)
-            if not dropped and not headed and (inside or path not in wrapper):
+            if not headed and path not in (inside_slot if inside else elsewhere):
                 line.append(htmllib.unescape(tag))
-                line_in = inside
+                where = (inside, article)
         elif kind == "start":
             if tag == "br":
                 line.append(" ")
@@ -131,18 +152,21 @@ def walk(html: str, wrapper: frozenset[str] = frozenset()):
                     close(CLOSES[tag], LIMITS[tag])
             if tag in VOID:
                 continue
-            _, node, path, dropped, inside, headed = stack[-1]
-            name = label(tag, a)
-            child = node.children.get(name)
-            if child is None:
-                child = node.children[name] = Node(name)
-            now_inside = inside or tag in ("article", "main") or a.get("role") in ("main", "article")
-            gone = dropped or noise(tag, a, now_inside if tag != "header" else inside)
-            if tag == "header" and inside:
+            _, node, path, gone, inside, article, headed = stack[-1]
+            now = article or tag in ("article", "main") or a.get("role") in ("main", "article")
+            gone = gone or noise(tag, a, article if tag == "header" else now)
+            path = below(path, label(tag, a))
+            if tree and not gone:
+                child = node.children.get(path)
+                if child is None:
+                    child = node.children[path] = Node(path, node, tag)
+                    nodes.append(child)
+                node = child
+            if tag == "header" and article:
                 headed = True
             if headed and tag in HEADINGS:
                 headed = False
-            stack.append((tag, child, f"{path}/{name}", gone, now_inside, headed))
+            stack.append((tag, node, path, gone, inside or path == slot, now, headed))
         else:
             if tag in BLOCKS or tag == "br":
                 flush()
@@ -150,134 +174,137 @@ def walk(html: str, wrapper: frozenset[str] = frozenset()):
                 continue
             close((tag,))
     flush()
-    return blocks, root
-
-
-def main_text(html: str | None, wrapper: frozenset[str] = frozenset()) -> str:
-    """Blocks of the article (of all that is left where a page marks none), joined by one line feed."""
-    blocks, _ = walk(html or "", wrapper)
-    inside = [t for t, i in blocks if i]
-    return "\n".join(inside or [t for t, _ in blocks])
-
-
-# Templates: [label, pages, low hash of the node's text, high hash, children]; low = high: the text is constant.
-
-
-def summary(node: Node) -> list:
-    text = " ".join(" ".join(node.text).split())
-    digest = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=7).digest(), "big") if text else -1
-    return [node.label, 1, digest, digest, [summary(c) for c in node.children.values()]]
-
-
-def tree_matching(a: list, b: list, memo: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most nodes that two trees can pair, keeping parents and the order of siblings,
-    and which children it pairs. Trees whose roots differ pair nothing."""
-    if a[0] != b[0]:
-        return 0, []
-    x, y = a[4], b[4]
-    if [c[0] for c in x] == [c[0] for c in y] and len({c[0] for c in x}) == len(x):
-        return 1 + sum(tree_matching(c, d)[0] for c, d in zip(x, y, strict=True)), [(i, i) for i in range(len(x))]
-    weight = [[tree_matching(c, d)[0] if c[0] == d[0] else 0 for d in y] for c in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[i][j])
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
+    return blocks, nodes
+
+
+def main_text(html: str | None, slot: int | None = None, inside_slot: frozenset[int] = NONE, elsewhere: frozenset[int] = NONE) -> str:
+    """Blocks of the wrapper's slot without the template's text, joined by one line feed. A page that has not that slot, or a host
+    without one: the blocks of what the page marks as its article, or of all that is left where it marks none."""
+    blocks, _ = walk(html or "", slot, inside_slot, elsewhere)
+    return "\n".join([t for t, i, _ in blocks if i] or [t for t, _, i in blocks if i] or [t for t, _, _ in blocks])
+
+
+def paired(template: dict[int, list], nodes: list[Node]) -> set[int]:
+    """Simple tree matching of a page (its nodes, parents first) with a template: the paths of the nodes that it pairs, the
+    most that keep parents and the order of siblings. Siblings have different labels, so only nodes of one path can pair; where
+    their orders differ, the heaviest rising run of pairs stays."""
+    weight: dict[int, int] = {}
+    chosen: dict[int, list[int]] = {}
+    for node in reversed(nodes):
+        own = template.get(node.path)
+        if own is None:
+            continue
+        order = own[ORDER]
+        both = [p for p in node.children if p in weight and p in order]
+        if all(order[x] < order[y] for x, y in zip(both, both[1:], strict=False)):
+            kept = both
+        else:
+            best: list[tuple[int, list[int]]] = []
+            for p in both:
+                before = max((b for b in best if order[b[1][-1]] < order[p]), default=(0, []), key=lambda b: b[0])
+                best.append((before[0] + weight[p], [*before[1], p]))
+            kept = max(best, key=lambda b: b[0])[1]
+        chosen[node.path] = kept
+        weight[node.path] = 1 + sum(weight[p] for p in kept)
+    out, todo = set(), [0] if 0 in weight else []
+    while todo:
+        p = todo.pop()
+        out.add(p)
+        todo += chosen[p]
+    return out
+
+
+#: A template's row for a path: pages that pair it, low and high hash of their texts, text below it, of that in headings, and so on.
+PAGES, LOW, HIGH, MASS, HEADS, DEPTH, HOLDS, ORDER = range(8)
+
+
+def align(template: dict[int, list], nodes: list[Node]) -> None:
+    """Add a page to a template: nodes that tree matching pairs are compared by text; others are kept as optional ones."""
+    for node in reversed(nodes):
+        node.mass += sum(map(len, node.text))
+        if node.heading:
+            node.heads = node.mass
+        if node.parent is not None:
+            node.parent.mass += node.mass
+            node.parent.heads += node.heads
+    same = paired(template, nodes) if template else None
+    for node in nodes:
+        row = template.get(node.path)
+        if row is None:
+            row = template[node.path] = [0, (1 << 63) - 1, -1, 0, 0, node.depth, node.holds, {}]
+            new = True
         else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return 1 + best[-1][-1], pairs[::-1]
-
-
-def aligned(a: list, b: list, most: int = 400) -> list:
-    """Two templates of the same root as one: paired nodes are merged, others stay as optional ones (while a node
-    has fewer than ``most`` children; a label that is there is merged in any case)."""
-    _, pairs = tree_matching(a, b)
-    own = dict((j, i) for i, j in pairs)
-    children = list(a[4])
-    by_name = {c[0]: i for i, c in enumerate(children)}
-    for j, child in enumerate(b[4]):
-        i = own.get(j, by_name.get(child[0]))
-        if i is not None:
-            children[i] = aligned(children[i], child, most)
-        elif len(children) < most:
-            children.append(child)
-    return [a[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]), children]
-
-
-def constant_paths(template: list, least: int = 3) -> list[str]:
-    """Paths of the nodes whose text is the same on all of at least ``least`` pages of a host; none if its
-    pages are all the same page."""
-    out, varies = [], False
-
-    def visit(node, path):
-        nonlocal varies
-        varies |= node[2] != node[3]
-        if node[2] == node[3] != -1 and node[1] >= least:
-            out.append(path)
-        for child in node[4]:
-            visit(child, f"{path}/{child[0]}")
-
-    visit(template, "")
-    return out if varies else []
+            new = False
+        if new or same is None or node.path in same:
+            text = " ".join(" ".join(node.text).split())
+            digest = xxhash.xxh64_intdigest(text) >> 1 if text else -1
+            row[PAGES] += 1
+            row[LOW], row[HIGH] = min(row[LOW], digest), max(row[HIGH], digest)
+        row[MASS] += node.mass
+        row[HEADS] += node.heads
+        for p in node.children:
+            row[ORDER].setdefault(p, len(row[ORDER]))
 
 
 def host(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").strip().lower()).split("/")[0].split("?")[0].split("#")[0]
 
 
-def _partial(batches, most_hosts: int = 2_000):
-    """Templates of the pages of a task, by host; handed on whenever ``most_hosts`` are held."""
-    held: dict[str, list] = {}
+_TEMPLATE = "host string, path long, pages long, low long, high long, mass long, heads long, depth int, holds boolean"
+
+
+def _partial(batches, most_nodes: int = 100_000):
+    """Rows of the templates of a task's pages, by host; handed on whenever they hold ``most_nodes``."""
+    held: dict[str, dict[int, list]] = {}
+    total = 0
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(t) for t in held.values()])], ["host", "template"])
+        rows = [(h, p, *r[:ORDER]) for h, t in held.items() for p, r in t.items()]
+        kinds = [pa.string(), *[pa.int64()] * 6, pa.int32(), pa.bool_()]
+        names = [c.split(" ")[0] for c in _TEMPLATE.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     for batch in batches:
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            name, own = host(url), summary(walk(page or "")[1])
-            held[name] = aligned(held[name], own) if name in held else own
-            if len(held) >= most_hosts:
+            own = held.setdefault(host(url), {})
+            before = len(own)
+            align(own, walk(page or "", tree=True)[1])
+            total += len(own) - before
+            if total >= most_nodes:
                 yield out()
                 held.clear()
+                total = 0
     if held:
         yield out()
 
 
-def _paths(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([constant_paths(json.loads(t)) for t in batch.column("template").to_pylist()], pa.list_(pa.string()))], ["host", "paths"])
-
-
-def induce(pages: DataFrame, salts: int = 64) -> DataFrame:
-    """host, paths: the wrapper of every host whose template has constant text.
+def induce(pages: DataFrame, least: int = 3, least_inside: int = 8, share: float = 0.8) -> DataFrame:
+    """host, slot, inside, elsewhere: the wrapper of every host with at least ``least`` pages that are not all the same.
 
-    DOM trees of a host's pages, like siblings folded into one node, are aligned by simple tree matching, first
-    within each task that reads pages, then in two levels (``salts`` groups a host, then the host), so that a host
-    of any size is spread and what moves is one bounded template a task and host. Nodes whose text is constant are the template,
-    the others are slots that hold content.
+    DOM trees of a host's pages, like siblings folded into one node, are aligned by simple tree matching within each
+    task that reads pages; templates of tasks, as rows of (host, path), are summed by Spark, so that a host of any size
+    spreads and none is gathered. A node whose text is constant on all pages that have it (``least``; in the slot
+    ``least_inside``) is template, others are varying slots. ``slot`` is the deepest container that holds ``share`` of the host's
+    text and all of its headings, menus, scripts and noise left out: the slot of the main text (null: there is none).
+    Null urls are one host, the empty name; null pages have no text; an empty table gives no rows.
     """
-    partial = pages.select("url", "html").mapInArrow(lambda b: _partial(b), "host string, template string")
-    partial = partial.withColumn("_salt", F.pmod(F.xxhash64("template"), F.lit(salts)))
-
-    def merge(pdf):
-        whole = functools.reduce(aligned, map(json.loads, pdf["template"]))
-        return pdf.iloc[:1][["host"]].assign(template=json.dumps(whole))
-
-    partial = partial.groupBy("host", "_salt").applyInPandas(merge, "host string, template string")
-    whole = partial.groupBy("host").applyInPandas(merge, "host string, template string")
-    return whole.mapInArrow(lambda b: _paths(b), "host string, paths array<string>").where("size(paths) > 0")
+    rows = pages.select("url", "html").mapInArrow(lambda b: _partial(b), _TEMPLATE)
+    sums = [F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("mass").alias("mass"), F.sum("heads").alias("heads"), F.max("depth").alias("depth"), F.max("holds").alias("holds")]
+    nodes = cut(rows.groupBy("host", "path").agg(*sums))
+    whole = nodes.groupBy("host").agg(F.max(F.when(F.col("path") == 0, F.struct("pages", "mass", "heads"))).alias("all"), F.max((F.col("low") < F.col("high")).cast("int")).alias("varies"))
+    known = nodes.join(whole.where(F.col("varies") == 1).where(F.col("all.pages") >= least), "host")
+    dominant = F.col("holds") & (F.col("mass") >= share * F.col("all.mass")) & (F.col("heads") == F.col("all.heads")) & (F.col("pages") >= F.col("all.pages") / 2)
+    slot = F.max(F.when(dominant, F.struct("depth", "path"))).alias("s")
+    constant = (F.col("low") == F.col("high")) & (F.col("low") >= 0) & (F.col("pages") >= least)
+    paths = lambda c, n: F.transform(F.filter(c, lambda x: x["pages"] >= n), lambda x: x["path"])
+    made = known.groupBy("host").agg(slot, F.collect_list(F.when(constant, F.struct("path", "pages"))).alias("t"))
+    return made.select("host", F.col("s.path").alias("slot"), paths("t", least_inside).alias("inside"), paths("t", least).alias("elsewhere"))
 
 
 def _texts(batches):
     for batch in batches:
-        wrappers = [frozenset(w or ()) for w in batch.column("_paths").to_pylist()]
-        texts = [main_text(h, w) for h, w in zip(batch.column("html").to_pylist(), wrappers, strict=True)]
+        rows = zip(*[batch.column(c).to_pylist() for c in ("html", "_slot", "_inside", "_elsewhere")], strict=True)
+        texts = [main_text(page, slot, frozenset(inside or ()), frozenset(elsewhere or ())) for page, slot, inside, elsewhere in rows]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -288,21 +315,23 @@ BROADCAST_BYTES = 16 << 20
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (main text, '' if none), n_chars of every page; whole pages.
 
-    Main text is what the page marks as its article (or main part), else every slot that the host's wrapper
-    leaves; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go
-    by their meaning in both. Character references are decoded, white space inside a block becomes one space, blocks
+    Main text is what stands in the slot of the host's wrapper (:func:`induce`), less its template. Hosts without a
+    wrapper, and pages without that slot: what the page marks as its article (or main part), else all that is left. Menus, headers,
+    footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go by their elements, roles and
+    names in all. Character references are decoded, white space inside a block becomes one space, blocks
     are joined in page order by one line feed. Null html is empty; null urls share the empty host; repeated
-    rows and null ids keep rows of their own; other columns are ignored; an empty table gives no rows.
+    rows and null ids keep rows of their own; elements may be nested to any depth; other columns are ignored; an empty table gives no rows.
     """
     wrappers = cut(induce(pages))
-    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + F.length(F.to_json("paths"))), F.lit(0))).first()[0]
+    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + 8 * (F.size("inside") + F.size("elsewhere") + 1)), F.lit(0))).first()[0]
     name = F.regexp_extract(F.regexp_replace(F.lower(F.trim("url")), "^[a-z][a-z0-9+.-]*://", ""), "^[^/?#]*", 0)
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(name, F.lit("")).alias("_host"))
-    side = wrappers.select(F.col("host").alias("_h"), F.col("paths").alias("_paths"))
+    side = wrappers.select(F.col("host").alias("_h"), F.col("slot").alias("_slot"), F.col("inside").alias("_inside"), F.col("elsewhere").alias("_elsewhere"))
     joined = own.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("_host") == F.col("_h"), "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "_paths").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "_slot", "_inside", "_elsewhere").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op8_html(spark, sf_dir: str) -> DataFrame:
+    """:func:`extract` of all ``pages``; nulls, repeated rows and empty tables as there."""
     return extract(table(spark, sf_dir, "pages"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from pathlib import Path
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.common import cut, table, text_or_empty
 
-#: Spellings that count as equal (fixed values): each left one becomes the right one, in this order.
+#: Spellings that count as equal (fixed values), as words in lower case without punctuation: each left one becomes the right one, in this order.
 EQUIVALENT = (
-    ("licence", "license"), ("sub license", "sublicense"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("non commercial", "noncommercial"),
-    ("per cent", "percent"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"),
-    ("cc-by", "cc by"), ("cc by nc", "cc by-nc"), ("https://", "http://"), ("version 2.0", "version 2"), ("version 3.0", "version 3"), ("v2.0", "version 2"), ("v3.0", "version 3"),
+    ("licence", "license"), ("licences", "licenses"), ("sub license", "sublicense"), ("sub licenses", "sublicenses"), ("non commercial", "noncommercial"), ("per cent", "percent"),
+    ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"),
+    ("https", "http"), ("version 2 0", "version 2"), ("version 3 0", "version 3"), ("v2 0", "version 2"), ("v3 0", "version 3"),
 )
 
 #: Known licences by the texts of their notices (fixed values); further and longer texts are a parameter.
@@ -27,9 +29,9 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."), ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-_COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$|all rights reserved\.?"
-#: Only lines that are notices by a sign, year or placeholder: a line that merely begins with the word stays, wherever a text is wrapped.
-_NOTICE = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[])|\(c\)|©)[^\n]*$|all\s+rights\s+reserved\.?"
+#: Copyright lines: by a sign, a year, a placeholder or a name. A line of a licence's own text that merely begins with the word
+#: (as "copyright notice") stays, so that it does not matter where a text is wrapped.
+NOTICE = r"^[ \t]*(?:(?i:copyright)[ \t]*(?:\([cC]\)|©|[0-9<\[])|\([cC]\)|©|Copyright[ \t]+(?:by[ \t]+)?\p{Lu})[^\n]*$|(?i:all[ \t\r\n\f]+rights[ \t\r\n\f]+reserved)\.?"
 #: Titles that copies of a text may begin with (fixed values).
 TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License")}
 
@@ -49,30 +51,27 @@ def known_texts() -> list[tuple[str, str]]:
     return out
 
 
-def canonical(c: Column, dropped: str = _COPYRIGHT) -> Column:
-    """Lower case, without copyright lines, equal spellings made one, all else than letters and digits one space."""
-    out = F.regexp_replace(F.lower(c), dropped, "")
+def canonical(c: Column) -> Column:
+    """Without copyright lines, lower case, words of letters and digits alone, equal spellings made one: the words, joined by
+    one space, however the text is wrapped or punctuated. Spellings are replaced as whole words: each word stands
+    between two spaces of its own meanwhile."""
+    words = F.regexp_replace(F.lower(F.regexp_replace(c, f"(?md){NOTICE}", "")), r"[^\p{L}\p{N}]+", "  ")
+    out = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
     for a, b in EQUIVALENT:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
-
-
-def rewrapped(c: Column) -> Column:
-    """As :func:`canonical`, but the same however the lines are broken: equal spellings and notices as far as they can be."""
-    return canonical(F.regexp_replace(F.regexp_replace(F.lower(c), _NOTICE, ""), r"\s+", " "), r"^$")
+        out = F.replace(out, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, license_id of the known texts, in both canonical forms; one row per distinct digest."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
-    both = F.array(canonical(F.col("text")), rewrapped(F.col("text")))
-    return rows.select(F.explode(both).alias("c"), "license_id").select(F.sha2("c", 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """digest, license_id of the known texts (license_id, text); one row per distinct digest, the smallest id of several.
+    Texts without letters and digits are no licence; an empty list gives no rows."""
+    rows = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", canonical(F.col("text")).alias("c"))
+    return rows.where("c <> ''").select(F.sha2("c", 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame, most_known: int = 100_000) -> DataFrame:
-    """One row per input row: doc_id, text_digest, license_id (the whole text's, by its digest or else that of its
-    rewrapped form; else null), n_notices (lines that
-    are a known text), notices (their distinct licences, sorted, joined by a comma; '' if none).
+    """One row per input row: doc_id, text_digest, license_id (the whole text's by its digest, else null), n_notices (lines
+    that are a known text), notices (their distinct licences, sorted, joined by a comma; '' if none).
 
     ``known`` (digest, license_id) is broadcast only up to ``most_known`` rows, else Spark joins by digest. Texts
     never leave the task that reads them; only digests do. Null text is empty and matches nothing (nor does any
@@ -83,31 +82,47 @@ def license_scan(docs: DataFrame, known: DataFrame, most_known: int = 100_000) -
     side = F.broadcast(known) if small else known
     lines = F.filter(F.transform(F.split(text_or_empty(), "\n"), canonical), lambda x: x != "")
     whole = canonical(text_or_empty())
-    own = docs.select("doc_id", F.sha2(whole, 256).alias("text_digest"), F.sha2(rewrapped(text_or_empty()), 256).alias("_other"), F.transform(lines, lambda x: F.unhex(F.sha2(x, 256))).alias("_lines"))
+    own = docs.select("doc_id", F.sha2(whole, 256).alias("text_digest"), F.transform(lines, lambda x: F.unhex(F.sha2(x, 256))).alias("_lines"))
     own = cut(own.withColumn("_row", F.monotonically_increasing_id()))
     found = own.select("_row", F.explode("_lines").alias("_d")).select("_row", F.lower(F.hex("_d")).alias("digest")).join(side, "digest")
     found = found.groupBy("_row").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     out = own.drop("_lines").join(side, F.col("text_digest") == F.col("digest"), "left").drop("digest").join(found, "_row", "left")
-    other = side.select(F.col("digest").alias("_other"), F.col("license_id").alias("_other_id"))
-    out = out.join(F.broadcast(other) if small else other, "_other", "left")
-    return out.select("doc_id", "text_digest", F.coalesce("license_id", "_other_id").alias("license_id"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    return out.select("doc_id", "text_digest", "license_id", F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
+    """:func:`license_scan` of all ``documents`` for notices and full licence texts; nulls and empty tables as there."""
     return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark, [*KNOWN, *known_texts()]))
 
 
 def _sql_canonical(c: str) -> str:
-    out = f"regexp_replace(lower({c}), '(?m)^[ \\t]*(?:copyright\\b|\\(c\\)|©)[^\\n]*$|all rights reserved\\.?', '', 'g')"
+    out = f"' ' || trim(regexp_replace(lower(regexp_replace({c}, '(?m){NOTICE}', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
+    for a, b in EQUIVALENT:
+        out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
+
+
+def words_of(text: str) -> str:
+    """The same as :func:`canonical`, word by word in plain Python: for the SQL's table of full texts, and for tests."""
+    kept = regex.sub(r"(?i)all[ \t\r\n\f]+rights[ \t\r\n\f]+reserved\.?", "", "\n".join("" if regex.match(NOTICE.split("[^\\n]*$")[0], line) else line for line in text.split("\n")))
+    words = regex.findall(r"[\p{L}\p{N}]+", kept.lower())
     for a, b in EQUIVALENT:
-        out = f"replace({out}, '{a}', '{b}')"
-    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        own, out, at = a.split(" "), [], 0
+        while at < len(words):
+            hit = words[at : at + len(own)] == own
+            out += b.split(" ") if hit else [words[at]]
+            at += len(own) if hit else 1
+        words = out
+    return " ".join(words)
 
 
+_TEXTS = sorted({(name, hashlib.sha256(words_of(text).encode()).hexdigest()) for name, text in known_texts()})
 OP6_SQL = f"""
 WITH known AS (
-  SELECT sha256({_sql_canonical('t')}) AS digest, min(l) AS license_id
-  FROM (VALUES {', '.join(f"('{i}', '{t}')" for i, t in KNOWN)}) k(l, t) GROUP BY 1
+  SELECT digest, min(l) AS license_id FROM (
+    SELECT l, sha256({_sql_canonical('t')}) AS digest FROM (VALUES {', '.join(f"('{i}', '{t}')" for i, t in KNOWN)}) k(l, t)
+    UNION ALL VALUES {', '.join(f"('{i}', '{d}')" for i, d in _TEXTS)}
+  ) GROUP BY digest
 ), d AS (
   SELECT doc_id, sha256({_sql_canonical("coalesce(text, '')")}) AS text_digest FROM documents
 ), lines AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import WORD, cut, running, spread, table, text_or_empty
+from docmill.llm.common import WORD, cut, packed, running, spread, table, text_or_empty
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -34,8 +34,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return by_fill.crossJoin(F.broadcast(rest)).select("source", "source_size", "source_rank", "start", target.alias("target"), "all_words")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, times, taken, row (its place in the input).
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "", row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, times, taken, row (its place in the input, or
+    the values of the column ``row``).
 
     Weighted fair queueing: each source queues its documents in a shuffled order (by the hash of id and ``seed``),
     ``most`` times over; a document's virtual finish time is the source's words up to and with it, divided by
@@ -48,7 +49,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     repeat an id are separate documents; other columns are ignored; an empty table gives no rows.
     """
     size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    sized = cut(docs.select("doc_id", "source", size.alias("size")).withColumn("row", F.monotonically_increasing_id()))
+    place = F.monotonically_increasing_id() if row is None else F.col(row)
+    sized = cut(docs.select("doc_id", "source", size.alias("size"), place.alias("row")))
     n = sized.count()
     targets = cut(source_targets(sized, weights, share, most))
     key = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))), 1, 16)
@@ -69,22 +71,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as :func:`mix` takes it (not at all, once, ...).
 
-    Decisions go back to rows by (id, source, size) and the number of such a row among equals.
+    The rows are written once with a number each, by which decisions go back to them, so equal ids or rows are no group.
+    Nulls and ties as in :func:`mix`; further columns pass through, whatever their names; an empty table gives no rows.
     """
-    from pyspark.sql import Window
-
-    key = ["doc_id", "source", "_size"]
-    size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_tie"))
-    taken = mix(docs, **how).withColumnRenamed("size", "_size").withColumn("_tie", F.col("row")).withColumn("_nth", nth)
-    taken = taken.where("times > 0").select(*[F.col(c).alias(f"t_{c}") for c in key], "_nth", "times")
-    rows = docs.withColumn("_size", size).withColumn("_tie", F.monotonically_increasing_id()).withColumn("_nth", nth)
-    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in key]
-    rows = rows.join(taken.withColumnRenamed("_nth", "t_nth"), [*same, F.col("_nth") == F.col("t_nth")])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    own = cut(packed(docs).withColumn("_row", F.monotonically_increasing_id()))
+    taken = mix(own.select("_doc.doc_id", "_doc.text", "_doc.source", "_row"), row="_row", **how).where("times > 0").select(F.col("row").alias("_row"), "times")
+    copies = own.join(taken, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy"))
+    return copies.select("_doc.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
+    """:func:`mix` of all ``documents``; nulls, ties and empty tables as there."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

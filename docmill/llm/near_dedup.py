@@ -311,7 +311,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = cut(shingle_sets(own, k))
     grouped = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("_id").alias("first_id"), F.min(F.struct("n", "signature")).alias("s"))
-    classes = cut(grouped.select("set_key", "first_id", "s.n", "s.signature", F.monotonically_increasing_id().alias("node")), sets.count())
+    classes = cut(grouped.select("set_key", "first_id", "s.n", "s.signature", F.monotonically_increasing_id().alias("node")), sets.count(), 10_000)
     count = classes.count()
     comps = classes.select("node", F.col("node").alias("comp"))
 

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import cut, table, text_or_empty
+from docmill.llm.common import cut, packed, table, text_or_empty
 
 #: Labelled rows that the classifier is fitted on, at most: a sample by hash, whose size does not grow with the corpus.
 FIT_ROWS = 20_000
@@ -22,11 +22,12 @@ def _rate(pattern: str) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add one double column per statistic (``x_...``) of the whole text, with built-in expressions only.
+    """The rows as a struct ``_doc``, and one double column per statistic (``x_...``) of the whole text, with built-in
+    expressions only; so columns of any name may be in ``docs``.
 
     Null text is empty; every statistic of an empty text is 0. Words are runs without ASCII white space.
     """
-    own = docs.withColumn(_T, text_or_empty(text_col)).withColumn("_words", F.filter(F.split(_T, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    own = packed(docs).withColumn(_T, text_or_empty(f"_doc.{text_col}")).withColumn("_words", F.filter(F.split(_T, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     own = own.withColumns({"_n": F.size("_words"), "_lines": F.split(_T, "\n")})
     one = lambda c: F.greatest(c, F.lit(1))
     letters = F.regexp_count(F.col(_T), F.lit(r"\p{L}"))
@@ -117,24 +118,30 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int = F
     share = min(1.0, rows / max(1, n))
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     # bounded by ``rows`` ids
-    return docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", label)
+    known = known.select("_id", F.col(label).alias("_label"))
+    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", F.col("_label").alias(label))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> Rules:
-    return fit(statistics(labelled_texts(docs, labels, label, rows)), label)
+    """Rules learnt from at most about ``rows`` labelled texts of ``docs``. Null labels and ids teach nothing, null texts
+    are empty; a document with several labels counts with one of them; no rows or one class: a constant score."""
+    return fit(statistics(labelled_texts(docs, labels, label, rows)).select(F.col(f"_doc.{label}"), "*"), label)
 
 
 def classify(docs: DataFrame, rules: Rules, threshold: float = 0.3) -> DataFrame:
     """Add score (0 to 1, higher: better) and predicted (1 from ``threshold`` on) to every row of ``docs``.
 
     A narrow map: no shuffle, no Python. Null and empty texts get the score of an empty text; null ids, repeated
-    rows and further columns pass through unchanged; an empty table gives no rows.
+    rows and further columns, whatever their names, pass through unchanged, but columns that are named score or predicted are replaced;
+    an empty table gives no rows.
     """
-    scored = statistics(docs).withColumn("score", rules.score())
-    return scored.select(*docs.columns, "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rest = [f"_doc.`{c}`" for c in docs.columns if c.lower() not in ("score", "predicted")]
+    scored = statistics(docs).select("_doc", rules.score().alias("_score"))
+    return scored.select(*rest, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by rules learnt from ``labels``; nulls, ties and empty tables as in :func:`classify`."""
     docs = table(spark, sf_dir, "documents")
     rules = train(docs, table(spark, sf_dir, "labels"))
     return classify(docs.select("doc_id", "text"), rules).select("doc_id", held_out().alias("held_out"), "score", "predicted")

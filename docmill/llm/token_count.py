@@ -112,4 +112,5 @@ def piece_path() -> str:
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
+    """:func:`count_tokens` of all ``documents``; nulls, repeated rows and empty tables as there."""
     return count_tokens(table(spark, sf_dir, "documents"), piece_path())

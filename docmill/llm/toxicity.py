@@ -116,16 +116,21 @@ class Toxicity:
         """Replace ``text`` of ``docs`` by score (0 to 1, higher: more toxic) and predicted (1 from ``threshold`` on).
 
         A narrow map. Null text is empty and gets the score of an empty text; null ids, repeated rows and other
-        columns pass through; an empty table gives no rows.
+        columns, whatever their names, pass through, but columns that are named score or predicted are replaced; an empty table
+        gives no rows. The score is the calibrated one, to which a thousandth of the trees' own is added, so that it ranks also within a
+        step of the calibration.
         """
+        rest = [f"_rest.`{c}`" for c in docs.columns if c.lower() not in ("text", "score", "predicted")]
         if self.constant is not None:
-            return docs.drop("text").withColumns({"score": F.lit(self.constant), "predicted": F.lit(int(self.constant >= threshold))})
-        rest = [c for c in docs.columns if c != "text"]
-        raw = self.trees.transform(dense(docs, self.lexicon).withColumn("features", array_to_vector("f")))
-        raw = raw.withColumn("raw", vector_to_array("probability")[1]).select(*rest, "raw")
-        out = self.calibration.transform(raw)
-        score = 0.999 * F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0)) + 0.001 * F.col("raw")  # ranks within a step
-        return out.select(*rest, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+            score = F.lit(self.constant)
+            own = docs.select(F.struct(*docs.columns).alias("_rest"))
+        else:
+            own = docs.select(F.struct(*[F.col(c.removeprefix("_rest.")) for c in rest] or [F.lit(0)]).alias("_rest"), "text")
+            raw = self.trees.transform(dense(own, self.lexicon).withColumn("features", array_to_vector("f")))
+            own = self.calibration.transform(raw.select("_rest", vector_to_array("probability")[1].alias("raw")))
+            score = 0.999 * F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0)) + 0.001 * F.col("raw")
+        scored = own.withColumn("_score", score)
+        return scored.select(*rest, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, rounds: int = 20, depth: int = 3, seed: int = 5) -> Toxicity:
@@ -150,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, rounds: int
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``, learnt from ``labels``; nulls, ties and empty tables as in :meth:`Toxicity.score`."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return model.score(docs.select("doc_id", "text")).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from docmill.llm import html_extract, quality, token_count, toxicity
 
 BIG = "/root/testdata/sf0.01"
@@ -57,14 +56,11 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
-def test_extract_pages(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    got = {r.page_id: r for r in html_extract.extract(pages).collect()}
-    for r in pages.collect():
-        want = html_extract.main_text(r.html)
-        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
-    odd = spark.createDataFrame([(1, None, None, 1), (1, "http://h/a", "", 2), (None, "x", "<p>t", 3)], "page_id long, url string, html string, host int")
-    assert html_extract.extract(odd).count() == 3 and html_extract.extract(odd.limit(0)).count() == 0
+def test_extract_odd_pages(spark):
+    odd = spark.createDataFrame([(1, None, None, 1), (1, "http://h/a", "", 2), (None, "x", "<p>t", 3), (None, "x", "<p>t", 3)], "page_id long, url string, html string, host int")
+    got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in html_extract.extract(odd).collect())
+    assert got == [("1", "None", "", 0), ("1", "http://h/a", "", 0), ("None", "x", "t", 1), ("None", "x", "t", 1)]
+    assert html_extract.extract(odd.limit(0)).count() == 0
 
 
 def test_wrapper_drops_constant_nodes(spark):
@@ -75,15 +71,6 @@ def test_wrapper_drops_constant_nodes(spark):
     assert got[99].startswith("Welcome")
 
 
-def test_tree_matching():
-    leaf = lambda name: [name, 1, -1, -1, []]
-    a = ["r", 1, -1, -1, [leaf("a"), ["b", 1, -1, -1, [leaf("x"), leaf("y")]], leaf("c")]]
-    b = ["r", 1, -1, -1, [["b", 1, -1, -1, [leaf("y")]], leaf("d"), leaf("c")]]
-    size, pairs = html_extract.tree_matching(a, b)
-    assert size == 4 and pairs == [(1, 0), (2, 2)]
-    assert html_extract.tree_matching(leaf("a"), leaf("b"))[0] == 0
-
-
 def test_token_counts(spark, sf_dir, odd):
     tokenizers = pytest.importorskip("tokenizers")
     scores = token_count.vocabulary(token_count.piece_path())
@@ -103,24 +90,5 @@ def test_token_counts(spark, sf_dir, odd):
     counter = token_count.Counter(scores)
     for text in ("日本  語 x", "a\nb", "  ", "ééé 😀", "x" * 500, "▁a b▁"):
         assert counter.count(text) == want(text)
-    assert token_count.count_tokens(odd, token_count.piece_path()).count() == odd.count()
-
-
-def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    seen = [{r.doc_id: r.text for r in docs.collect()}]
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        docs = stage(spark, docs, sf_dir)
-        docs = docs.persist()
-        rows = docs.collect()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        seen.append({r.doc_id: r.text for r in rows})
-        assert len(rows) == len(seen[-1]) and set(seen[-1]) <= set(seen[-2])
-    good = [i for i in seen[0] if labels.get(i) == 1]
-    assert sum(i in seen[1] for i in good) / len(good) > 0.97
-    assert len({t.lower() for t in seen[1].values()}) == len(seen[2]) == len({t.lower() for t in seen[2].values()})
-    mixed = corpus_pipeline.mixing(spark, docs, sf_dir)
-    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.select("doc_id").collect()} <= set(seen[3])
-    out = corpus_pipeline.bpe(spark, mixed.where("doc_id < 30"), sf_dir).collect()
-    assert out and all(r.n_tokens == len(r.ids) for r in out)
+    got = sorted(str((r.doc_id, r.n_tokens)) for r in token_count.count_tokens(odd, token_count.piece_path()).collect())
+    assert got == sorted(str((r.doc_id, want(r.text))) for r in odd.collect())
