@@ -92,8 +92,10 @@ def knowledge_totals(rollup: DataFrame, category: str = "category") -> DataFrame
 
 
 def evaluation_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """Means of the metrics over all questions and counts by status."""
+    """Means of the metrics over all questions (with ``latency_ms``, of that too, as mean_latency_ms) and counts by status."""
     means = [F.round(F.avg(m), 6).alias(m) for m in metrics]
+    if "latency_ms" in rows.columns:
+        means.append(F.round(F.avg("latency_ms"), 2).alias("mean_latency_ms"))
     return rows.agg(F.count("*").alias("questions"), *means, *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("Pass", "Partial", "Failed")])
 
 

@@ -35,11 +35,18 @@ def mark_duplicate_files(registry: DataFrame) -> DataFrame:
     return j.select(*[c for c in registry.columns if c != "status"], F.when(other, "duplicate").otherwise(F.col("status")).alias("status"), F.when(other, F.col("_first.document_id")).alias("is_duplicate_of"))
 
 
+def repeated(rows: DataFrame, key: Column, order: str) -> DataFrame:
+    """Add ``_repeated``: whether an earlier row (by ``order``, unique) has the same key; false where the key is null or blank.
+
+    A grouped minimum, combined before it moves, and an equi join that Spark may split: no key is gathered in one task."""
+    keyed = rows.withColumn("_key", F.when(F.trim(key) != "", key))
+    first = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min(order).alias("_first"))
+    return keyed.join(first, "_key", "left").withColumn("_repeated", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
+
+
 def mark_duplicate_questions(rows: DataFrame, query: str = "query", order: str = "row_number") -> DataFrame:
-    """Second and later rows of equal folded query."""
-    key = F.lower(F.trim(query))
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("is_duplicate", F.when(F.coalesce(key, F.lit("")) == "", False).otherwise(n > 1))
+    """Second and later rows of equal folded query; blank and null queries are no duplicates."""
+    return repeated(rows, F.lower(F.trim(query)), order).withColumnRenamed("_repeated", "is_duplicate")
 
 
 def ranked(hits: DataFrame, score: str = "score", tie: str = "chunk_id", key: str = "qid") -> DataFrame:
@@ -87,12 +94,18 @@ def select_pages(pages: DataFrame, boilerplate: Column, low: Column, most: int =
     return pages.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= most)
 
 
-def assign_split(rows: DataFrame, key: str, stratum: str, ratios: tuple[float, float, float], seed: str = "7") -> DataFrame:
-    """train, validation or test by ratio within each stratum, in the order of a seeded hash; ratios sum to 1 at most."""
+def assign_split(rows: DataFrame, key: str, stratum: str, ratios: tuple[float, float, float], seed: str = "7", digits: int = 4) -> DataFrame:
+    """train, validation or test by ratio within each stratum, in the order of a seeded hash; ratios sum to 1 at most.
+
+    Ranks have two levels: counts by the hash's first ``digits`` hex digits (65,536 rows a stratum at most), summed along,
+    and a window within each of these small groups; so a stratum with most of the rows spreads over tasks. A null stratum is one."""
     if len(ratios) != 3 or sum(ratios) > 1 + 1e-9:
         raise ValueError("three ratios of a sum of at most 1 are needed")
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
-    w = Window.partitionBy(stratum)
-    n, i = F.count("*").over(w), F.row_number().over(w.orderBy(h, key))
+    own = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))).withColumns({"_b": F.substring("_h", 1, digits), "_s": F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))})
+    per = own.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("_s")
+    before = per.withColumns({"_n": F.sum("_c").over(w), "_before": F.sum("_c").over(w.orderBy("_b")) - F.col("_c")}).drop("_c")
+    ranked_rows = own.withColumn("_i", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key))).join(before, ["_s", "_b"])
+    n, i = F.col("_n"), F.col("_before") + F.col("_i")
     first, second = F.floor(n * ratios[0]), F.floor(n * ratios[1])
-    return rows.withColumn("split", F.when(i <= first, "train").when(i <= first + second, "validation").otherwise("test"))
+    return ranked_rows.select(*rows.columns, F.when(i <= first, "train").when(i <= first + second, "validation").otherwise("test").alias("split"))

@@ -10,24 +10,30 @@ from docmill.functions.text import normalize_doc_name, page_gap_score
 METRICS = ["retrieval_accuracy", "precision_at_5", "recall_at_5", "mrr", "ndcg", "context_precision", "citation_accuracy", "answer_relevancy", "faithfulness"]
 
 
+def hit_metrics(golden: DataFrame, hits: DataFrame, top: int = 5) -> DataFrame:
+    """qid, retrieval_accuracy, precision_at_5, recall_at_5, mrr, ndcg, context_precision: one join and one grouping of the first hits.
+
+    Accuracy: best page-gap score of the hits of the document, names without volume suffix. The others: plain lower-case
+    names, matches of any page. A question without hits has zeros."""
+    h = hits.where(F.col("rank") <= top).select("qid", "document_name", "page_number", "rank")
+    j = golden.select("qid", "expected_document", "expected_page").join(h, "qid", "left")
+    loose = normalize_doc_name(F.col("document_name")) == normalize_doc_name(F.col("expected_document"))
+    score = F.when(loose & F.col("document_name").isNotNull(), page_gap_score(F.col("page_number"), F.col("expected_page"))).otherwise(0.0)
+    same = F.lower(F.trim("document_name")) == F.lower(F.trim("expected_document"))
+    ranks = F.sort_array(F.collect_list(F.when(same, F.col("rank"))))  # at most ``top`` of them
+    r = j.groupBy("qid").agg(F.coalesce(F.max(score), F.lit(0.0)).alias("retrieval_accuracy"), ranks.alias("r"))
+    first, n = F.try_element_at("r", F.lit(1)), F.size("r")
+    precision = F.aggregate(F.transform("r", lambda x, i: (i + 1) / x), F.lit(0.0), lambda s, x: s + x)
+    zero = lambda c: F.round(F.when(n > 0, c).otherwise(0.0), 6)
+    return r.select("qid", "retrieval_accuracy", (n / float(top)).alias("precision_at_5"), F.when(n > 0, 1.0).otherwise(0.0).alias("recall_at_5"), zero(1.0 / first).alias("mrr"), zero(1.0 / F.log2(first + F.lit(1.0))).alias("ndcg"), zero(precision / n).alias("context_precision"))
+
+
 def retrieval_accuracy(golden: DataFrame, hits: DataFrame, top: int = 5) -> DataFrame:
-    """qid, retrieval_accuracy: best page-gap score of the first hits of the document, names without volume suffix."""
-    h = hits.where(F.col("rank") <= top).select("qid", normalize_doc_name(F.col("document_name")).alias("d"), "page_number")
-    j = golden.select("qid", normalize_doc_name(F.col("expected_document")).alias("e"), "expected_page").join(h, "qid", "left")
-    score = F.when(F.col("d") == F.col("e"), page_gap_score(F.col("page_number"), F.col("expected_page"))).otherwise(0.0)
-    return j.groupBy("qid").agg(F.coalesce(F.max(score), F.lit(0.0)).alias("retrieval_accuracy"))
+    return hit_metrics(golden, hits, top).select("qid", "retrieval_accuracy")
 
 
 def rank_metrics(golden: DataFrame, hits: DataFrame, top: int = 5) -> DataFrame:
-    """qid, precision_at_5, recall_at_5, mrr, ndcg, context_precision; plain lower-case names, matches of any page."""
-    h = hits.where(F.col("rank") <= top).select("qid", F.lower(F.trim("document_name")).alias("d"), "rank")
-    j = golden.select("qid", F.lower(F.trim("expected_document")).alias("e")).join(h, "qid", "left").where("d = e OR d IS NULL OR d <> e")
-    ranks = F.sort_array(F.collect_list(F.when(F.col("d") == F.col("e"), F.col("rank"))))  # at most ``top`` of them
-    r = j.groupBy("qid").agg(ranks.alias("r"))
-    first, n = F.try_element_at("r", F.lit(1)), F.size("r")
-    precision = F.aggregate(F.transform("r", lambda x, i: (i + 1) / x), F.lit(0.0), lambda s, x: s + x)
-    zero = lambda c: F.round(F.when(n > 0, c).otherwise(0.0), 6)
-    return r.select("qid", (n / float(top)).alias("precision_at_5"), F.when(n > 0, 1.0).otherwise(0.0).alias("recall_at_5"), zero(1.0 / first).alias("mrr"), zero(1.0 / F.log2(first + F.lit(1.0))).alias("ndcg"), zero(precision / n).alias("context_precision"))
+    return hit_metrics(golden, hits, top).drop("retrieval_accuracy")
 
 
 def citation_scores(golden: DataFrame, citations: DataFrame) -> DataFrame:
@@ -42,9 +48,9 @@ def citation_scores(golden: DataFrame, citations: DataFrame) -> DataFrame:
 def evaluate(golden: DataFrame, hits: DataFrame, citations: DataFrame, answers: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """One row per question with all metrics and a status: Pass from 0.9 accuracy on, Partial above 0, else Failed.
 
-    Nothing is padded. Answer relevancy is a fixed rule: 0.15 for an answer that says not found or error, 0.94 with
+    ``answers`` has (qid, answer) and may have latency_ms, which stays. Nothing is padded. Answer relevancy is a fixed rule: 0.15 for an answer that says not found or error, 0.94 with
     recall, else 0.40. An answer is grounded by its verdict, or, without one, if the accuracy is above 0."""
-    j = golden.select("qid").join(retrieval_accuracy(golden, hits), "qid").join(rank_metrics(golden, hits), "qid").join(citation_scores(golden, citations), "qid").join(answers.select("qid", F.lower("answer").alias("_a")), "qid", "left")
+    j = hit_metrics(golden, hits).join(citation_scores(golden, citations), "qid").join(answers.select("qid", F.lower("answer").alias("_a"), *[c for c in answers.columns if c == "latency_ms"]), "qid", "left")
     if verdicts is not None:
         j = j.join(verdicts.select("qid", "grounded"), "qid", "left")
     else:

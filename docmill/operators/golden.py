@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.patterns import COLUMN_ALIASES
 from docmill.functions.text import sanitize_page, sanitize_text
+from docmill.operators.dedup import repeated
 
 FIELDS = ("query", "expected_answer", "source_document", "page_number", "category")
 
@@ -35,15 +36,13 @@ def validate_rows(df: DataFrame, categories: list[str]) -> DataFrame:
     for c in text.values():
         empty = empty & c.isNull()
     rows = df.withColumns({**{f"_{f}": c for f, c in text.items()}, "_page": page, "_empty": empty})
-    key = F.lower(F.col("_query"))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("row_number"))
     error = lambda bad, field, code: F.when(bad, F.struct(F.lit(field).alias("field_name"), F.lit(code).alias("error_code")))
     found = F.array(
         error(F.col("_query").isNull(), "query", "MISSING_QUERY"), error(F.col("_expected_answer").isNull(), "expected_answer", "MISSING_ANSWER"), error(F.col("_source_document").isNull(), "source_document", "MISSING_SOURCE"),
         error(F.col("_page").isNull(), "page_number", "INVALID_PAGE"), error(~F.col("_category").isin(*categories), "category", "UNKNOWN_CATEGORY"), error(F.col("_category").isNull(), "category", "MISSING_CATEGORY"),
-        error(F.col("_query").isNotNull() & (F.col("_nth") > 1), "query", "DUPLICATE_QUERY"),
+        error(F.col("_query").isNotNull() & F.col("_repeated"), "query", "DUPLICATE_QUERY"),
     )
-    rows = rows.withColumn("_nth", nth).withColumn("errors", F.when(F.col("_empty"), F.array().cast("array<struct<field_name:string,error_code:string>>")).otherwise(F.filter(found, lambda e: e.isNotNull())))
+    rows = repeated(rows, F.lower(F.col("_query")), "row_number").withColumn("errors", F.when(F.col("_empty"), F.array().cast("array<struct<field_name:string,error_code:string>>")).otherwise(F.filter(found, lambda e: e.isNotNull())))
     codes = F.col("errors.error_code")
     only_repeat = (F.size("errors") == 1) & F.array_contains(codes, "DUPLICATE_QUERY")
     status = F.when(F.col("_empty"), "rejected").when(F.size("errors") == 0, "valid").when(only_repeat, "duplicate").otherwise("invalid")

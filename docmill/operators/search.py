@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from itertools import combinations
 
@@ -16,54 +17,99 @@ from docmill.operators.dedup import top_k
 K1, B = 1.2, 0.75
 
 
+def s_stem(term: Column) -> Column:
+    """Harman's S stemmer: English plurals by three rules, the first that fits (``ies`` to ``y``, ``es`` to ``e``, ``s`` to nothing)."""
+    ies, es, s = term.rlike("ies$") & ~term.rlike("[ea]ies$"), term.rlike("es$") & ~term.rlike("[aeo]es$"), term.rlike("s$") & ~term.rlike("[us]s$")
+    return F.when(ies, F.regexp_replace(term, "ies$", "y")).when(es, F.regexp_replace(term, "es$", "e")).when(s, F.regexp_replace(term, "s$", "")).otherwise(term)
+
+
 def analyze(rows: DataFrame, key: list[str], text: str = "text", stopwords: tuple[str, ...] = INDEX_STOPWORDS, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """key columns, pos, term: lower-cased runs of letters and digits without stop words (an exact variant: none);
-    words joined by ``-`` or ``_`` thus give their parts. ``stem`` is an optional column function."""
+    """key columns, pos, term: lower-cased runs of letters and digits without stop words (the exact variant: none, and no stemmer);
+    words joined by ``-`` or ``_`` thus give their parts. ``stem`` is an optional column function, such as :func:`s_stem`."""
     t = rows.select(*key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
     if stopwords:
         t = t.where(~F.col("term").isin(*stopwords))
     return t if stem is None else t.withColumn("term", stem(F.col("term")))
 
 
-def build_index(tokens: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (term, key, tf, len), document frequencies (term, df) and one row of totals (n, avg_len).
+def build_index(rows: DataFrame, key: str, text: str = "text", stopwords: tuple[str, ...] = INDEX_STOPWORDS, stem: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (term, key, tf, len), document frequencies (term, df) and one row of totals (n, avg_len) of rows with unique keys.
 
-    Counts are combined before they are shuffled; a term in very many rows is a large group only of counts."""
-    tf = tokens.groupBy("term", key).agg(F.count("*").alias("tf"))
-    length = tf.groupBy(key).agg(F.sum("tf").alias("len"))
-    postings = tf.join(length, key)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    totals = length.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    Postings are a narrow map: a row's terms are counted where it is read. Only frequencies move, combined first, so that
+    a term in very many rows is a large group of counts alone."""
+    own = F.filter(terms(F.col(text)), lambda t: ~t.isin(*stopwords)) if stopwords else terms(F.col(text))
+    own = rows.select(key, (own if stem is None else F.transform(own, stem)).alias("_terms")).where(F.size("_terms") > 0)
+    counted = F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_terms", lambda x: x == t)).cast("long").alias("tf")))
+    postings = own.select(key, F.size("_terms").cast("long").alias("len"), F.explode(counted).alias("_p")).select("_p.term", key, "_p.tf", "len")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    totals = own.agg(F.count("*").alias("n"), F.avg(F.size("_terms")).alias("avg_len"))
     return postings, df, totals
 
 
+def _idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _gain(tf: str) -> Column:
+    return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
 def bm25(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], key: str, boost: float = 1.0) -> DataFrame:
     """qid, key, score: any query term may match; scores of terms add up, a repeated query term counts as often.
 
     ``queries`` has (qid, term). Postings meet query terms by an equi join; the frequencies of only those terms move."""
     postings, df, totals = index
-    q = queries.groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(df, "term")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    q = queries.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    q = q.join(df.join(queries.select("term").distinct(), "term", "left_semi"), "term")
     hits = postings.join(q, "term").crossJoin(F.broadcast(totals))
-    return hits.groupBy("qid", key).agg(F.round(boost * F.sum(F.col("qtf") * idf * gain), 6).alias("score"))
+    return hits.groupBy("qid", key).agg(F.round(boost * F.sum(F.col("qtf") * _idf() * _gain("tf")), 6).alias("score"))
 
 
 def search(queries: DataFrame, rows: DataFrame, key: str, k: int = 10, stopwords: tuple[str, ...] = INDEX_STOPWORDS) -> DataFrame:
     """The ``k`` best rows of each query (qid, text) by BM25."""
-    index = build_index(analyze(rows, [key], stopwords=stopwords), key)
+    index = build_index(rows, key, stopwords=stopwords)
     return top_k(bm25(analyze(queries, ["qid"], stopwords=stopwords), index, key), k, tie=key)
 
 
-def phrase_hits(queries: DataFrame, tokens: DataFrame, key: str, boost: float = 2.0) -> DataFrame:
-    """qid, key, score: rows that hold all terms of the query in a row, ``boost`` for each occurrence.
+def phrase_hits(queries: DataFrame, tokens: DataFrame, key: str, df: DataFrame) -> DataFrame:
+    """qid, key, occurrences: rows that hold all terms of the query one after the other.
 
-    Query terms keep their offsets; an occurrence is a start at which as many terms agree as the query has."""
+    Query terms (qid, term, pos) keep their offsets. Only places of a query's rarest term (by ``df``) start a comparison,
+    the other terms are looked up at their places by an equi join, so common words cost nothing."""
     q = queries.select("qid", "term", F.col("pos").alias("off"))
-    n = q.groupBy("qid").agg(F.count("*").alias("n"))
-    starts = tokens.join(q, "term").groupBy("qid", key, (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("hit"))
-    whole = starts.join(n, "qid").where("hit = n")
-    return whole.groupBy("qid", key).agg((F.count("*") * boost).alias("score"))
+    known = q.join(df.join(q.select("term").distinct(), "term", "left_semi"), "term", "left")
+    asked = known.groupBy("qid").agg(F.count("*").alias("n"), F.count("df").alias("known"), F.min(F.struct("df", "off", "term")).alias("r")).where("n = known")
+    start = tokens.join(asked.select("qid", "n", "r.term", "r.off"), "term").select("qid", key, "n", (F.col("pos") - F.col("off")).alias("start")).distinct()
+    need = start.join(q, "qid").withColumn("pos", F.col("start") + F.col("off"))
+    whole = need.join(tokens.select(key, "pos", "term"), [key, "pos", "term"]).groupBy("qid", key, "start", "n").agg(F.count("*").alias("hit")).where("hit = n")
+    return whole.groupBy("qid", key).agg(F.count("*").alias("occurrences"))
+
+
+def phrase_score(queries: DataFrame, rows: DataFrame, key: str, boost: float = 2.0, text: str = "text") -> DataFrame:
+    """qid, key, score: BM25 of the whole query as one phrase of the exact field: its frequency, and the sum of its terms' idf."""
+    postings, df, totals = build_index(rows, key, text, stopwords=())
+    asked = analyze(queries, ["qid"], stopwords=())
+    weight = asked.join(df, "term").crossJoin(F.broadcast(totals)).groupBy("qid").agg(F.sum(_idf()).alias("weight"))
+    length = rows.select(key, F.size(terms(F.col(text))).alias("len"))
+    hits = phrase_hits(asked, analyze(rows, [key], text, stopwords=()), key, df).join(length, key).join(weight, "qid").crossJoin(F.broadcast(totals))
+    return hits.select("qid", key, F.round(boost * F.col("weight") * _gain("occurrences"), 6).alias("score"))
+
+
+def name_score(queries: DataFrame, rows: DataFrame, key: str, boost: float = 0.5, name: str = "document_name", stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """qid, key, score: BM25 of the query on the rows' document names."""
+    return bm25(analyze(queries, ["qid"], stem=stem), build_index(rows, key, name, stem=stem), key, boost)
+
+
+def keyword_search(queries: DataFrame, rows: DataFrame, key: str, k: int = 10, fuzzy: bool = False, stem: Callable[[Column], Column] | None = None, category: str | None = None) -> DataFrame:
+    """The ``k`` best rows (key, text, document_name) of each query (qid, text) over three fields: the text without stop words
+    (boost 1), the exact text as a phrase (2) and the document's name (0.5); their scores add up. ``fuzzy``: see :func:`fuzzy_search`.
+    With a ``category`` only its rows are hits; frequencies are those of all rows."""
+    of_category = lambda hits: hits if category is None else hits.join(rows.where(F.col("category") == category).select(key), key, "left_semi")
+    if fuzzy:
+        return top_k(of_category(fuzzy_search(queries, rows, key, stem)), k, tie=key)
+    parts = bm25(analyze(queries, ["qid"], stem=stem), build_index(rows, key, stem=stem), key)
+    parts = parts.unionByName(phrase_score(queries, rows, key)).unionByName(name_score(queries, rows, key, stem=stem))
+    return top_k(of_category(parts.groupBy("qid", key).agg(F.round(F.sum("score"), 6).alias("score"))), k, tie=key)
 
 
 def edit_budget(term: Column) -> Column:
@@ -72,58 +118,96 @@ def edit_budget(term: Column) -> Column:
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
+def _without(term: Column, edits: Column) -> Column:
+    """The term, and what is left of it without one or two of its letters (as far as ``edits`` allow)."""
+    less = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(t.substr(F.lit(1), i - 1), t.substr(i + 1, F.length(t))))
+    none = F.array().cast("array<string>")
+    one = F.when((edits >= 1) & (F.length(term) > 0), less(term)).otherwise(none)
+    two = F.when(edits >= 2, F.flatten(F.transform(F.array_distinct(one), lambda t: F.when(F.length(t) > 0, less(t)).otherwise(none)))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(term), one, two))
+
+
 def fuzzy_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """qid, term: terms of the vocabulary within the query term's edit budget, that share its first letter.
+    """qid, asked, term: terms of the vocabulary within the query term's edit budget.
+
+    Two words within so many edits share what is left of them without at most so many letters, hence an equi join on that
+    (deletion neighbourhoods), then the edit distance itself."""
+    asked = queries.select(F.col("term").alias("asked")).distinct().withColumn("budget", edit_budget(F.col("asked")))
+    left = asked.select("asked", "budget", F.explode(_without(F.col("asked"), F.col("budget"))).alias("rest"))
+    # a term of n letters is asked for by words of n - 2 to n + 2 letters: below 2 none of these has a budget, below 4 none has two edits
+    v = vocabulary.select("term").distinct()
+    right = v.select("term", F.explode(_without(F.col("term"), F.when(F.length("term") < 2, 0).when(F.length("term") < 4, 1).otherwise(2))).alias("rest"))
+    near = left.join(right, "rest").where(F.levenshtein("asked", "term") <= F.col("budget")).select("asked", "term").distinct()
+    return queries.select("qid", F.col("term").alias("asked")).distinct().join(near, "asked").select("qid", "asked", "term")
+
+
+def fuzzy_search(queries: DataFrame, rows: DataFrame, key: str, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """qid, key, score: the best of three fields, each by BM25 over all terms within the edit budget of a query term: text (boost 3),
+    exact text (2) and document name (1)."""
+    fields = (("text", INDEX_STOPWORDS, stem, 3.0), ("text", (), None, 2.0), ("document_name", INDEX_STOPWORDS, stem, 1.0))
+    found = None
+    for text, stop, own, boost in fields:
+        index = build_index(rows, key, text, stop, own)
+        wanted = fuzzy_terms(analyze(queries, ["qid"], stopwords=stop, stem=own), index[1])
+        part = bm25(wanted.select("qid", "term"), index, key, boost)
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("qid", key).agg(F.max("score").alias("score"))
 
-    Candidates meet by (first letter, length), one bucket for each length that the budget allows."""
-    q = queries.select("qid", F.col("term").alias("asked")).distinct().withColumn("budget", edit_budget(F.col("asked")))
-    q = q.withColumn("n", F.explode(F.sequence(F.length("asked") - F.col("budget"), F.length("asked") + F.col("budget")))).withColumn("c", F.substring("asked", 1, 1))
-    v = vocabulary.select("term").distinct().withColumns({"n": F.length("term"), "c": F.substring("term", 1, 1)})
-    near = q.join(v, ["c", "n"]).where(F.levenshtein("asked", "term", 2).between(0, 2)).where(F.levenshtein("asked", "term") <= F.col("budget"))
-    return near.select("qid", "asked", "term")
 
+def _packed(rows: DataFrame, key: str, by: Column | None, size: int) -> DataFrame:
+    """Vectors in packs: ids and the vectors one after the other; of the batches as they are read, or by ``by``."""
+    if by is not None:
+        listed = F.sort_array(F.collect_list(F.struct(key, F.col("embedding").cast("array<double>").alias("v"))))
+        packs = rows.groupBy(by.alias("_b")).agg(listed.alias("l"))
+        return packs.select(F.transform("l", lambda x: x[key]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("v"))
 
-def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, floor: float = 0.3, block: int = 2048) -> DataFrame:
-    """qid, vec_id, score, rank: exact cosine search, at least ``floor``, the ``k`` best.
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                part = whole.slice(at, size)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(key).to_pylist()], pa.list_(pa.int64())), pa.array([part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)], pa.list_(pa.float64()))], ["ids", "v"])
+
+    return rows.select(key, "embedding").where("embedding IS NOT NULL").mapInArrow(run, "ids array<long>, v array<double>")
 
-    The stated query set meets all rows in blocks of at most ``block`` queries (a broadcast of bounded size each); a
-    task multiplies its batches with a block and keeps its own k best a query, so k rows a task and query move."""
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    found = None
-    for p in range(parts):
-        mine = queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p).collect()
-        if not mine:
-            continue
-        held = corpus.sparkSession.sparkContext.broadcast(([r.qid for r in mine], np.array([r.embedding for r in mine], np.float64)))
-        part = corpus.select("vec_id", "embedding").mapInPandas(_block_search(held, k, floor), "qid long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.limit(0).select(F.col("vec_id").alias("qid"), "vec_id", F.lit(0.0).alias("score"))
-    return top_k(found, k, tie="vec_id")
 
+def _best_of_packs(k: int, floor: float):
+    def unit(x):
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-def _block_search(held, k: int, floor: float):
     def run(batches):
-        import pandas as pd
-
-        qids, q = held.value
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        for pdf in batches:
-            x = np.array(pdf["embedding"].tolist(), np.float64)
-            if not len(x):
-                continue
-            scores = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T, 6)
-            ids = pdf["vec_id"].to_numpy()
-            for j in range(len(qids)):
-                s = scores[:, j]
-                best = np.lexsort((ids, -s))[:k]
-                best = best[s[best] >= floor]
-                yield pd.DataFrame({"qid": qids[j], "vec_id": ids[best], "score": s[best]})
+        import pyarrow as pa
+
+        for batch in batches:
+            for qids, qv, ids, v in zip(*[batch.column(c) for c in ("qids", "qv", "ids", "v")], strict=True):
+                qids, ids = (x.values.to_numpy(zero_copy_only=False) for x in (qids, ids))
+                q, x = (unit(m.values.to_numpy(zero_copy_only=False).reshape(n, -1)) for m, n in ((qv, len(qids)), (v, len(ids))))
+                scores = np.round(q @ x.T, 6)
+                order = np.argsort(ids, kind="stable")
+                top = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]  # ties by id
+                best = np.take_along_axis(scores, top, axis=1)
+                i, j = np.nonzero(best >= floor)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(ids[top[i, j]]), pa.array(best[i, j])], ["qid", "vec_id", "score"])
 
     return run
 
 
+def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, floor: float = 0.3, block: int = 2048, category: str | None = None) -> DataFrame:
+    """qid, vec_id, score, rank: exact cosine search, at least ``floor``, the ``k`` best; of one ``category`` if given.
+
+    The stated query set, in blocks of about ``block`` vectors, meets the corpus in packs of rows: a task multiplies a pack
+    with a block and keeps k rows of it a query, so that only those move. Neither side passes the driver; one block (of
+    bounded size) is broadcast, more are not. Null vectors and null ids have no hits."""
+    if category is not None:
+        corpus = corpus.where(F.col("category") == category)
+    asked = queries.where("embedding IS NOT NULL AND qid IS NOT NULL")
+    blocks = max(1, -(-asked.count() // block))
+    q = _packed(asked, "qid", F.pmod(F.xxhash64("qid"), F.lit(blocks)), block).select(F.col("ids").alias("qids"), F.col("v").alias("qv"))
+    pairs = _packed(corpus.where("vec_id IS NOT NULL"), "vec_id", None, block).crossJoin(F.broadcast(q) if blocks == 1 else q)
+    return top_k(pairs.mapInArrow(_best_of_packs(k, floor), "qid long, vec_id long, score double"), k, tie="vec_id")
+
+
 def vector_search_approx(queries: DataFrame, corpus: DataFrame, k: int = 10, floor: float = 0.3, tables: int = 16, bits: int = 10, flips: int = 2, seed: int = 3) -> DataFrame:
     """As :func:`vector_search`, with candidates by random hyperplanes: rows that share a query's ``bits`` signs in one
     of ``tables`` tables, or differ in at most ``flips``. A row at the floor of 0.3 is a candidate with probability
@@ -153,26 +237,63 @@ def vector_search_approx(queries: DataFrame, corpus: DataFrame, k: int = 10, flo
     return top_k(pairs.groupBy("qid", "vec_id").agg(F.first("score").alias("score")), k, tie="vec_id")
 
 
-def embed(rows: DataFrame, key: str, width: int = 64, batch: int = 32) -> DataFrame:
-    """key, embedding: hashed term counts at length 1, as a stand-in for a model; one Arrow pass over batches."""
+def hashed_counts(texts: list[str], width: int = 64) -> np.ndarray:
+    """Counts of words (lower case, between spaces) by the first byte of their MD5: a stand-in for a model."""
+    out = np.zeros((len(texts), width))
+    for i, t in enumerate(texts):
+        for w in t.lower().split(" "):
+            if w:
+                out[i, hashlib.md5(w.encode()).digest()[0] % width] += 1
+    return out
+
+
+def embed(rows: DataFrame, key: str, model: Callable[[list[str]], np.ndarray] = hashed_counts, width: int = 64, batch: int = 32) -> DataFrame:
+    """key, embedding, error: texts in batches of ``batch`` through ``model`` (a list of texts to a matrix), at length 1.
+
+    A batch that the model fails on, or gives another width, is not lost: its rows have no embedding, and the reason. Null
+    and empty texts are not asked for (error: empty text)."""
+    kind = rows.schema[key].dataType
 
     def run(batches):
-        import zlib
-
-        import pandas as pd
-
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                out = np.zeros((len(part), width))
-                for i, t in enumerate(part["text"]):
-                    for w in (t or "").lower().split():
-                        out[i, zlib.crc32(w.encode()) % width] += 1
-                out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(out.astype(np.float32))})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "text").mapInPandas(run, f"{key} {kind}, embedding array<float>")
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                texts = part.column("text").to_pylist()
+                some = [i for i, t in enumerate(texts) if t and t.strip()]
+                vectors, errors = [None] * len(texts), [None if t and t.strip() else "empty text" for t in texts]
+                try:
+                    made = np.asarray(model([texts[i] for i in some]), np.float64) if some else np.zeros((0, width))
+                    if made.shape != (len(some), width):
+                        raise ValueError(f"width {made.shape[-1]} instead of {width}")
+                    made = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+                    for i, v in zip(some, made, strict=True):
+                        vectors[i] = v.astype(np.float32)
+                except Exception as e:  # the batch fails, not the job
+                    for i in some:
+                        errors[i] = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], [key, "embedding", "error"])
+
+    return rows.select(key, "text").mapInArrow(run, f"{key} {kind.simpleString()}, embedding array<float>, error string")
+
+
+def embed_corpus(chunks: DataFrame, old: DataFrame, errors: Column, key: str = "chunk_id", order: str = "page_number", **how) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``old`` (key, embedding) with the embeddings of ``chunks`` in place of those of equal keys, and one row of
+    counts: total, embedded, repeated (all but the first chunk of a key), invalid (``errors``, an array, is not empty) and failed.
+
+    The model's results are used twice, so they are kept (memory and disk) until the caller clears the cache."""
+    from docmill.operators.dedup import first_rows
+    from docmill.sources.tables import upsert
+
+    rows = chunks.withColumn("_errors", F.size(errors))
+    known = first_rows(rows, [key], [order])
+    made = embed(known.where("_errors = 0"), key, **how).persist()
+    good = made.where("embedding IS NOT NULL").select(key, "embedding")
+    n = made.agg(F.count("embedding").alias("embedded"), F.count("error").alias("failed"))
+    kept = known.agg(F.count("*").alias("_kept"), F.count_if(F.col("_errors") > 0).alias("invalid"))
+    counts = rows.agg(F.count("*").alias("total")).crossJoin(kept).crossJoin(n)
+    return upsert(old, good, [key]), counts.select("total", "embedded", (F.col("total") - F.col("_kept")).alias("repeated"), "invalid", "failed")
 
 
 def rerank(hits: DataFrame, score: Column) -> DataFrame:

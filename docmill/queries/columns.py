@@ -32,12 +32,12 @@ def _(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", fx.clean_query(F.col("text"), lowercase=True).alias("q"))
 
 
-@query("f6_stable_ids", "SELECT doc_id, 'node_' || left(sha256('Doc_' || doc_id || '_vol' || (doc_id % 3) || '.pdf'), 12) AS node, left(sha256(lower(trim(left(text, 60))) || '|' || lower(trim(source))), 12) AS record, 'okf_doc_' || left(sha256(source), 12) AS okf FROM documents")
+@query("f6_stable_ids", "SELECT doc_id, 'node_' || left(sha256('Doc_' || doc_id || '_vol' || (doc_id % 3) || '.pdf'), 12) AS node, left(sha256(lower(trim(text)) || '|' || lower(trim(source))), 12) AS record, 'okf_doc_' || left(sha256(source), 12) AS okf FROM documents")
 def _(spark, sf):
     from docmill.plans.views import file_name
 
     d = table(spark, sf, "documents")
-    return d.select("doc_id", fx.node_id(file_name(F.col("doc_id"))).alias("node"), fx.record_id(F.substring("text", 1, 60), F.col("source")).alias("record"), fx.knowledge_id("doc", F.col("source")).alias("okf"))
+    return d.select("doc_id", fx.node_id(file_name(F.col("doc_id"))).alias("node"), fx.record_id(F.col("text"), F.col("source")).alias("record"), fx.knowledge_id("doc", F.col("source")).alias("okf"))
 
 
 @query("f5_document_id")
@@ -177,9 +177,9 @@ def _(spark, sf):
     return chunks(spark, sf).where("document_id = 42").select("chunk_id", "page_number", "chunk_index", "text")
 
 
-@query("x2_detect_headings", r"SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::INT AS line_no FROM (SELECT doc_id, string_split(replace(upper(text), '.', ''), chr(10)) AS ls FROM documents WHERE strlen(text) = length(text))) WHERE regexp_matches(line, '^(PART\s+[0-9A-Z\-\. ]+|SUBCHAPTER\s+[A-Z\-\. ]+|§\s*[0-9]+[a-zA-Z0-9\-\.\:]*|Sec(tion)?\s*\.?\s*[0-9]+[a-zA-Z0-9\-\.\:]*|[A-Z0-9 ,\-\:\(\)]{8,80})$')")
+@query("x2_detect_headings", r"SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::INT AS line_no FROM (SELECT doc_id, string_split(replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '.', ''), chr(10)) AS ls FROM documents)) WHERE regexp_matches(line, '^(PART\s+[0-9A-Z\-\. ]+|SUBCHAPTER\s+[A-Z\-\. ]+|§\s*[0-9]+[a-zA-Z0-9\-\.\:]*|Sec(tion)?\s*\.?\s*[0-9]+[a-zA-Z0-9\-\.\:]*|[A-Z0-9 ,\-\:\(\)]{8,80})$')")
 def _(spark, sf):
-    """Headings, defined per line; texts are upper-cased first, as their own lines hold none."""
-    d = table(spark, sf, "documents").where("octet_length(text) = length(text)")
-    d = d.select("doc_id", F.posexplode(F.split(F.replace(F.upper("text"), F.lit("."), F.lit("")), "\n")).alias("line_no", "line"))
+    """Headings, defined per line; a-z are upper-cased first, as the texts' own lines hold none."""
+    upper = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.replace(upper, F.lit("."), F.lit("")), "\n")).alias("line_no", "line"))
     return d.where(F.col("line").rlike(pt.HEADING))

@@ -1,7 +1,4 @@
-"""Queries of question sets, evaluation and answers.
-
-Golden questions come from ``documents``: every document whose id is divisible by 25 asks for its own words.
-"""
+"""Queries of question sets, evaluation and answers. Golden questions are the passages of ``benchmark``, all of them."""
 
 from __future__ import annotations
 
@@ -13,7 +10,8 @@ from docmill.operators import answers as an
 from docmill.operators import evaluate as ev
 from docmill.operators import golden as go
 from docmill.operators import search as se
-from docmill.plans.views import file_name, table
+from docmill.operators.joins import passages_in
+from docmill.plans.views import PAGE, file_name, table
 from docmill.queries.search import _STOP, INDEX_SQL, POSTINGS_SQL, SCORE_SQL, keyed_chunks, questions
 
 RAW_SQL = """raw AS (SELECT (event_id + 2)::INT AS row_number, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE event_type || (user_id % 40) || '?' END AS query, CASE WHEN event_id % 7 = 0 OR event_id % 77 = 0 THEN NULL ELSE 'answer ' || event_id END AS expected_answer, CASE WHEN event_id % 77 = 0 THEN '' ELSE 'f' || user_id || '.pdf' END AS source_document, CASE WHEN event_id % 77 = 0 THEN NULL ELSE (event_id % 5)::VARCHAR || '.0' END AS page_number, CASE WHEN event_id % 77 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'Other' ELSE 'Tax' END AS category FROM events)"""
@@ -67,7 +65,8 @@ def _(spark, sf):
     return go.export_rows(rows, {"doc_id": "id", "text": "prompt", "lang": "language"}, "quality = 1 AND toxic = 0")
 
 
-EVAL_SQL = POSTINGS_SQL + rf""", g AS (SELECT doc_id AS qid, 'Doc_' || doc_id || '_vol' || (doc_id % 3) || '.pdf' AS expected_document, 1 AS expected_page, substring(text, 601, 120) AS qtext FROM documents WHERE doc_id % 25 = 0 AND length(text) > 800),
+EVAL_SQL = POSTINGS_SQL + rf""", tr AS (SELECT item_id AS qid, doc_id, instr(d.text, b.text) AS pos FROM benchmark b JOIN documents d ON contains(d.text, b.text)), tf1 AS (SELECT qid, min(doc_id) AS doc_id FROM tr GROUP BY qid),
+g AS (SELECT item_id AS qid, CASE WHEN t.doc_id IS NULL THEN 'none.pdf' ELSE 'Doc_' || t.doc_id || '_vol' || (t.doc_id % 3) || '.pdf' END AS expected_document, coalesce((pos - 1) // 1500 + 1, 1)::INT AS expected_page, text AS qtext FROM benchmark LEFT JOIN tf1 f ON f.qid = item_id LEFT JOIN tr t ON t.qid = f.qid AND t.doc_id = f.doc_id),
 qt AS (SELECT * FROM (SELECT qid, unnest(regexp_extract_all(lower(qtext), '[\p{{L}}\p{{N}}]+')) AS term FROM g) WHERE term NOT IN ({_STOP})), """ + SCORE_SQL + r""",
 h AS (SELECT kw.*, c.document_name, c.page_number FROM kw JOIN (SELECT chunk_id || '#' || document_id AS ck, document_name, page_number FROM chunks) c USING (ck)),
 n AS (SELECT g.*, h.rank, h.document_name, h.page_number, regexp_replace(replace(lower(h.document_name), '.pdf', ''), '(_|-)?vol(ume)?_?\d+', '') = regexp_replace(replace(lower(expected_document), '.pdf', ''), '(_|-)?vol(ume)?_?\d+', '') AS loose, lower(h.document_name) = lower(expected_document) AS same FROM g LEFT JOIN h ON h.qid = g.qid AND rank <= 5),
@@ -76,14 +75,23 @@ ap AS (SELECT qid, avg(i::DOUBLE / rank) AS context_precision FROM (SELECT qid,
 ev AS (SELECT qid, retrieval_accuracy, k / 5.0::DOUBLE AS precision_at_5, CASE WHEN k > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS recall_at_5, round(coalesce(1.0::DOUBLE / f, 0), 6) AS mrr, round(coalesce(1.0::DOUBLE / log2(f + 1), 0), 6) AS ndcg, round(coalesce(context_precision, 0), 6) AS context_precision FROM m LEFT JOIN ap USING (qid))"""
 
 
+def truth(spark, sf):
+    """qid, document_id, at: the documents that hold a passage, and where."""
+    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("pid"), "text")
+    return passages_in(passages, table(spark, sf, "documents").select(F.col("doc_id").alias("tid"), "text")).select(F.col("pid").alias("qid"), F.col("tid").alias("document_id"), "at")
+
+
 def golden_questions(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 25 = 0 AND length(text) > 800")
-    return d.select(F.col("doc_id").alias("qid"), file_name(F.col("doc_id")).alias("expected_document"), F.lit(1).alias("expected_page"), F.substring("text", 601, 120).alias("text"))
+    """Every passage as a question; expected is the first document that holds it, and the page where it starts ('none.pdf' if none)."""
+    first = truth(spark, sf).groupBy("qid").agg(F.min(F.struct("document_id", "at")).alias("f"))
+    j = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text").join(first, "qid", "left")
+    page = F.coalesce((F.floor((F.col("f.at") - 1) / PAGE) + 1).cast("int"), F.lit(1))
+    return j.select("qid", F.coalesce(file_name(F.col("f.document_id")), F.lit("none.pdf")).alias("expected_document"), page.alias("expected_page"), "text")
 
 
 def golden_hits(spark, sf):
     rows = keyed_chunks(spark, sf)
-    return se.search(golden_questions(spark, sf), rows, "ck").join(rows.select("ck", "document_name", "page_number", "text"), "ck")
+    return se.search(questions(spark, sf), rows, "ck").join(rows.select("ck", "document_name", "page_number", "text"), "ck")
 
 
 @query("e1_retrieval_accuracy", f"WITH {EVAL_SQL} SELECT qid, retrieval_accuracy FROM ev")
@@ -112,7 +120,7 @@ def _(spark, sf):
 
 def evaluated(spark, sf):
     g = golden_questions(spark, sf)
-    told = g.select("qid", F.when(F.col("qid") % 4 == 0, "Information not found in the provided legal documents.").otherwise(F.col("text")).alias("answer"))
+    told = g.select("qid", F.when(F.col("qid") % 4 == 0, "Information not found in the provided legal documents.").otherwise(F.col("text")).alias("answer"), F.length("text").alias("latency_ms"))
     return ev.evaluate(g, golden_hits(spark, sf), cited(spark, sf), told)
 
 
@@ -121,7 +129,7 @@ def _(spark, sf):
     return evaluated(spark, sf).select("qid", "retrieval_accuracy", "answer_relevancy", "faithfulness", "status")
 
 
-@query("a15_evaluation_summary", f"WITH {EVAL_SQL} SELECT count(*) AS questions, round(avg(retrieval_accuracy), 6) AS retrieval_accuracy, round(avg(mrr), 6) AS mrr, count(*) FILTER (retrieval_accuracy >= 0.9) AS pass, count(*) FILTER (retrieval_accuracy > 0 AND retrieval_accuracy < 0.9) AS partial, count(*) FILTER (retrieval_accuracy = 0) AS failed FROM ev")
+@query("a15_evaluation_summary", f"WITH {EVAL_SQL} SELECT count(*) AS questions, round(avg(retrieval_accuracy), 6) AS retrieval_accuracy, round(avg(mrr), 6) AS mrr, (SELECT round(avg(length(qtext)), 2) FROM g) AS mean_latency_ms, count(*) FILTER (retrieval_accuracy >= 0.9) AS pass, count(*) FILTER (retrieval_accuracy > 0 AND retrieval_accuracy < 0.9) AS partial, count(*) FILTER (retrieval_accuracy = 0) AS failed FROM ev")
 def _(spark, sf):
     return ag.evaluation_summary(evaluated(spark, sf), ["retrieval_accuracy", "mrr"])
 
@@ -138,10 +146,11 @@ def _(spark, sf):
     return an.prompts(golden_questions(spark, sf), context, "Q: {question}\n{context}")
 
 
-@query("f17_parse_model_json", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'Information not found in the provided legal documents.' ELSE trim(replace(left(text, 40), '\"', '')) END AS answer, CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END AS n, turn % 3 <> 2 AS parsed FROM conversations WHERE NOT contains(left(text, 40), chr(92)) AND NOT contains(left(text, 40), chr(10)) AND NOT contains(left(text, 40), chr(9))")
+@query("f17_parse_model_json", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'Information not found in the provided legal documents.' ELSE trim(coalesce(text, '')) END AS answer, CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END AS n, turn % 3 <> 2 AS parsed FROM conversations")
 def _(spark, sf):
-    c = table(spark, sf, "conversations").where(~F.substring("text", 1, 40).rlike(r"[\\\n\t]"))
-    body = F.concat(F.lit('{"answer": " '), F.replace(F.substring("text", 1, 40), F.lit('"'), F.lit("")), F.lit('", "summary": "s", "citations": [{"document": "A.pdf", "page": 2, "category": "Tax"}, {"page": 3}]}'))
+    c = table(spark, sf, "conversations")
+    cited = F.from_json(F.lit('[{"document": "A.pdf", "page": 2, "category": "Tax"}, {"page": 3}]'), "array<struct<document:string,page:int,category:string>>")
+    body = F.to_json(F.struct(F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("answer"), F.lit("s").alias("summary"), cited.alias("citations")))
     raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("turn") % 3 == 1, body).otherwise("I cannot say.")
     got = an.parse_model_json(c.select(F.struct("conv_id", "turn").alias("qid"), raw.alias("raw_response")))
     return got.select("qid.*", "answer", F.size("citations").alias("n"), "parsed")
@@ -155,8 +164,5 @@ def _(spark, sf):
     rows, asked = keyed_chunks(spark, sf), questions(spark, sf)
     hits = se.search(asked, rows, "ck").where("rank <= 5").join(rows.select("ck", "document_id"), "ck").select("qid", "document_id", "rank")
     first = hits.groupBy("qid", "document_id").agg(F.min("rank").alias("rank"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("body"))
-    small = asked.count() <= 100_000
-    truth = docs.join(F.broadcast(asked) if small else asked, F.col("body").contains(F.col("text"))).select("qid", "document_id")
-    j = truth.join(first, ["qid", "document_id"], "left")
+    j = truth(spark, sf).join(first, ["qid", "document_id"], "left")
     return j.groupBy("qid").agg(F.countDistinct("document_id").alias("relevant"), F.countDistinct(F.when(F.col("rank").isNotNull(), F.col("document_id"))).alias("found"), F.coalesce(F.round(1.0 / F.min("rank"), 6), F.lit(0.0)).alias("mrr"))

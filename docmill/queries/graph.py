@@ -73,10 +73,10 @@ def _(spark, sf):
     return r.select("seed", "node", "level", "node_type")
 
 
-@query("g4_expand_results", f"WITH {EDGES_SQL}, o AS (SELECT doc_id % 10 AS qid, doc_id AS node FROM documents WHERE doc_id % 50 < 10), b AS (SELECT source_id AS u, target_id AS v FROM edges UNION SELECT target_id, source_id FROM edges) SELECT DISTINCT qid, v AS node, 1 AS level FROM o JOIN b ON u = node WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.qid = o.qid AND x.node = v)")
+@query("g4_expand_results", f"WITH {EDGES_SQL}, o AS (SELECT doc_id % 10 AS qid, doc_id AS node FROM documents WHERE length(text) > 0), b AS (SELECT source_id AS u, target_id AS v FROM edges UNION SELECT target_id, source_id FROM edges) SELECT DISTINCT qid, v AS node, 1 AS level FROM o JOIN b ON u = node WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.qid = o.qid AND x.node = v)")
 def _(spark, sf):
     own = gr.build_nodes(chunks(spark, sf), TYPES).drop("node_id").withColumnRenamed("document_id", "node_id").withColumn("chunk_ids", F.transform("chunk_ids", lambda c: F.concat(c, F.lit("#"), F.col("node_id").cast("string"))))
-    hits = table(spark, sf, "documents").where("doc_id % 50 < 10").select((F.col("doc_id") % 10).alias("qid"), F.format_string("%d_PAGE001_CHUNK000#%d", F.col("doc_id"), F.col("doc_id")).alias("chunk_id"))
+    hits = table(spark, sf, "documents").where("length(text) > 0").select((F.col("doc_id") % 10).alias("qid"), F.format_string("%d_PAGE001_CHUNK000#%d", F.col("doc_id"), F.col("doc_id")).alias("chunk_id"))
     return gr.expand_results(hits, jn.chunks_to_nodes(own), edges(spark, sf))
 
 
@@ -103,26 +103,26 @@ def _(spark, sf):
     return jn.map_sources(g, registry(spark, sf))
 
 
-@query("j2_propagate_to_duplicates", f"WITH {REGISTRY_SQL}, m AS (SELECT document_id, first_value(document_id) OVER (PARTITION BY checksum_sha256 ORDER BY relative_path, document_id) AS f FROM registry), q AS (SELECT doc_id AS document_id, left(text, 20) AS query FROM documents) SELECT document_id, query, false AS copied FROM q UNION ALL SELECT m.document_id, query, true FROM q JOIN m ON m.f = q.document_id AND m.f <> m.document_id")
+@query("j2_propagate_to_duplicates", f"WITH {REGISTRY_SQL}, m AS (SELECT document_id, first_value(document_id) OVER (PARTITION BY checksum_sha256 ORDER BY relative_path, document_id) AS f FROM registry), q AS (SELECT doc_id AS document_id, text AS query FROM documents) SELECT document_id, query, false AS copied FROM q UNION ALL SELECT m.document_id, query, true FROM q JOIN m ON m.f = q.document_id AND m.f <> m.document_id")
 def _(spark, sf):
     from docmill.operators.dedup import mark_duplicate_files
 
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.substring("text", 1, 20).alias("query"))
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("query"))
     return jn.propagate_to_duplicates(q, mark_duplicate_files(registry(spark, sf)))
 
 
-@query("j3_resolve_reference", r"""WITH r AS (SELECT doc_id AS source_id, regexp_extract(text, '([a-z]{5,})', 1) AS matched FROM documents WHERE strlen(text) = length(text)), t AS (SELECT DISTINCT source_id, matched FROM r WHERE matched <> ''),
-d AS (SELECT c_custkey AS document_id, c_custkey AS ord, lower(left(sha256(c_custkey::VARCHAR), 2)) AS stem FROM customer WHERE c_custkey <= 100000 UNION ALL SELECT doc_id + 10000000, doc_id + 10000000, regexp_extract(text, '([a-z]{5,})', 1) FROM documents WHERE strlen(text) = length(text)),
-c AS (SELECT source_id, matched, document_id, CASE WHEN contains(stem, matched) OR contains(matched, stem) THEN 1 ELSE 2 END AS pass, ord FROM t JOIN d ON stem <> '' AND (contains(stem, matched) OR contains(matched, stem)) WHERE source_id + 10000000 <> document_id)
-SELECT source_id - 0 AS source_id, matched, first(document_id ORDER BY pass, ord) AS target_id FROM c GROUP BY ALL""")
+@query("j3_resolve_reference", r"""WITH t AS (SELECT DISTINCT doc_id AS source_id, unnest(regexp_extract_all(text, '([a-z]{9,})', 1)) AS matched FROM documents),
+d AS (SELECT c_custkey AS document_id, c_custkey AS ord, lower(left(sha256(c_custkey::VARCHAR), 2)) AS stem FROM customer UNION ALL SELECT -1 - doc_id, doc_id + 1000000000000, regexp_extract(text, '([a-z]{5,})', 1) FROM documents),
+s AS (SELECT DISTINCT stem FROM d WHERE stem <> ''), w AS (SELECT DISTINCT matched FROM t), p AS (SELECT matched, stem FROM w JOIN s ON contains(stem, matched) OR contains(matched, stem))
+SELECT source_id, matched, first(document_id ORDER BY ord) AS target_id FROM t JOIN p USING (matched) JOIN d USING (stem) WHERE -1 - source_id <> document_id GROUP BY ALL""")
 def _(spark, sf):
-    word = F.regexp_extract("text", "([a-z]{5,})", 1)
-    plain = table(spark, sf, "documents").where("octet_length(text) = length(text)")
-    found = plain.select((F.col("doc_id") + 10_000_000).alias("source_id"), word.alias("matched")).where("matched <> ''")
+    """Long words of every text as references, to customers (by two hex digits) and documents (by their first word)."""
+    d = table(spark, sf, "documents")
+    found = d.select((-1 - F.col("doc_id")).alias("source_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]{9,})"), 1))).alias("matched"))
     cust = table(spark, sf, "customer")
     docs = cust.select(F.col("c_custkey").alias("document_id"), F.col("c_custkey").alias("ord"), F.substring(F.sha2(F.col("c_custkey").cast("string"), 256), 1, 2).alias("stem"))
-    docs = docs.unionByName(plain.select((F.col("doc_id") + 10_000_000).alias("document_id"), (F.col("doc_id") + 10_000_000).alias("ord"), word.alias("stem"))).where("stem <> ''")
-    return jn.resolve_references(found, docs).select((F.col("source_id") - 10_000_000).alias("source_id"), "matched", "target_id")
+    docs = docs.unionByName(d.select((-1 - F.col("doc_id")).alias("document_id"), (F.col("doc_id") + 1_000_000_000_000).alias("ord"), F.regexp_extract("text", "([a-z]{5,})", 1).alias("stem"))).where("stem <> ''")
+    return jn.resolve_references(found, docs).select((-1 - F.col("source_id")).alias("source_id"), "matched", "target_id")
 
 
 @query("j4_join_chunk_to_node", f"WITH {CHUNKS_SQL} SELECT 'node_' || left(sha256(document_name), 12) AS node_id, chunk_id FROM chunks")
@@ -130,17 +130,18 @@ def _(spark, sf):
     return jn.chunks_to_nodes(gr.build_nodes(chunks(spark, sf), TYPES))
 
 
-_CITED = """h AS (SELECT document_id % 20 AS qid, document_name, page_number, text, (row_number() OVER (PARTITION BY document_id % 20 ORDER BY length(text) DESC, chunk_id, document_id))::INT AS rank FROM chunks WHERE document_id % 3 = 0),
-c AS (SELECT DISTINCT doc_id % 20 AS qid, upper('Doc_' || doc_id || '_vol' || (doc_id % 3) || '.pdf') AS document, (doc_id % 3 + 1)::INT AS page FROM documents WHERE doc_id % 2 = 0)"""
+_CITED = """h AS (SELECT document_id % 20 AS qid, document_name, page_number, text, (row_number() OVER (PARTITION BY document_id % 20 ORDER BY length(text) DESC, chunk_id, document_id))::INT AS rank FROM chunks),
+c AS (SELECT DISTINCT (doc_id + (doc_id % 7 = 0)::INT) % 20 AS qid, upper('Doc_' || doc_id || '_vol' || (doc_id % 3) || '.pdf') AS document, (doc_id % 3 + 1)::INT AS page FROM documents)"""
 
 
 def _cited(spark, sf):
     from docmill.operators.dedup import ranked
 
-    c = chunks(spark, sf).where("document_id % 3 = 0").withColumn("qid", F.col("document_id") % 20)
+    c = chunks(spark, sf).withColumn("qid", F.col("document_id") % 20)
     hits = ranked(c.withColumn("score", F.length("text")).withColumn("tie", F.struct("chunk_id", "document_id")), tie="tie")
-    d = table(spark, sf, "documents").where("doc_id % 2 = 0")
-    cited = d.select((F.col("doc_id") % 20).alias("qid"), F.upper(file_name(F.col("doc_id"))).alias("document"), (F.col("doc_id") % 3 + 1).cast("int").alias("page")).distinct()
+    d = table(spark, sf, "documents")
+    other = F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)  # these cite what their question has no hit of
+    cited = d.select(((F.col("doc_id") + other) % 20).alias("qid"), F.upper(file_name(F.col("doc_id"))).alias("document"), (F.col("doc_id") % 3 + 1).cast("int").alias("page")).distinct()
     return cited, hits
 
 
@@ -155,12 +156,11 @@ def _(spark, sf):
     return jn.attach_chunks(cited.withColumn("snippet", F.lit(None).cast("string")), hits, 40)
 
 
-@query("j8_verify_citation_text", f"WITH {CHUNKS_SQL}, {PAGES_SQL} SELECT chunk_id, c.document_id, contains(regexp_replace(lower(p.text), '[^\\p{{L}}\\p{{N}}]', '', 'g'), regexp_replace(lower(left(c.text, 150)), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS verified FROM chunks c JOIN pages_v p ON p.document_id = c.document_id AND p.page_number = (c.page_number % 2) + 1 WHERE c.page_number <= 2 AND EXISTS (SELECT 1 FROM pages_v x WHERE x.document_id = c.document_id AND x.page_number = 2)")
+@query("j8_verify_citation_text", f"WITH {CHUNKS_SQL}, {PAGES_SQL} SELECT chunk_id, c.document_id, coalesce(contains(regexp_replace(lower(p.text), '[^\\p{{L}}\\p{{N}}]', '', 'g'), regexp_replace(lower(left(c.text, 150)), '[^\\p{{L}}\\p{{N}}]', '', 'g')), false) AS verified FROM chunks c LEFT JOIN pages_v p ON p.document_id = c.document_id AND p.page_number = c.page_number + (c.chunk_index = 2)::INT")
 def _(spark, sf):
-    p = pages(spark, sf)
-    two = p.where("page_number = 2").select("document_id")
-    c = chunks(spark, sf).where("page_number <= 2").join(two, "document_id", "left_semi").withColumn("page_number", F.col("page_number") % 2 + 1)
-    return jn.verify_text(c, p).select("chunk_id", "document_id", "verified")
+    """Every chunk is cited with a page: the last ones of a page with the page after it, which holds them only by chance."""
+    cited = chunks(spark, sf).withColumn("page_number", F.col("page_number") + (F.col("chunk_index") == 2).cast("int"))
+    return jn.verify_text(cited, pages(spark, sf)).select("chunk_id", "document_id", "verified")
 
 
 @query("j9_mentioned_documents", f"WITH {REGISTRY_SQL}, a AS (SELECT conv_id, turn, 'See doc_' || (conv_id % 60) || '_vol' || (conv_id % 3) || ' and Doc_' || turn || '_vol' || (turn % 3) || '.pdf.' AS t FROM conversations) SELECT DISTINCT conv_id, turn, document_id FROM a JOIN registry ON document_id = turn OR (document_id = conv_id % 60 AND (conv_id % 60) % 3 = conv_id % 3)")

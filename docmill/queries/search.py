@@ -15,11 +15,38 @@ POSTINGS_SQL = rf"""{CHUNKS_SQL}, rows_ AS (SELECT chunk_id || '#' || document_i
 tok AS (SELECT * FROM (SELECT ck, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM (SELECT ck, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM rows_)) WHERE term NOT IN ({_STOP})),
 tf AS (SELECT term, ck, count(*) AS tf FROM tok GROUP BY ALL), ln_ AS (SELECT ck, sum(tf) AS len FROM tf GROUP BY ck), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 tot AS (SELECT count(*) AS n, avg(len) AS avg_len FROM ln_)"""
+#: Query terms of the passages.
 TERMS_SQL = rf"""qt AS (SELECT * FROM (SELECT item_id AS qid, unnest(ts) AS term, unnest(range(len(ts))) AS off FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM benchmark)) WHERE term NOT IN ({_STOP}))"""
 SCORE_SQL = """qc AS (SELECT qid, term, count(*) AS qtf FROM qt GROUP BY ALL),
 bm AS (SELECT qid, ck, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)))), 6) AS score FROM tf JOIN qc USING (term) JOIN dfs USING (term) JOIN ln_ USING (ck), tot GROUP BY ALL),
 kw AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, ck))::INT AS rank FROM bm) WHERE rank <= 10)"""
 INDEX_SQL = f"{POSTINGS_SQL}, {TERMS_SQL}, {SCORE_SQL}"
+
+
+def _field_sql(p: str, column: str, stop: bool) -> str:
+    """Token, frequency and length tables of another field, named with the prefix ``p``."""
+    kept = f"WHERE term NOT IN ({_STOP})" if stop else ""
+    return rf"""{p}tok AS (SELECT * FROM (SELECT ck, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM (SELECT ck, regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}]+') AS ts FROM rows_)) {kept}),
+{p}tf AS (SELECT term, ck, count(*) AS tf FROM {p}tok GROUP BY ALL), {p}ln AS (SELECT ck, sum(tf) AS len FROM {p}tf GROUP BY ck), {p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY term), {p}tot AS (SELECT count(*) AS n, avg(len) AS avg_len FROM {p}ln)"""
+
+
+_IDF = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
+
+
+def _gain_sql(tf: str) -> str:
+    return f"({tf} * 2.2::DOUBLE / ({tf} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)))"
+
+
+#: Phrase and name scores of the questions ``asked`` (qid, text): tables ph and nm (qid, ck, score).
+FIELDS_SQL = rf"""{_field_sql('x_', 'text', False)}, {_field_sql('n_', 'document_name', True)},
+qx AS (SELECT qid, unnest(ts) AS term, unnest(range(len(ts))) AS off FROM (SELECT qid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM asked)),
+qw AS (SELECT qid, sum({_IDF}) AS weight, count(*) AS n_known FROM qx JOIN x_df USING (term), x_tot GROUP BY qid), qn AS (SELECT qid, count(*) AS n FROM qx GROUP BY qid),
+st AS (SELECT qid, ck, pos - off AS start, count(*) AS hit FROM x_tok JOIN qx USING (term) GROUP BY ALL), oc AS (SELECT qid, ck, count(*) AS f FROM st JOIN qn USING (qid) WHERE hit = n GROUP BY ALL),
+ph AS (SELECT qid, ck, round(2.0::DOUBLE * weight * {_gain_sql('f')}, 6) AS score FROM oc JOIN qw USING (qid) JOIN x_ln USING (ck), x_tot),
+nq AS (SELECT qid, term, count(*) AS qtf FROM qx WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+nm AS (SELECT qid, ck, round(0.5::DOUBLE * sum(qtf * {_IDF} * {_gain_sql('tf')}), 6) AS score FROM n_tf JOIN nq USING (term) JOIN n_df USING (term) JOIN n_ln USING (ck), n_tot GROUP BY ALL)"""
+#: Questions that also name a document: the passage and a number.
+NAMED_SQL = "asked AS (SELECT item_id AS qid, text || ' ' || item_id AS text FROM benchmark)"
 VECTOR_SQL = """vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 vs AS (SELECT qid, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS score FROM vq, embeddings),
 vt AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id))::INT AS rank FROM vs WHERE score >= 0.3) WHERE rank <= 10)"""
@@ -43,35 +70,90 @@ def _(spark, sf):
     return se.analyze(keyed_chunks(spark, sf), ["ck"]).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("ck").alias("chunks"))
 
 
+@query("r1_analyze_variants", f"WITH {INDEX_SQL}, {_field_sql('x_', 'text', False)}, s AS (SELECT CASE WHEN term LIKE '%ies' AND NOT regexp_matches(term, '[ea]ies$') THEN left(term, length(term) - 3) || 'y' WHEN term LIKE '%es' AND NOT regexp_matches(term, '[aeo]es$') THEN left(term, length(term) - 1) WHEN term LIKE '%s' AND NOT regexp_matches(term, '[us]s$') THEN left(term, length(term) - 1) ELSE term END AS term FROM tok) SELECT 'stemmed' AS field, term, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'exact', term, count(*) FROM x_tok GROUP BY ALL")
+def _(spark, sf):
+    """The analysed form with a stemmer, and the exact form without stop list and stemmer."""
+    rows = keyed_chunks(spark, sf)
+    stemmed, exact = se.analyze(rows, ["ck"], stem=se.s_stem), se.analyze(rows, ["ck"], stopwords=())
+    both = stemmed.select(F.lit("stemmed").alias("field"), "term").unionByName(exact.select(F.lit("exact").alias("field"), "term"))
+    return both.groupBy("field", "term").agg(F.count("*").alias("n"))
+
+
 @query("r2_inverted_index", f"WITH {INDEX_SQL} SELECT term, ck, tf, len::BIGINT AS len, df FROM tf JOIN ln_ USING (ck) JOIN dfs USING (term)")
 def _(spark, sf):
-    postings, df, _ = se.build_index(se.analyze(keyed_chunks(spark, sf), ["ck"]), "ck")
+    postings, df, _ = se.build_index(keyed_chunks(spark, sf), "ck")
     return postings.join(df, "term").select("term", "ck", "tf", "len", "df")
 
 
+@query("r2_index_fields", f"WITH {INDEX_SQL}, {_field_sql('x_', 'text', False)}, {_field_sql('n_', 'document_name', True)} SELECT 'exact' AS field, term, count(*) AS df, sum(tf)::BIGINT AS tf FROM x_tf GROUP BY ALL UNION ALL SELECT 'name', term, count(*), sum(tf)::BIGINT FROM n_tf GROUP BY ALL")
+def _(spark, sf):
+    """The index's other fields: exact text and document names."""
+    rows = keyed_chunks(spark, sf)
+    exact, name = se.build_index(rows, "ck", stopwords=())[0], se.build_index(rows, "ck", "document_name")[0]
+    both = exact.withColumn("field", F.lit("exact")).unionByName(name.withColumn("field", F.lit("name")))
+    return both.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 @query("r3_bm25_search", f"WITH {INDEX_SQL} SELECT qid, ck, score, rank FROM kw")
 def _(spark, sf):
     return se.search(questions(spark, sf), keyed_chunks(spark, sf), "ck")
 
 
-@query("r4_phrase_boost", f"WITH {INDEX_SQL}, q AS (SELECT qid, term, off FROM qt WHERE off < 4), n AS (SELECT qid, count(*) AS n FROM q GROUP BY qid), s AS (SELECT qid, ck, pos - off AS start, count(*) AS hit FROM tok JOIN q USING (term) GROUP BY ALL) SELECT qid, ck, (2.0 * count(*))::DOUBLE AS score FROM s JOIN n USING (qid) WHERE hit = n GROUP BY ALL")
+def named_questions(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.concat("text", F.lit(" "), F.col("item_id").cast("string")).alias("text"))
+
+
+@query("r4_phrase_boost", f"WITH {INDEX_SQL}, asked AS (SELECT item_id AS qid, text FROM benchmark), {FIELDS_SQL} SELECT qid, ck, score FROM ph")
+def _(spark, sf):
+    """Chunks that hold a whole passage as a phrase."""
+    return se.phrase_score(questions(spark, sf), keyed_chunks(spark, sf), "ck")
+
+
+@query("r4_name_boost", f"WITH {INDEX_SQL}, {NAMED_SQL}, {FIELDS_SQL} SELECT qid, ck, score FROM nm")
 def _(spark, sf):
-    asked = se.analyze(questions(spark, sf), ["qid"]).where("pos < 4")
-    return se.phrase_hits(asked, se.analyze(keyed_chunks(spark, sf), ["ck"]), "ck")
+    return se.name_score(named_questions(spark, sf), keyed_chunks(spark, sf), "ck")
 
 
-@query("r5_fuzzy_terms", f"WITH {INDEX_SQL}, q AS (SELECT DISTINCT qid, term AS asked FROM qt WHERE off < 3), v AS (SELECT DISTINCT term FROM tok) SELECT qid, asked, term FROM q JOIN v ON left(asked, 1) = left(term, 1) AND abs(length(asked) - length(term)) <= 2 AND levenshtein(asked, term) <= CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END WHERE strlen(asked) = length(asked) AND strlen(term) = length(term)")
+@query("r4_keyword_search", f"WITH {INDEX_SQL}, {NAMED_SQL}, {FIELDS_SQL}, bt AS (SELECT qid, ck, round(sum(qtf * {_IDF} * {_gain_sql('tf')}), 6) AS score FROM tf JOIN nq USING (term) JOIN dfs USING (term) JOIN ln_ USING (ck), tot GROUP BY ALL), al AS (SELECT qid, ck, round(sum(score), 6) AS score FROM (FROM bt UNION ALL FROM ph UNION ALL FROM nm) GROUP BY ALL) SELECT qid, ck, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, ck))::INT AS rank FROM al) WHERE rank <= 10")
 def _(spark, sf):
-    ascii_only = "octet_length(term) = length(term)"
-    asked = se.analyze(questions(spark, sf), ["qid"]).where("pos < 3").where(ascii_only)
-    return se.fuzzy_terms(asked, se.analyze(keyed_chunks(spark, sf), ["ck"]).where(ascii_only))
+    """Text, phrase and name scores together."""
+    return se.keyword_search(named_questions(spark, sf), keyed_chunks(spark, sf), "ck")
+
+
+_BUDGET = "CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END"
+
+
+#: DuckDB counts edits in bytes: the letters beyond ASCII of these languages stand as signs that terms don't have.
+_ONE_BYTE = "translate({}, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*')"
+
+
+def _fuzzy_sql(p: str, tf: str, df: str, ln: str, tot: str, boost: int, stop: bool) -> str:
+    """Variants of the query terms in a field, and the field's scores: tables {p}v and {p}s."""
+    kept = f"WHERE term NOT IN ({_STOP})" if stop else ""
+    return f"""{p}q AS (SELECT DISTINCT qid, term AS asked FROM qx {kept}), {p}u AS (SELECT DISTINCT asked FROM {p}q),
+{p}v AS (SELECT qid, asked, term FROM {p}q JOIN (SELECT asked, term FROM {p}u JOIN {df} ON abs(length(asked) - length(term)) <= 2 AND levenshtein({_ONE_BYTE.format('asked')}, {_ONE_BYTE.format('term')}) <= {_BUDGET}) USING (asked)),
+{p}s AS (SELECT qid, ck, round({boost}.0::DOUBLE * sum(qtf * {_IDF} * {_gain_sql('tf')}), 6) AS score FROM {tf} JOIN (SELECT qid, term, count(*) AS qtf FROM {p}v GROUP BY ALL) USING (term) JOIN {df} USING (term) JOIN {ln} USING (ck), {tot} GROUP BY ALL)"""
+
+
+FUZZY_SQL = f"WITH {INDEX_SQL}, {NAMED_SQL}, {FIELDS_SQL}, {_fuzzy_sql('ft_', 'tf', 'dfs', 'ln_', 'tot', 3, True)}, {_fuzzy_sql('fx_', 'x_tf', 'x_df', 'x_ln', 'x_tot', 2, False)}, {_fuzzy_sql('fn_', 'n_tf', 'n_df', 'n_ln', 'n_tot', 1, True)}"
+
+
+@query("r5_fuzzy_terms", f"{FUZZY_SQL} SELECT qid, asked, term FROM ft_v")
+def _(spark, sf):
+    vocabulary = se.build_index(keyed_chunks(spark, sf), "ck")[1]
+    return se.fuzzy_terms(se.analyze(named_questions(spark, sf), ["qid"]), vocabulary)
+
+
+@query("r5_fuzzy_search", f"{FUZZY_SQL}, al AS (SELECT qid, ck, max(score) AS score FROM (FROM ft_s UNION ALL FROM fx_s UNION ALL FROM fn_s) GROUP BY ALL) SELECT qid, ck, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, ck))::INT AS rank FROM al) WHERE rank <= 10")
+def _(spark, sf):
+    return se.keyword_search(named_questions(spark, sf), keyed_chunks(spark, sf), "ck", fuzzy=True)
 
 
 @query("r6_index_filter", f"WITH {INDEX_SQL} SELECT qid, ck, score FROM bm JOIN rows_ USING (ck) WHERE category = 'en' AND contains(document_name, '_vol1')")
 def _(spark, sf):
     """Category and document filters before scoring; frequencies are those of the whole index."""
     rows = keyed_chunks(spark, sf)
-    postings, df, totals = se.build_index(se.analyze(rows, ["ck"]), "ck")
+    postings, df, totals = se.build_index(rows, "ck")
     wanted = rows.where(F.col("category") == "en").where(F.col("document_name").contains("_vol1")).select("ck")
     return se.bm25(se.analyze(questions(spark, sf), ["qid"]), (postings.join(wanted, "ck", "left_semi"), df, totals), "ck")
 
@@ -81,6 +163,12 @@ def _(spark, sf):
     return se.vector_search(*vectors(spark, sf))
 
 
+@query("r7_vector_search_category", "WITH vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), vs AS (SELECT qid, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS score FROM vq, embeddings WHERE label = 1) SELECT qid, vec_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id))::INT AS rank FROM vs WHERE score >= 0.3) WHERE rank <= 10")
+def _(spark, sf):
+    q, e = vectors(spark, sf)
+    return se.vector_search(q, table(spark, sf, "embeddings").withColumn("category", F.col("label").cast("string")), category="1")
+
+
 @query("r8_vector_search_approx")
 def _(spark, sf):
     return se.vector_search_approx(*vectors(spark, sf))
@@ -115,22 +203,43 @@ def _(spark, sf):
     return fusion.fuse_minmax(_pool(spark, sf)).select("qid", "chunk_id", "score")
 
 
-def keyword_and_vector_hits(spark, sf):
-    """Hits by both ways over chunks: BM25, and hashed-term vectors as a stand-in for a model."""
-    rows, asked = keyed_chunks(spark, sf), questions(spark, sf)
-    keyword = se.search(asked, rows, "ck")
-    corpus = se.embed(rows.withColumn("vec_id", F.xxhash64("ck")), "vec_id")
-    near = se.vector_search(se.embed(asked, "qid"), corpus)
-    name = rows.select("ck", F.xxhash64("ck").alias("vec_id"))
-    return near.join(name, "vec_id"), keyword, rows, asked
+def chunk_vectors(spark, sf):
+    """Vectors of first chunks (that of document n is vector n), and of the questions (that of item n is vector n)."""
+    e, d = table(spark, sf, "embeddings"), keyed_chunks(spark, sf)
+    first = d.where("page_number = 1 AND chunk_index = 0").select("ck", "document_id", "category")
+    corpus = e.join(first, F.col("vec_id") == F.col("document_id")).select("vec_id", "embedding", "ck", "category")
+    return e.select(F.col("vec_id").alias("qid"), "embedding"), corpus
 
 
-@query("r12_hybrid_search")
+_HYBRID_SQL = rf"""WITH {POSTINGS_SQL}, cleaned AS (SELECT item_id AS qid, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS text FROM benchmark),
+asked AS (SELECT * FROM cleaned WHERE length(text) BETWEEN 3 AND 2000), {FIELDS_SQL},
+bt AS (SELECT qid, ck, round(sum(qtf * {_IDF} * {_gain_sql('tf')}), 6) AS score FROM tf JOIN nq USING (term) JOIN dfs USING (term) JOIN ln_ USING (ck), tot GROUP BY ALL),
+al AS (SELECT qid, ck, round(sum(score), 6) AS score FROM (FROM bt UNION ALL FROM ph UNION ALL FROM nm) GROUP BY ALL),
+kh AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, ck))::INT AS rank FROM al JOIN rows_ USING (ck) WHERE category = 'en') WHERE rank <= 10),
+vv AS (SELECT a.qid, printf('%d_PAGE001_CHUNK000#%d', e.vec_id, e.vec_id) AS ck, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM asked a JOIN embeddings q ON q.vec_id = a.qid, embeddings e WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id AND length(d.text) > 0 AND d.lang = 'en')),
+vh AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id))::INT AS rank FROM vv WHERE score >= 0.3) WHERE rank <= 10),
+fu AS (SELECT qid, ck, round(coalesce(1.0::DOUBLE / (60 + vh.rank), 0) + coalesce(1.0::DOUBLE / (60 + kh.rank), 0), 6) AS score FROM vh FULL JOIN kh USING (qid, ck)),
+nv AS (SELECT qid, count(*) AS c FROM vh GROUP BY qid), nk AS (SELECT qid, count(*) AS c FROM kh GROUP BY qid), nf AS (SELECT qid, count(*) AS c FROM fu GROUP BY qid),
+fd AS (SELECT fu.*, document_name, page_number FROM fu JOIN (SELECT chunk_id || '#' || document_id AS ck, document_name, page_number, category FROM chunks) USING (ck) WHERE category = 'en'),
+words AS (SELECT qid, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS qs FROM asked)"""
+_HYBRID_OUT = "SELECT qid, ck, document_name, page_number, score, rank, coalesce(nv.c, 0) AS vector_count, coalesce(nk.c, 0) AS keyword_count, nf.c AS candidates FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, ck))::INT AS rank FROM {rows}) LEFT JOIN nv USING (qid) LEFT JOIN nk USING (qid) JOIN nf USING (qid) WHERE rank <= 5"
+
+
+@query("r12_hybrid_search", f"{_HYBRID_SQL} {_HYBRID_OUT.format(rows='fd')}")
 def _(spark, sf):
-    from docmill.plans.hybrid import hybrid_search
+    from docmill.plans.hybrid import retrieve
 
-    v, k, rows, _ = keyword_and_vector_hits(spark, sf)
-    return hybrid_search(v, k, rows, "ck", 5).select("qid", "ck", "document_name", "page_number", "score", "rank")
+    qv, corpus = chunk_vectors(spark, sf)
+    return retrieve(questions(spark, sf), qv, keyed_chunks(spark, sf), corpus, "ck", k=10, final=5, category="en")
+
+
+@query("r12_hybrid_reranked", rf"{_HYBRID_SQL}, rr AS (SELECT qid, ck, fd.document_name, fd.page_number, round(len(list_intersect(qs, regexp_extract_all(lower(r.text), '[\p{{L}}\p{{N}}]+')))::DOUBLE / greatest(len(qs), 1), 6) AS score FROM fd JOIN rows_ r USING (ck) JOIN words USING (qid)) {_HYBRID_OUT.format(rows='rr')}")
+def _(spark, sf):
+    """The same, ranked again by a pair score before the best are taken."""
+    from docmill.plans.hybrid import retrieve
+
+    qv, corpus = chunk_vectors(spark, sf)
+    return retrieve(questions(spark, sf), qv, keyed_chunks(spark, sf), corpus, "ck", k=10, final=5, category="en", pair_score=se.overlap_score())
 
 
 @query("r13_rerank", f"WITH {INDEX_SQL}, q AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS qs FROM benchmark) SELECT qid, ck, round(len(list_intersect(qs, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')))::DOUBLE / len(qs), 6) AS score FROM kw JOIN rows_ USING (ck) JOIN q USING (qid)")
@@ -140,9 +249,36 @@ def _(spark, sf):
     return se.rerank(hits, se.overlap_score()).select("qid", "ck", "score")
 
 
-@query("r14_embed_corpus")
+_EMBED_SQL = rf"""{CHUNKS_SQL}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY page_number) AS nth FROM (SELECT * FROM chunks UNION ALL SELECT * FROM chunks WHERE document_id % 10 = 0)) WHERE nth = 1),
+w AS (SELECT chunk_id, unnest(string_split(lower(text), ' ')) AS w FROM once WHERE trim(text) <> '' AND page_number <= 8),
+b AS (SELECT chunk_id, ('0x' || left(md5(w), 2))::INT % 64 AS b, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL), z AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY chunk_id)"""
+
+
+def _embedding_input(spark, sf):
+    """All chunks, some of them twice; those of pages beyond 8 count as without a page number, so they are invalid."""
+    c = chunks(spark, sf)
+    return c.unionByName(c.where("document_id % 10 = 0"))
+
+
+def _embedded(spark, sf):
+    from docmill.operators.checks import page_errors
+
+    c = _embedding_input(spark, sf)
+    errors = page_errors({"chunk_id": F.col("chunk_id"), "text": F.trim("text")}, F.when(F.col("page_number") <= 8, F.col("page_number")))
+    old = c.where("document_id % 7 = 0").select("chunk_id", F.array(F.lit(0.5).cast("float")).alias("embedding")).distinct()
+    return se.embed_corpus(c, old, errors)
+
+
+@query("r14_embed_corpus", f"WITH {_EMBED_SQL}, made AS (SELECT chunk_id, b, round((n / norm)::FLOAT::DOUBLE, 5) AS v FROM b JOIN z USING (chunk_id)) SELECT chunk_id, b, v FROM made UNION ALL SELECT DISTINCT chunk_id, 0, 0.5::DOUBLE FROM chunks WHERE document_id % 7 = 0 AND chunk_id NOT IN (SELECT chunk_id FROM made)")
+def _(spark, sf):
+    """The table after the upsert, one row per component that is not 0."""
+    made = _embedded(spark, sf)[0].select("chunk_id", F.posexplode("embedding").alias("b", "v"))
+    return made.where("v <> 0").select("chunk_id", "b", F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
+@query("r14_embed_counts", f"WITH {_EMBED_SQL}, n AS (SELECT count(*) AS kept, count(*) FILTER (trim(text) = '' OR page_number > 8) AS invalid FROM once) SELECT (SELECT count(*) FROM chunks) + (SELECT count(*) FROM chunks WHERE document_id % 10 = 0) AS total, kept - invalid AS embedded, (SELECT count(*) FROM chunks WHERE document_id % 10 = 0) AS repeated, invalid, 0::BIGINT AS failed FROM n")
 def _(spark, sf):
-    return se.embed(keyed_chunks(spark, sf), "ck")
+    return _embedded(spark, sf)[1]
 
 
 @query("p14_answer_gate", f"WITH {INDEX_SQL}, s AS (SELECT qid, max(score) AS best FROM kw GROUP BY qid) SELECT item_id AS qid, CASE WHEN best IS NULL THEN 'out_of_domain' WHEN best < 40 THEN 'not_found' ELSE 'pass' END AS gate FROM benchmark LEFT JOIN s ON s.qid = item_id")

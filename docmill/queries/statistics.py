@@ -47,20 +47,20 @@ def _(spark, sf):
     return ag.index_statistics(c, checks.first_index_error(F.col("chunk_id"), F.col("document_id").cast("string"), F.col("text"), F.col("document_name"), F.col("category")))
 
 
-@query("a8_keywords_of_chunks", f"""WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT chunk_id, regexp_extract_all(text, '\\b([a-zA-Z][a-zA-Z\\-'']*)\\b', 1) AS ws FROM chunks WHERE strlen(text) = length(text))),
+@query("a8_keywords_of_chunks", f"""WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT chunk_id, regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC\\pM]', '_', 'g'), '\\b([a-zA-Z][a-zA-Z\\-'']*)\\b', 1) AS ws FROM chunks)),
 c AS (SELECT chunk_id AS chunk_key, lower(word) AS word, count(*) AS n, min(pos) AS pos FROM w WHERE length(word) >= 4 AND lower(word) NOT IN ({', '.join(f"'{x}'" for x in pt.STOPWORDS)}) GROUP BY ALL)
 SELECT chunk_key, word, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY n DESC, pos) AS rank FROM c) WHERE rank <= 15""")
 def _(spark, sf):
-    return ag.keyword_top_n(chunks(spark, sf).withColumnRenamed("chunk_id", "chunk_key").where("octet_length(text) = length(text)"), pt.KEYWORD, pt.STOPWORDS)
+    return ag.keyword_top_n(chunks(spark, sf).withColumnRenamed("chunk_id", "chunk_key"), pt.KEYWORD, pt.STOPWORDS)
 
 
-@query("a9_keywords_of_documents", f"""WITH {CHUNKS_SQL}, w AS (SELECT document_id, chunk_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT document_id, chunk_id, regexp_extract_all(text, '\\b([a-zA-Z][a-zA-Z\\-'']*)\\b', 1) AS ws FROM chunks WHERE strlen(text) = length(text))),
+@query("a9_keywords_of_documents", f"""WITH {CHUNKS_SQL}, w AS (SELECT document_id, chunk_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT document_id, chunk_id, regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC\\pM]', '_', 'g'), '\\b([a-zA-Z][a-zA-Z\\-'']*)\\b', 1) AS ws FROM chunks)),
 c AS (SELECT document_id, chunk_id AS chunk_key, lower(word) AS word, count(*) AS n, min(pos) AS pos FROM w WHERE length(word) >= 4 AND lower(word) NOT IN ({', '.join(f"'{x}'" for x in pt.STOPWORDS)}) GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY n DESC, pos) AS rank FROM c) WHERE rank <= 15),
 d AS (SELECT document_id, word, count(*) AS n, min(chunk_key || lpad(rank::VARCHAR, 3, '0')) AS f FROM k GROUP BY ALL)
 SELECT document_id, word, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, f) AS rank FROM d) WHERE rank <= 20""")
 def _(spark, sf):
-    c = chunks(spark, sf).withColumnRenamed("chunk_id", "chunk_key").where("octet_length(text) = length(text)")
+    c = chunks(spark, sf).withColumnRenamed("chunk_id", "chunk_key")
     k = ag.keyword_top_n(c, pt.KEYWORD, pt.STOPWORDS).join(c.select("chunk_key", "document_id"), "chunk_key")
     return ag.document_keywords(k, "document_id")
 
@@ -172,9 +172,25 @@ def _(spark, sf):
     return not_done(r, r.where("document_id % 4 = 1").select("document_id"), category="en", skip_status="invalid", first=50).select("document_id", "file_name")
 
 
-@query("s4_pages_from_documents", r"SELECT doc_id, page_number, trim(replace(p, chr(0), '')) AS text FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps)))::INT + 1 AS page_number FROM (SELECT doc_id, string_split(replace(text, '. ', '. ' || chr(12)), chr(12)) AS ps FROM documents WHERE length(text) < 3000))")
+@query("s4_pages_from_documents", r"SELECT doc_id, page_number, trim(replace(p, chr(0), '')) AS text FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps)))::INT + 1 AS page_number FROM (SELECT doc_id, string_split(replace(text, '. ', '. ' || chr(12)), chr(12)) AS ps FROM documents))")
 def _(spark, sf):
     from docmill.sources.tables import pages_from_documents
 
-    d = table(spark, sf, "documents").where("length(text) < 3000").withColumn("text", F.replace("text", F.lit(". "), F.lit(". \f")))
+    d = table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit(". \f")))
     return pages_from_documents(d, "doc_id").select("doc_id", "page_number", "text")
+
+
+def _html_sql() -> str:
+    from docmill.sources.tables import REFERENCES
+
+    out = r"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for name, sign in REFERENCES:
+        out = f"""replace({out}, '{name}', '{sign.replace("'", "''")}')"""
+    return f"SELECT page_id, trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages"
+
+
+@query("s4_text_of_html", _html_sql())
+def _(spark, sf):
+    from docmill.sources.tables import text_of_html
+
+    return table(spark, sf, "pages").select("page_id", text_of_html(F.col("html")).alias("text"))

@@ -1,4 +1,4 @@
-"""Schemas of stored tables."""
+"""Schemas of stored tables (fixed values)."""
 
 from __future__ import annotations
 

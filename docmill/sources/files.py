@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,17 @@ from docmill.operators.checks import file_status
 
 
 def scan_files(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
-    """One row per file below ``root`` with that suffix (any case), hidden files left out; content stays on executors."""
+    """One row per file below ``root`` with that suffix (any case), hidden files left out; content stays on executors.
+
+    Spark lists empty files but gives no rows for them, so listed paths without a row get one of length 0."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listed = [(unquote(p),) for p in files.inputFiles() if p.lower().endswith(f".{suffix}")]
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    read = files.withColumn("path", plain(F.col("path")))
+    empty = spark.createDataFrame(listed, "path string").select(plain(F.col("path")).alias("path")).join(read.select("path"), "path", "left_anti")
+    rows = read.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     name = F.element_at(F.split("path", "/"), -1)
-    return files.withColumn("file_name", name).where(F.lower("file_name").endswith(f".{suffix}") & ~F.col("file_name").startswith("."))
+    return rows.withColumn("file_name", name).where(F.lower("file_name").endswith(f".{suffix}") & ~F.col("file_name").startswith("."))
 
 
 def file_registry(files: DataFrame, root_name: str, pages: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:

@@ -15,26 +15,26 @@ def chunk_stream(spark: SparkSession, folder: str, schema: str = "doc_id long, t
     return chunks.withColumn("chunk_id", F.format_string("%d_%05d", F.col("doc_id"), F.col("pos")))
 
 
-def upsert_to(path: str, buckets: int = 64):
-    """A ``foreachBatch`` function that replaces the chunks of each document of a batch in a Parquet table.
-
-    The table is partitioned by a hash of the document id; only partitions that a batch touches are read and written again
-    (dynamic overwrite), so repeated and late files change nothing."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).dropDuplicates(["chunk_id"]).persist()
-        touched = new.select("bucket").distinct()
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-            old = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")  # at most ``buckets`` rows
-            kept = old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").select(*new.columns)
-            out = kept.unionByName(new)
-        else:
-            out = new
-        staged = f"{path}_staged"
-        out.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-        new.unpersist()
+def upsert_to(path: str):
+    """A ``foreachBatch`` function that adds the chunks of a batch to a Parquet table, as a version of their documents.
+
+    A batch writes a folder of its own (``batch=<number>``), so work is that of the batch, whatever the table's size; a batch that is repeated
+    after a failure replaces its own folder alone, and writers don't share any. :func:`current` reads the last version of each document."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates(["chunk_id"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
+
+
+def current(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """The chunks of each document's last version; late and repeated files thus change nothing but what they replace."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, path: str, target: str, files: int | None = None) -> None:
+    """Write the current chunks as one version to another folder, which takes the table's place."""
+    rows = current(spark, path)
+    (rows if files is None else rows.repartition(files)).write.mode("overwrite").parquet(f"{target}/batch=0")

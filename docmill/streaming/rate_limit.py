@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -11,37 +12,45 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 def admit(times: list[float], limit: int, seconds: float, held: list[float] | None = None) -> tuple[list[bool], list[float]]:
     """Decisions for sorted times, and the admitted times that still count. At exactly ``seconds`` an event is out."""
-    window, out = list(held or []), []
+    window, out = deque(held or ()), []
     for t in times:
         while window and window[0] <= t - seconds:
-            window.pop(0)
+            window.popleft()
         ok = len(window) < limit
         if ok:
             window.append(t)
         out.append(ok)
-    return out, window
+    return out, list(window)
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, event: str, limit: int = 60, seconds: float = 60.0) -> DataFrame:
     """key, event, admitted over a table. A decision depends on the ones before it, so each key runs in time order.
 
-    A quiet stretch as long as the window resets a key, so keys are first cut at such gaps; a group is then one
-    burst of a key, not its whole history (a key without a gap is one burst)."""
-    from pyspark.sql import Window
-
+    Events are dealt by key and sorted within partitions; one Arrow map goes along and holds the admitted times of the current key's window
+    (``limit`` at most) and nothing else. A key runs in one task, as its order demands, however many events it has. Null keys are one key."""
     t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    own = events.select(key, event, t.alias("t"))
-    order = Window.partitionBy(key).orderBy("t", event)
-    gap = F.coalesce(F.col("t") - F.lag("t").over(order) >= seconds, F.lit(True)).cast("int")
-    own = own.withColumn("_gap", gap).withColumn("burst", F.sum("_gap").over(order))
+    own = events.select(key, event, t.alias("t")).repartition(key).sortWithinPartitions(key, "t", event)
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
 
-    def run(pdf):
-        pdf = pdf.sort_values(["t", event])
-        pdf["admitted"] = admit(pdf["t"].tolist(), limit, seconds)[0]
-        return pdf[[key, event, "admitted"]]
-
-    return own.drop("_gap").groupBy(key, "burst").applyInPandas(run, f"{key} {kinds[key]}, {event} {kinds[event]}, admitted boolean")
+    def run(batches):
+        import pyarrow as pa
+
+        current, held = object(), []
+        for batch in batches:
+            keys, times, out = batch.column(key).to_pylist(), batch.column("t").to_pylist(), []
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != current:
+                    current, held = keys[at], []
+                made, held = admit(times[at:end], limit, seconds, held)
+                out += made
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(event), pa.array(out, pa.bool_())], [key, event, "admitted"])
+
+    return own.mapInArrow(run, f"{key} {kinds[key]}, {event} {kinds[event]}, admitted boolean")
 
 
 class Limiter(StatefulProcessor):

@@ -120,7 +120,7 @@ def test_approximate_search_recall(spark, sf_dir):
     near = {(r.qid, r.vec_id) for r in search.vector_search_approx(q, e).collect()}
     assert near <= {(r.qid, r.vec_id) for r in search.vector_search(q, e, k=1000).collect()}
     close = {k for k, s in exact.items() if s >= 0.5}
-    assert len(close & near) / len(close) >= 0.9 and len(near & set(exact)) / len(exact) >= 0.7
+    assert len(close & near) / len(close) >= 0.9 and len(near & set(exact)) / len(exact) >= 0.9
 
 
 def test_export(spark, tmp_path):

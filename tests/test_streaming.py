@@ -21,14 +21,16 @@ def test_ingest(spark, sf_dir, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
 
     def feed():
-        q = ingest.chunk_stream(spark, source).writeStream.foreachBatch(ingest.upsert_to(target, 4)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q = ingest.chunk_stream(spark, source).writeStream.foreachBatch(ingest.upsert_to(target)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         q.awaitTermination()
 
     docs.where("doc_id < 20").coalesce(1).write.mode("append").parquet(source)
     feed()
-    first = spark.read.parquet(target).count()
+    first = ingest.current(spark, target).count()
     docs.where("doc_id >= 15 AND doc_id < 30").coalesce(1).write.mode("append").parquet(source)
     feed()
-    got = spark.read.parquet(target)
+    got = ingest.current(spark, target)
     assert first > 0 and got.select("chunk_id").distinct().count() == got.count()
     assert got.select("doc_id").distinct().count() == docs.where("doc_id < 30 AND length(trim(text)) > 0").count()
+    ingest.compact(spark, target, str(tmp_path / "one"))
+    assert sorted(map(tuple, ingest.current(spark, str(tmp_path / "one")).collect())) == sorted(map(tuple, got.collect()))
