@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import cut, minhash, shingles, shipped, table, tasks_for, universal
+from docmill.llm.components import components
+from docmill.llm.near_dedup import _crowd_links, common_counts
 
 shipped(__name__)
 
@@ -134,42 +136,102 @@ def _classed(batches, k: int):
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], ["_id", "n", "set_key", "fingerprint"])
 
 
-def _bucket_pairs(banded: DataFrame, percent: int, block: int) -> DataFrame:
-    """All pairs (a < b: nodes) of rows (node, n, i, v) that share a bucket (i, v) and whose sizes allow the similarity.
+def _linked(left: list, right: list, percent: int):
+    """Rows of both blocks (lists of node, n, shingles) that are linked, by whole sets, and the place of each block's first row."""
+    other = right or left
+    nodes, n = (np.array([r[i] for r in other], np.int64) for i in (0, 1))
+    for at, c in common_counts([r[2] for r in left], [r[2] for r in other]):
+        own = np.array([r[:2] for r in left[at : at + len(c)]], np.int64)
+        yield own[:, 0], nodes, (100 * c >= percent * (own[:, 1:] + n[None, :] - c)) & (own[:, :1] != nodes[None, :])
 
-    Members of a bucket are dealt into blocks of about ``block``, and each two blocks (or one with itself) meet under
-    a key of their own, so that no key has more than a block's pairs and a bucket of any size spreads over tasks."""
-    sizes = banded.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1")
-    own = banded.join(sizes.select("i", "v", F.ceil(F.col("c") / block).alias("blocks")), ["i", "v"])
-    own = own.withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    left = own.select("i", "v", F.col("at").alias("x"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("y"), F.col("node").alias("a"), F.col("n").alias("n_a"))
-    right = own.select("i", "v", F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("x"), F.col("at").alias("y"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-    near = F.expr(f"(x < y OR a < b) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return left.join(right, ["i", "v", "x", "y"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def _pairs(left: list, right: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The linked nodes of two blocks, or within one."""
+    found = [(a[i], b[j]) for a, b, m in _linked(left, right, percent) for i, j in [np.nonzero(m)]]
+    a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    once = slice(None) if right else a < b
+    return np.minimum(a, b)[once], np.maximum(a, b)[once]
 
-def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, block: int = 1_000) -> DataFrame:
-    """Links (a, b: ids, a < b) between documents of different shingle sets, each confirmed by its exact Jaccard
-    similarity, ``percent`` or more: all pairs that share a band of ``rows`` values of their fingerprints are
-    candidates, in buckets of any size (their pairs are spread in blocks of ``block`` members). A pair of similarity
-    0.8 shares one of the 32 bands with probability 1 - 5e-8. Copies of a set are one class, named by its smallest
-    id. Null and empty texts have no links; null ids are left out."""
-    from docmill.llm.near_dedup import _confirmed
 
+def _counts(left: list, right: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many nodes of the other block each node is linked with."""
+    nodes, n, across = [], [], 0
+    for a, b, m in _linked(left, right, percent):
+        nodes.append(a)
+        n.append(m.sum(axis=1))
+        across, others = across + m.sum(axis=0), b
+    if right:
+        nodes.append(others)
+        n.append(across)
+    some = np.concatenate(n) > 0
+    return np.concatenate(nodes)[some], np.concatenate(n)[some]
+
+
+def _near(docs: DataFrame, k: int, percent: int, rows: int, tested, **blocks) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets, their classes, and what ``tested`` makes of each two blocks of classes that may be near.
+
+    Copies of a set are one class. Bands of ``rows`` values of the fingerprints are joined to the smallest class that has
+    them; what is so connected is a crowd, and all of a crowd meets in blocks of bounded size, on whole sets: no band
+    and no group is gathered in one task, and pairs are not made before they are tested."""
     named = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = named.withColumnRenamed("doc_id", "_id").mapInArrow(lambda b: _classed(b, k), f"_id {kind}, n long, set_key binary, fingerprint binary")
+    sets = cut(named.withColumnRenamed("doc_id", "_id").mapInArrow(lambda b: _classed(b, k), f"_id {kind}, n long, set_key binary, fingerprint binary"))
     classes = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("_id").alias("first_id"), F.min(F.struct("n", "fingerprint")).alias("s"))
     classes = cut(classes.select("set_key", "first_id", "s.n", "s.fingerprint", F.monotonically_increasing_id().alias("node")))
-    bands = [F.struct(F.lit(i).alias("i"), F.substring("fingerprint", 2 * rows * i + 1, 2 * rows).alias("v")) for i in range(PERMUTATIONS // rows)]
-    banded = cut(classes.select("node", "n", F.explode(F.array(*bands)).alias("band")).select("node", "n", "band.i", "band.v"))
-    pairs = cut(_bucket_pairs(banded, percent, block))
-    near = _confirmed(pairs, classes, named, "doc_id", k, percent)
+    bands = [F.struct(F.lit(i).alias("i"), F.xxhash64(F.substring("fingerprint", 2 * rows * i + 1, 2 * rows)).alias("v")) for i in range(PERMUTATIONS // rows)]
+    banded = classes.select("node", F.explode(F.array(*bands)).alias("band")).select("node", "band.i", "band.v")
+    shared = banded.groupBy("i", "v").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    links = banded.join(shared, ["i", "v"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    crowds = components(cut(links)).withColumnRenamed("component", "crowd")
+    found = _crowd_links(crowds, classes.select("node", F.col("node").alias("comp")), classes, named, "doc_id", k, percent, tested=tested, **blocks)
+    return sets, classes, found
+
+
+def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, **blocks) -> DataFrame:
+    """Links (a, b: ids, a < b) between documents of different shingle sets, all that share a band of ``rows`` values of their
+    fingerprints with ``percent`` or more of exact Jaccard similarity (others of the same crowd too). A pair of similarity 0.8 shares one of the
+    25 bands with probability 1 - 5e-5. Copies of a set are one class, named by its smallest id; its result is as large as the links are
+    many (:func:`near_counts` is not). Null and empty texts have no links; null ids are left out; an empty table gives no rows."""
+    _, classes, found = _near(docs, k, percent, rows, _pairs, **blocks)
     name = lambda c: classes.select(F.col("node").alias(c), F.col("first_id").alias(f"id_{c}"))
-    named_links = near.join(name("a"), "a").join(name("b"), "b")
+    named_links = found.distinct().join(name("a"), "a").join(name("b"), "b")
     return named_links.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
+def near_counts(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, **blocks) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest id with the same shingle set, its own if that is empty), n_links (other classes
+    that the class is near to, as in :func:`near_documents`). Rows with null ids are left out; rows that repeat an id are kept."""
+    sets, classes, found = _near(docs, k, percent, rows, _counts, **blocks)
+    n = found.groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
+    known = classes.select("set_key", "first_id", "node").join(n, "node", "left")
+    j = sets.select("_id", "set_key").join(known, "set_key", "left")
+    return j.select(F.col("_id").alias("doc_id"), F.coalesce("first_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
     """:func:`edited_fingerprints` of all ``documents``; nulls, repeated rows and empty tables as there."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def fingerprint_links(spark, sf_dir: str) -> DataFrame:
+    """:func:`near_counts` of all ``documents``; nulls, repeated rows and empty tables as there."""
+    return near_counts(table(spark, sf_dir, "documents"))
+
+
+#: Brute force over all pairs of classes that share a shingle: for small tables only.
+LINKS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS g
+  FROM w
+), k AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS key, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT key, min(doc_id) AS class_id, any_value(n) AS n FROM k GROUP BY key),
+t AS (SELECT class_id, n, g FROM c JOIN s ON s.doc_id = class_id),
+p AS (SELECT a.class_id AS a, b.class_id AS b, a.n AS x, b.n AS y, count(*) AS m FROM t a JOIN t b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY ALL),
+l AS (SELECT a, count(*) AS n_links FROM p WHERE 100 * m >= 80 * (x + y - m) GROUP BY a)
+SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN c ON c.key = k.key LEFT JOIN l ON l.a = c.class_id
+"""

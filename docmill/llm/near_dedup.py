@@ -223,6 +223,7 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _tested(left: list, right: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Components that two blocks (lists of comp, n, shingles) link, as (component, smallest one it reaches): every pair of different components is
     tested on the whole sets. Rows of the component with the most rows need not meet each other."""
+    right = right or left
     labels, count = np.unique([r[0] for r in (left + right)], return_counts=True)
     most = labels[np.argmax(count)]
     split = lambda rows: ([r for r in rows if r[0] != most], [r for r in rows if r[0] == most])
@@ -242,12 +243,13 @@ def _tested(left: list, right: list, percent: int) -> tuple[np.ndarray, np.ndarr
     return labels[low != labels], low[low != labels]
 
 
-def _block_links(batches, percent: int):
-    """Along rows sorted by (x, y: blocks, side): links of components, by whole sets; two blocks are held at a time."""
+def _block_links(batches, percent: int, tested=_tested):
+    """Along rows sorted by (x, y: blocks, side): what ``tested`` says of two blocks (the second is empty where a block meets itself);
+    two are held at a time."""
     held, sides = None, ([], [])
 
     def out():
-        a, b = _tested(sides[0], sides[1] or sides[0], percent)
+        a, b = tested(*sides, percent)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
@@ -264,16 +266,17 @@ def _block_links(batches, percent: int):
         yield out()
 
 
-def _crowd_links(crowds: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int, rows: int, size: int) -> DataFrame:
-    """Links (a, b: components) between the nodes of each crowd (node, crowd), all of them, by whole sets.
+def _crowd_links(crowds: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES, tested=_tested) -> DataFrame:
+    """Links (a, b: components) between the nodes of each crowd (node, crowd), all of them, by whole sets; or what another
+    ``tested`` makes of two blocks.
 
     Along (crowd, n) nodes fall into blocks of bounded rows and shingles; every two blocks of a crowd whose sizes allow the
     similarity, and that hold several components, meet in a task, which emits what they link and no pairs."""
     full, count = _whole_sets(crowds.select("node"), classes, docs, id_col, k)
     own = cut(full.select("node", "n").join(crowds, "node").join(comps, "node"), count)
-    weighed = own.withColumn("_w", F.greatest(F.col("n"), F.lit(math.ceil(size / rows))))
+    weighed = own.withColumn("_w", F.greatest(F.col("n"), F.lit(math.ceil(block_shingles / block_rows))))
     placed = running(spread(weighed, count, [F.col("crowd"), F.col("n"), F.col("node")]), "_w", "_at")
-    placed = cut(placed.select("node", "crowd", "comp", "n", F.floor((F.col("_at") - F.col("_w")) / size).alias("block")), count)
+    placed = cut(placed.select("node", "crowd", "comp", "n", F.floor((F.col("_at") - F.col("_w")) / block_shingles).alias("block")), count)
     blocks = placed.groupBy("crowd", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     one = blocks.select("crowd", *[F.col(c).alias(f"{c}_x") for c in ("block", "hi", "c0", "c1")])
     two = blocks.select("crowd", *[F.col(c).alias(f"{c}_y") for c in ("block", "lo", "c0", "c1")])
@@ -283,7 +286,7 @@ def _crowd_links(crowds: DataFrame, comps: DataFrame, classes: DataFrame, docs:
     right = placed.join(meet.where("block_x < block_y").withColumn("block", F.col("block_y")), ["crowd", "block"]).withColumn("side", F.lit(1))
     dealt = left.unionByName(right).select("node", "comp", "n", "side", F.struct("crowd", "block_x").alias("p"), F.struct("crowd", "block_y").alias("q"))
     dealt = dealt.select("node", "comp", "n", "side", F.xxhash64("p").alias("x"), F.xxhash64("q").alias("y")).join(full.select("node", "shingles"), "node")
-    run = lambda batches: _block_links(batches, percent)
+    run = lambda batches: _block_links(batches, percent, tested)
     return dealt.repartition("x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(run, "a long, b long")
 
 

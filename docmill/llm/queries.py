@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from docmill.llm.bpe import op3_bpe
 from docmill.llm.exact_dedup import OP4_SQL, op4_exact_dedup
-from docmill.llm.fingerprints import op10_fingerprints
+from docmill.llm.fingerprints import LINKS_SQL, fingerprint_links, op10_fingerprints
 from docmill.llm.html_extract import op8_html
 from docmill.llm.licenses import OP6_SQL, op6_licenses
 from docmill.llm.mixing import OP1_SQL, op1_mixing
@@ -24,7 +24,9 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    # the other half of operator 10: bands of its fingerprints, joined and verified
+    "fingerprint_links": fingerprint_links,
 }
 
 #: The others are not SQL: models, a tokenizer, tree alignment, signatures; tests hold them against brute force.
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_licenses": OP6_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_licenses": OP6_SQL, "fingerprint_links": LINKS_SQL}

@@ -1,5 +1,6 @@
 """Links between near documents: the whole set of links, by brute force over all pairs."""
 
+import collections
 import re
 
 import pytest
@@ -26,7 +27,7 @@ def group(name, count, size=200):
     return [" ".join([*base[: 7 * i % size], f"{name}x{i}", *base[7 * i % size + 1 :]]) for i in range(count)]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 3}])
+@pytest.mark.parametrize("options", [{}, {"rows": 4}])
 def test_links_equal_brute_force(spark, options):
     texts = [*group("a", 3), *group("b", 12), *group("c", 25), *group("d", 2, 40), "alone in the world with no one near it", "", None]
     texts += texts[3:6] + [texts[0].upper()]
@@ -36,17 +37,28 @@ def test_links_equal_brute_force(spark, options):
     assert len(found) == len(want) > 300 and {(r.a, r.b) for r in found} == want
 
 
-def test_links_of_crowded_buckets_with_a_stranger(spark):
-    """All rows share every band with a node that is smaller than all and too small a set to be near any."""
-    rows = [(0, 0, i, b"v") for i in range(3)] + [(n, 100, i, b"v") for n in range(1, 40) for i in range(3)]
-    rows = [(n, max(1, size), i, v) for n, size, i, v in rows]
-    banded = spark.createDataFrame(rows, "node long, n long, i int, v binary")
-    got = [(r.a, r.b) for r in fingerprints._bucket_pairs(banded, 80, 5).collect()]
-    assert sorted(got) == [(a, b) for a in range(1, 40) for b in range(a + 1, 40)]
+def test_counts_in_small_blocks(spark):
+    """Per document the links of its class, over a crowd that fills many blocks."""
+    texts = [*group("a", 150), *group("b", 9, 60), "alone in the world with no one near it", "", None]
+    texts += texts[3:6]
+    rows = list(enumerate(texts)) + [(7, texts[7])]
+    want, first = collections.Counter(), {}
+    for i, t in rows:
+        first.setdefault(sets(t), i)
+    for a, b in brute(rows):
+        want[a] += 1
+        want[b] += 1
+    docs = spark.createDataFrame([*rows, (None, texts[0])], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in fingerprints.near_counts(docs, block_rows=16, block_shingles=3_000).collect())
+    assert got == sorted((i, first[sets(t)] if sets(t) else i, want[first[sets(t)]] if sets(t) else 0) for i, t in rows)
 
 
 def test_links_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert {(r.a, r.b) for r in fingerprints.near_documents(docs).collect()} == want
-    assert fingerprints.near_documents(docs.limit(0)).count() == 0
+    assert fingerprints.near_documents(docs.limit(0)).count() == fingerprints.near_counts(docs.limit(0)).count() == 0
+
+
+def test_counts_equal_sql(spark, sf_dir, same_as_sql):
+    same_as_sql(fingerprints.fingerprint_links(spark, sf_dir), fingerprints.LINKS_SQL)
