@@ -130,8 +130,9 @@ _ONE_BYTE = "translate({}, 'ßàáâãäåæçèéêëìíîïðñòóôõöøù
 def _fuzzy_sql(p: str, tf: str, df: str, ln: str, tot: str, boost: int, stop: bool) -> str:
     """Variants of the query terms in a field, and the field's scores: tables {p}v and {p}s."""
     kept = f"WHERE term NOT IN ({_STOP})" if stop else ""
-    return f"""{p}q AS (SELECT DISTINCT qid, term AS asked FROM qx {kept}), {p}u AS (SELECT DISTINCT asked FROM {p}q),
-{p}v AS (SELECT qid, asked, term FROM {p}q JOIN (SELECT asked, term FROM {p}u JOIN {df} ON abs(length(asked) - length(term)) <= 2 AND levenshtein({_ONE_BYTE.format('asked')}, {_ONE_BYTE.format('term')}) <= {_BUDGET}) USING (asked)),
+    return f"""{p}q AS (SELECT DISTINCT qid, term AS asked FROM qx {kept}), {p}u AS (SELECT asked, {_ONE_BYTE.format('asked')} AS one, {_BUDGET} AS most, unnest(range(length(asked) - 2, length(asked) + 3)) AS size FROM (SELECT DISTINCT asked FROM {p}q)),
+{p}t AS (SELECT term, {_ONE_BYTE.format('term')} AS other, length(term) AS size FROM {df}),
+{p}v AS (SELECT qid, asked, term FROM {p}q JOIN (SELECT asked, term FROM {p}u JOIN {p}t USING (size) WHERE levenshtein(one, other) <= most) USING (asked)),
 {p}s AS (SELECT qid, ck, round({boost}.0::DOUBLE * sum(qtf * {_IDF} * {_gain_sql('tf')}), 6) AS score FROM {tf} JOIN (SELECT qid, term, count(*) AS qtf FROM {p}v GROUP BY ALL) USING (term) JOIN {df} USING (term) JOIN {ln} USING (ck), {tot} GROUP BY ALL)"""
 
 
