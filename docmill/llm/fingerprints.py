@@ -182,7 +182,7 @@ def _near(docs: DataFrame, k: int, percent: int, rows: int, tested, **blocks) ->
     banded = classes.select("node", F.explode(F.array(*bands)).alias("band")).select("node", "band.i", "band.v")
     shared = banded.groupBy("i", "v").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
     links = banded.join(shared, ["i", "v"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    crowds = components(cut(links)).withColumnRenamed("component", "crowd")
+    crowds = components(links).withColumnRenamed("component", "crowd")
     found = _crowd_links(crowds, classes.select("node", F.col("node").alias("comp")), classes, named, "doc_id", k, percent, tested=tested, **blocks)
     return sets, classes, found
 

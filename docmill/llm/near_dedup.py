@@ -329,7 +329,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
         pairs = cut(_scan(rows, math.ceil(n / rows_per_task), reach))
         if pairs.isEmpty():
             return comps
-        linked = cut(_confirmed(pairs, classes, docs, id_col, k, percent)).select(F.col("comp").alias("a"), F.col("other").alias("b"))
+        linked = _confirmed(pairs, classes, docs, id_col, k, percent).select(F.col("comp").alias("a"), F.col("other").alias("b"))
         return contracted(linked)
 
     for orders in (3, ORDERS):
@@ -342,9 +342,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
         label = F.element_at(F.array(*[_label(o, DEEPER) for o in range(ORDERS)]), F.col("ordering") + 1)
         comps = candidates_linked(deep.select("ordering", "head", label.alias("label"), "node", "comp"), n, width)
         still = _crowded(members.join(comps, "node")).select("ordering", "head")
-        left = cut(members.join(still, ["ordering", "head"]).select("node", "hub").distinct())
+        left = members.join(still, ["ordering", "head"]).select("node", "hub").distinct()
         crowds = components(left.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "crowd")
-        comps = contracted(cut(_crowd_links(crowds, comps, classes, docs, id_col, k, percent, block_rows, block_shingles)))
+        comps = contracted(_crowd_links(crowds, comps, classes, docs, id_col, k, percent, block_rows, block_shingles))
     known = classes.select("set_key", "first_id", "node").join(comps, "node")
     least = known.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     known = cut(known.join(least, "comp").select("set_key", "component_id"), count)

@@ -21,13 +21,16 @@ def brute(edges):
     return {n: find(n) for n in root}
 
 
+@pytest.mark.parametrize("small", [0, 250_000])
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(None, 2), (3, None)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(100, 101), (101, 100)]])
-def test_shapes(spark, edges):
-    got = components(spark.createDataFrame(edges, "a long, b long"))
+def test_shapes(spark, edges, small):
+    """By rounds over all and in one task, on both sides of the size that decides."""
+    got = components(spark.createDataFrame(edges, "a long, b long"), small=small)
     assert {r.node: r.component for r in got.collect()} == brute(edges)
 
 
-def test_random(spark):
+@pytest.mark.parametrize("small", [129, 130])
+def test_random(spark, small):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)]
-    assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == brute(edges)
+    assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()} == brute(edges)

@@ -17,4 +17,4 @@ def test_neighbours_across_all_boundaries(spark):
 def test_components_raise_when_rounds_run_out(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
-        components(links, most_rounds=1)
+        components(links, most_rounds=1, small=0)
