@@ -118,10 +118,20 @@ def _head(o: int) -> Column:
     return F.xxhash64(F.substring("signature", 4 * PREFIX * o + 1, 4 * PREFIX))
 
 
-def _label(o: int, depth: int) -> Column:
-    """The values of an order from its prefix to ``depth``."""
+def _places(o: int, depth: int) -> list[int]:
+    """Where in a signature the values of an order stand, from its prefix to ``depth``."""
     rest = [p for p in range(VALUES) if not o * PREFIX <= p < (o + 1) * PREFIX]
-    return F.concat(*[F.substring("signature", 4 * int(p) + 1, 4) for p in np.random.default_rng([11, o]).permutation(rest)[: depth - PREFIX]])
+    return [4 * int(p) + 1 for p in np.random.default_rng([11, o]).permutation(rest)[: depth - PREFIX]]
+
+
+def _label(o: int, depth: int) -> Column:
+    return F.concat(*[F.substring("signature", p, 4) for p in _places(o, depth)])
+
+
+def _deep_label(depth: int) -> Column:
+    """The label of a row's own order, by a table of places."""
+    places = ", ".join(f"array({', '.join(map(str, _places(o, depth)))})" for o in range(ORDERS))
+    return F.expr(f"aggregate(element_at(array({places}), ordering + 1), X'', (s, p) -> concat(s, substring(signature, p, 4)))")
 
 
 def _rows(classes: DataFrame, comps: DataFrame, orders: int, depth: int | None) -> DataFrame:
@@ -339,8 +349,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     n = members.count()
     if n:
         deep = members.join(classes.select("node", "signature"), "node").join(comps, "node")
-        label = F.element_at(F.array(*[_label(o, DEEPER) for o in range(ORDERS)]), F.col("ordering") + 1)
-        comps = candidates_linked(deep.select("ordering", "head", label.alias("label"), "node", "comp"), n, width)
+        comps = candidates_linked(deep.select("ordering", "head", _deep_label(DEEPER).alias("label"), "node", "comp"), n, width)
         still = _crowded(members.join(comps, "node")).select("ordering", "head")
         left = members.join(still, ["ordering", "head"]).select("node", "hub").distinct()
         crowds = components(left.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "crowd")
