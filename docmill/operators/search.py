@@ -35,14 +35,12 @@ def analyze(rows: DataFrame, key: list[str], text: str = "text", stopwords: tupl
 def build_index(rows: DataFrame, key: str, text: str = "text", stopwords: tuple[str, ...] = INDEX_STOPWORDS, stem: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings (term, key, tf, len), document frequencies (term, df) and one row of totals (n, avg_len) of rows with unique keys.
 
-    Postings are a narrow map: a row's terms are counted where it is read. Only frequencies move, combined first, so that
-    a term in very many rows is a large group of counts alone."""
-    own = F.filter(terms(F.col(text)), lambda t: ~t.isin(*stopwords)) if stopwords else terms(F.col(text))
-    own = rows.select(key, (own if stem is None else F.transform(own, stem)).alias("_terms")).where(F.size("_terms") > 0)
-    counted = F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_terms", lambda x: x == t)).cast("long").alias("tf")))
-    postings = own.select(key, F.size("_terms").cast("long").alias("len"), F.explode(counted).alias("_p")).select("_p.term", key, "_p.tf", "len")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    totals = own.agg(F.count("*").alias("n"), F.avg(F.size("_terms")).alias("avg_len"))
+    Counts are combined before they are shuffled; a term in very many rows is a large group only of counts."""
+    tf = analyze(rows, [key], text, stopwords, stem).groupBy("term", key).agg(F.count("*").alias("tf"))
+    length = tf.groupBy(key).agg(F.sum("tf").alias("len"))
+    postings = tf.join(length, key).select("term", key, "tf", "len")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    totals = length.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     return postings, df, totals
 
 
