@@ -104,24 +104,20 @@ def mentioned_documents(answers: DataFrame, documents: DataFrame, key: list[str]
     return tokens.join(names, "t").select(*key, "document_id").distinct()
 
 
-def passages_in(passages: DataFrame, texts: DataFrame, words: int = 4) -> DataFrame:
+def passages_in(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """pid, tid, at (1 for the first character): the texts (tid, text) that hold a passage (pid, text), and where first.
 
-    What stands between white space inside a passage stands so in a text that holds it: up to ``words`` of its inner words, as
-    they follow each other, are the key of an equi join with the texts' runs of so many words; then the whole passage is
-    looked for. Passages without an inner word meet texts by their substrings (:func:`contained`). Null and empty passages are in none."""
+    What stands between white space inside a passage stands so in a text that holds it: its longest inner word is the key of
+    an equi join with the texts' words; then the whole passage is looked for. Passages without an inner word meet texts by
+    their substrings (:func:`contained`). Null and empty passages are in none."""
     split = lambda c: F.split(c, r"\s+")
     own = passages.where("text <> ''").select("pid", F.col("text").alias("passage"))
-    inner = own.withColumn("_w", F.slice(split("passage"), 2, F.greatest(F.least(F.size(split("passage")) - 2, F.lit(words)), F.lit(0)))).withColumn("n", F.size("_w"))
-    keyed = inner.where("n > 0").select("pid", "passage", "n", F.array_join("_w", " ").alias("run"))
-    sizes = keyed.agg(F.collect_set("n").alias("_sizes"))  # ``words`` numbers at most
-    runs = texts.select("tid", split("text").alias("_w")).crossJoin(F.broadcast(sizes))
-    starts = F.sequence(F.lit(1), F.size("_w"))
-    made = F.flatten(F.transform("_sizes", lambda n: F.transform(starts, lambda i: F.struct(n.alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("run")))))
-    runs = runs.select("tid", F.explode(F.array_distinct(made)).alias("r")).select("tid", "r.n", "r.run")
-    found = runs.join(keyed, ["n", "run"]).select("tid", "pid", "passage").distinct().join(texts, "tid")
+    inner = F.slice(split("passage"), 2, F.greatest(F.size(split("passage")) - 2, F.lit(0)))
+    keyed = own.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = texts.select("tid", F.explode(F.array_distinct(split("text"))).alias("word"))
+    found = words.join(keyed.where("word IS NOT NULL"), "word").select("tid", "pid", "passage").join(texts, "tid")
     hits = found.withColumn("at", F.instr(F.col("text"), F.col("passage"))).where("at > 0").select("pid", "tid", "at")
-    short = inner.where("n = 0")
+    short = keyed.where("word IS NULL")
     whole = contained(short.select("passage"), texts.select("text"))
     rest = short.join(whole, F.col("passage") == F.col("needle")).join(texts, F.col("text") == F.col("hay"))
     return hits.unionByName(rest.select("pid", "tid", F.instr(F.col("text"), F.col("passage")).alias("at")))
