@@ -9,6 +9,7 @@ from docmill.llm.html_extract import op8_html
 from docmill.llm.licenses import OP6_SQL, op6_licenses
 from docmill.llm.mixing import OP1_SQL, op1_mixing
 from docmill.llm.near_dedup import OP5_SQL, op5_near_dedup
+from docmill.llm.periodic_runs import op13_periodic_runs
 from docmill.llm.quality import op2_quality
 from docmill.llm.token_count import op9_token_counts
 from docmill.llm.toxicity import op7_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op13_periodic_runs": op13_periodic_runs,
     # the other half of operator 10: bands of its fingerprints, joined and verified
     "fingerprint_links": fingerprint_links,
 }
