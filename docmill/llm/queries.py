@@ -13,6 +13,7 @@ from docmill.llm.periodic_runs import op13_periodic_runs
 from docmill.llm.quality import op2_quality
 from docmill.llm.token_count import op9_token_counts
 from docmill.llm.toxicity import op7_toxicity
+from docmill.llm.url_filters import op11_url_filters
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op11_url_filters": op11_url_filters,
     "op13_periodic_runs": op13_periodic_runs,
     # the other half of operator 10: bands of its fingerprints, joined and verified
     "fingerprint_links": fingerprint_links,
