@@ -1,4 +1,4 @@
-"""Keyword search by BM25 over a postings table, and vector search by blocks of queries."""
+"""Terms and postings of texts, fuzzy terms, and vector search by blocks of queries. (Searches over stored postings: ``stored_index``.)"""
 
 from __future__ import annotations
 
@@ -44,72 +44,6 @@ def build_index(rows: DataFrame, key: str, text: str = "text", stopwords: tuple[
     return postings, df, totals
 
 
-def _idf() -> Column:
-    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-
-
-def _gain(tf: str) -> Column:
-    return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-
-
-def bm25(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], key: str, boost: float = 1.0) -> DataFrame:
-    """qid, key, score: any query term may match; scores of terms add up, a repeated query term counts as often.
-
-    ``queries`` has (qid, term). Postings meet query terms by an equi join; the frequencies of only those terms move."""
-    postings, df, totals = index
-    q = queries.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    q = q.join(df.join(queries.select("term").distinct(), "term", "left_semi"), "term")
-    hits = postings.join(q, "term").crossJoin(F.broadcast(totals))
-    return hits.groupBy("qid", key).agg(F.round(boost * F.sum(F.col("qtf") * _idf() * _gain("tf")), 6).alias("score"))
-
-
-def search(queries: DataFrame, rows: DataFrame, key: str, k: int = 10, stopwords: tuple[str, ...] = INDEX_STOPWORDS) -> DataFrame:
-    """The ``k`` best rows of each query (qid, text) by BM25."""
-    index = build_index(rows, key, stopwords=stopwords)
-    return top_k(bm25(analyze(queries, ["qid"], stopwords=stopwords), index, key), k, tie=key)
-
-
-def phrase_hits(queries: DataFrame, tokens: DataFrame, key: str, df: DataFrame) -> DataFrame:
-    """qid, key, occurrences: rows that hold all terms of the query one after the other.
-
-    Query terms (qid, term, pos) keep their offsets. Only places of a query's rarest term (by ``df``) start a comparison,
-    the other terms are looked up at their places by an equi join, so common words cost nothing."""
-    q = queries.select("qid", "term", F.col("pos").alias("off"))
-    known = q.join(df.join(q.select("term").distinct(), "term", "left_semi"), "term", "left")
-    asked = known.groupBy("qid").agg(F.count("*").alias("n"), F.count("df").alias("known"), F.min(F.struct("df", "off", "term")).alias("r")).where("n = known")
-    start = tokens.join(asked.select("qid", "n", "r.term", "r.off"), "term").select("qid", key, "n", (F.col("pos") - F.col("off")).alias("start")).distinct()
-    need = start.join(q, "qid").withColumn("pos", F.col("start") + F.col("off"))
-    whole = need.join(tokens.select(key, "pos", "term"), [key, "pos", "term"]).groupBy("qid", key, "start", "n").agg(F.count("*").alias("hit")).where("hit = n")
-    return whole.groupBy("qid", key).agg(F.count("*").alias("occurrences"))
-
-
-def phrase_score(queries: DataFrame, rows: DataFrame, key: str, boost: float = 2.0, text: str = "text") -> DataFrame:
-    """qid, key, score: BM25 of the whole query as one phrase of the exact field: its frequency, and the sum of its terms' idf."""
-    postings, df, totals = build_index(rows, key, text, stopwords=())
-    asked = analyze(queries, ["qid"], stopwords=())
-    weight = asked.join(df, "term").crossJoin(F.broadcast(totals)).groupBy("qid").agg(F.sum(_idf()).alias("weight"))
-    length = rows.select(key, F.size(terms(F.col(text))).alias("len"))
-    hits = phrase_hits(asked, analyze(rows, [key], text, stopwords=()), key, df).join(length, key).join(weight, "qid").crossJoin(F.broadcast(totals))
-    return hits.select("qid", key, F.round(boost * F.col("weight") * _gain("occurrences"), 6).alias("score"))
-
-
-def name_score(queries: DataFrame, rows: DataFrame, key: str, boost: float = 0.5, name: str = "document_name", stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """qid, key, score: BM25 of the query on the rows' document names."""
-    return bm25(analyze(queries, ["qid"], stem=stem), build_index(rows, key, name, stem=stem), key, boost)
-
-
-def keyword_search(queries: DataFrame, rows: DataFrame, key: str, k: int = 10, fuzzy: bool = False, stem: Callable[[Column], Column] | None = None, category: str | None = None) -> DataFrame:
-    """The ``k`` best rows (key, text, document_name) of each query (qid, text) over three fields: the text without stop words
-    (boost 1), the exact text as a phrase (2) and the document's name (0.5); their scores add up. ``fuzzy``: see :func:`fuzzy_search`.
-    With a ``category`` only its rows are hits; frequencies are those of all rows."""
-    of_category = lambda hits: hits if category is None else hits.join(rows.where(F.col("category") == category).select(key), key, "left_semi")
-    if fuzzy:
-        return top_k(of_category(fuzzy_search(queries, rows, key, stem)), k, tie=key)
-    parts = bm25(analyze(queries, ["qid"], stem=stem), build_index(rows, key, stem=stem), key)
-    parts = parts.unionByName(phrase_score(queries, rows, key)).unionByName(name_score(queries, rows, key, stem=stem))
-    return top_k(of_category(parts.groupBy("qid", key).agg(F.round(F.sum("score"), 6).alias("score"))), k, tie=key)
-
-
 def edit_budget(term: Column) -> Column:
     """0 edits up to 2 characters, 1 up to 5, else 2."""
     n = F.length(term)
@@ -139,19 +73,6 @@ def fuzzy_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return queries.select("qid", F.col("term").alias("asked")).distinct().join(near, "asked").select("qid", "asked", "term")
 
 
-def fuzzy_search(queries: DataFrame, rows: DataFrame, key: str, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """qid, key, score: the best of three fields, each by BM25 over all terms within the edit budget of a query term: text (boost 3),
-    exact text (2) and document name (1)."""
-    fields = (("text", INDEX_STOPWORDS, stem, 3.0), ("text", (), None, 2.0), ("document_name", INDEX_STOPWORDS, stem, 1.0))
-    found = None
-    for text, stop, own, boost in fields:
-        index = build_index(rows, key, text, stop, own)
-        wanted = fuzzy_terms(analyze(queries, ["qid"], stopwords=stop, stem=own), index[1])
-        part = bm25(wanted.select("qid", "term"), index, key, boost)
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("qid", key).agg(F.max("score").alias("score"))
-
-
 def _packed(rows: DataFrame, key: str, by: Column | None, size: int) -> DataFrame:
     """Vectors in packs: ids and the vectors one after the other; of the batches as they are read, or by ``by``."""
     if by is not None:

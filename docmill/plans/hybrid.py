@@ -9,7 +9,8 @@ from docmill.functions.text import clean_query
 from docmill.operators.checks import by_metadata, query_error
 from docmill.operators.dedup import first_rows, ranked
 from docmill.operators.fusion import fuse_rrf, pool
-from docmill.operators.search import keyword_search, rerank, vector_search
+from docmill.operators.search import rerank, vector_search
+from docmill.operators.stored_index import Index, keyword_search
 
 
 def hybrid_search(vector: DataFrame, keyword: DataFrame, chunks: DataFrame, key: str, k: int, category: str | None = None, document: str | None = None, pages: tuple[int, int] | None = None) -> DataFrame:
@@ -19,16 +20,17 @@ def hybrid_search(vector: DataFrame, keyword: DataFrame, chunks: DataFrame, key:
     return ranked(joined, tie=key).where(f"rank <= {int(k)}")
 
 
-def retrieve(questions: DataFrame, vectors: DataFrame, rows: DataFrame, corpus: DataFrame, key: str, k: int = 20, final: int = 5, category: str | None = None, document: str | None = None, fuzzy: bool = False, pair_score: Column | None = None) -> DataFrame:
-    """The question path for a table of questions (qid, text): cleaned and validated, both searches (``k`` each), fused, one
+def retrieve(questions: DataFrame, vectors: DataFrame, index: Index, corpus: DataFrame, k: int = 20, final: int = 5, category: str | None = None, document: str | None = None, fuzzy: bool = False, pair_score: Column | None = None) -> DataFrame:
+    """The question path for a table of questions (qid, text) over a stored index: cleaned and validated, both searches (``k`` each), fused, one
     row a chunk, filtered, ranked again by ``pair_score`` (a column of query and text) if given, the ``final`` best.
 
     ``vectors`` (qid, embedding) are the questions', ``corpus`` (vec_id, embedding, key, category) the chunks'. The category goes into
     both searches, the document only into the filter after fusion. Each row has its query's numbers of vector hits, keyword hits and
     candidates before the filter. Questions that fail validation have no rows. A question without hits by one way is answered by the other."""
+    key, rows = index.key, index.documents().drop("d")
     asked = questions.withColumn("text", clean_query(F.col("text"))).where(query_error(F.col("text")).isNull())
     near = vector_search(vectors.join(asked.select("qid"), "qid", "left_semi"), corpus, k, category=category).join(corpus.select("vec_id", key), "vec_id")
-    keyword = keyword_search(asked, rows, key, k, fuzzy, category=category)
+    keyword = keyword_search(index, asked, k, fuzzy, category)
     fused = first_rows(fuse_rrf(pool(near, keyword, key), key), ["qid", key], ["rank"])
     w = Window.partitionBy("qid")
     counted = fused.withColumns({"vector_count": F.count("vector_rank").over(w), "keyword_count": F.count("keyword_rank").over(w), "candidates": F.count("*").over(w)})

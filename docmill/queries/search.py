@@ -8,6 +8,8 @@ from docmill.registry import query
 from docmill.functions import patterns as pt
 from docmill.operators import dedup, fusion
 from docmill.operators import search as se
+from docmill.operators import stored_index as si
+from docmill.plans.indexes import chunk_index, keyed_chunks
 from docmill.plans.views import CHUNKS_SQL, chunks, table
 
 _STOP = ", ".join(f"'{w}'" for w in pt.INDEX_STOPWORDS)
@@ -52,10 +54,6 @@ vs AS (SELECT qid, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]),
 vt AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id))::INT AS rank FROM vs WHERE score >= 0.3) WHERE rank <= 10)"""
 
 
-def keyed_chunks(spark, sf):
-    return chunks(spark, sf).withColumn("ck", F.concat("chunk_id", F.lit("#"), F.col("document_id").cast("string")))
-
-
 def questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
@@ -87,16 +85,16 @@ def _(spark, sf):
 
 @query("r2_index_fields", f"WITH {INDEX_SQL}, {_field_sql('x_', 'text', False)}, {_field_sql('n_', 'document_name', True)} SELECT 'exact' AS field, term, count(*) AS df, sum(tf)::BIGINT AS tf FROM x_tf GROUP BY ALL UNION ALL SELECT 'name', term, count(*), sum(tf)::BIGINT FROM n_tf GROUP BY ALL")
 def _(spark, sf):
-    """The index's other fields: exact text and document names."""
-    rows = keyed_chunks(spark, sf)
-    exact, name = se.build_index(rows, "ck", stopwords=())[0], se.build_index(rows, "ck", "document_name")[0]
+    """The stored index's other fields: exact text and document names."""
+    index = chunk_index(spark, sf, "exact", "name")
+    exact, name = index.postings("exact").drop("pos"), index.postings("name")
     both = exact.withColumn("field", F.lit("exact")).unionByName(name.withColumn("field", F.lit("name")))
     return both.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("r3_bm25_search", f"WITH {INDEX_SQL} SELECT qid, ck, score, rank FROM kw")
 def _(spark, sf):
-    return se.search(questions(spark, sf), keyed_chunks(spark, sf), "ck")
+    return si.search(chunk_index(spark, sf, "body"), questions(spark, sf))
 
 
 def named_questions(spark, sf):
@@ -106,18 +104,20 @@ def named_questions(spark, sf):
 @query("r4_phrase_boost", f"WITH {INDEX_SQL}, asked AS (SELECT item_id AS qid, text FROM benchmark), {FIELDS_SQL} SELECT qid, ck, score FROM ph")
 def _(spark, sf):
     """Chunks that hold a whole passage as a phrase."""
-    return se.phrase_score(questions(spark, sf), keyed_chunks(spark, sf), "ck")
+    index = chunk_index(spark, sf, "exact")
+    return si.keyed(index, si.phrase_scores(index, se.analyze(questions(spark, sf), ["qid"], stopwords=())))
 
 
 @query("r4_name_boost", f"WITH {INDEX_SQL}, {NAMED_SQL}, {FIELDS_SQL} SELECT qid, ck, score FROM nm")
 def _(spark, sf):
-    return se.name_score(named_questions(spark, sf), keyed_chunks(spark, sf), "ck")
+    index = chunk_index(spark, sf, "name")
+    return si.keyed(index, si.scores(index, "name", se.analyze(named_questions(spark, sf), ["qid"]), 0.5))
 
 
 @query("r4_keyword_search", f"WITH {INDEX_SQL}, {NAMED_SQL}, {FIELDS_SQL}, bt AS (SELECT qid, ck, round(sum(qtf * {_IDF} * {_gain_sql('tf')}), 6) AS score FROM tf JOIN nq USING (term) JOIN dfs USING (term) JOIN ln_ USING (ck), tot GROUP BY ALL), al AS (SELECT qid, ck, round(sum(score), 6) AS score FROM (FROM bt UNION ALL FROM ph UNION ALL FROM nm) GROUP BY ALL) SELECT qid, ck, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, ck))::INT AS rank FROM al) WHERE rank <= 10")
 def _(spark, sf):
     """Text, phrase and name scores together."""
-    return se.keyword_search(named_questions(spark, sf), keyed_chunks(spark, sf), "ck")
+    return si.keyword_search(chunk_index(spark, sf), named_questions(spark, sf))
 
 
 _BUDGET = "CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END"
@@ -141,22 +141,20 @@ FUZZY_SQL = f"WITH {INDEX_SQL}, {NAMED_SQL}, {FIELDS_SQL}, {_fuzzy_sql('ft_', 't
 
 @query("r5_fuzzy_terms", f"{FUZZY_SQL} SELECT qid, asked, term FROM ft_v")
 def _(spark, sf):
-    vocabulary = se.build_index(keyed_chunks(spark, sf), "ck")[1]
-    return se.fuzzy_terms(se.analyze(named_questions(spark, sf), ["qid"]), vocabulary)
+    return se.fuzzy_terms(se.analyze(named_questions(spark, sf), ["qid"]), chunk_index(spark, sf, "body").terms("body"))
 
 
 @query("r5_fuzzy_search", f"{FUZZY_SQL}, al AS (SELECT qid, ck, max(score) AS score FROM (FROM ft_s UNION ALL FROM fx_s UNION ALL FROM fn_s) GROUP BY ALL) SELECT qid, ck, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, ck))::INT AS rank FROM al) WHERE rank <= 10")
 def _(spark, sf):
-    return se.keyword_search(named_questions(spark, sf), keyed_chunks(spark, sf), "ck", fuzzy=True)
+    return si.keyword_search(chunk_index(spark, sf), named_questions(spark, sf), fuzzy=True)
 
 
 @query("r6_index_filter", f"WITH {INDEX_SQL} SELECT qid, ck, score FROM bm JOIN rows_ USING (ck) WHERE category = 'en' AND contains(document_name, '_vol1')")
 def _(spark, sf):
     """Category and document filters before scoring; frequencies are those of the whole index."""
-    rows = keyed_chunks(spark, sf)
-    postings, df, totals = se.build_index(rows, "ck")
-    wanted = rows.where(F.col("category") == "en").where(F.col("document_name").contains("_vol1")).select("ck")
-    return se.bm25(se.analyze(questions(spark, sf), ["qid"]), (postings.join(wanted, "ck", "left_semi"), df, totals), "ck")
+    index = chunk_index(spark, sf, "body")
+    wanted = index.documents().where(F.col("category") == "en").where(F.col("document_name").contains("_vol1")).select("d", "ck")
+    return si.scores(index, "body", se.analyze(questions(spark, sf), ["qid"])).join(wanted, "d").select("qid", "ck", "score")
 
 
 @query("r7_vector_search", f"WITH {VECTOR_SQL} SELECT qid, vec_id, score, rank FROM vt")
@@ -231,7 +229,7 @@ def _(spark, sf):
     from docmill.plans.hybrid import retrieve
 
     qv, corpus = chunk_vectors(spark, sf)
-    return retrieve(questions(spark, sf), qv, keyed_chunks(spark, sf), corpus, "ck", k=10, final=5, category="en")
+    return retrieve(questions(spark, sf), qv, chunk_index(spark, sf), corpus, k=10, final=5, category="en")
 
 
 @query("r12_hybrid_reranked", rf"{_HYBRID_SQL}, rr AS (SELECT qid, ck, fd.document_name, fd.page_number, round(len(list_intersect(qs, regexp_extract_all(lower(r.text), '[\p{{L}}\p{{N}}]+')))::DOUBLE / greatest(len(qs), 1), 6) AS score FROM fd JOIN rows_ r USING (ck) JOIN words USING (qid)) {_HYBRID_OUT.format(rows='rr')}")
@@ -240,13 +238,13 @@ def _(spark, sf):
     from docmill.plans.hybrid import retrieve
 
     qv, corpus = chunk_vectors(spark, sf)
-    return retrieve(questions(spark, sf), qv, keyed_chunks(spark, sf), corpus, "ck", k=10, final=5, category="en", pair_score=se.overlap_score())
+    return retrieve(questions(spark, sf), qv, chunk_index(spark, sf), corpus, k=10, final=5, category="en", pair_score=se.overlap_score())
 
 
 @query("r13_rerank", f"WITH {INDEX_SQL}, q AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS qs FROM benchmark) SELECT qid, ck, round(len(list_intersect(qs, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')))::DOUBLE / len(qs), 6) AS score FROM kw JOIN rows_ USING (ck) JOIN q USING (qid)")
 def _(spark, sf):
     rows, asked = keyed_chunks(spark, sf), questions(spark, sf)
-    hits = se.search(asked, rows, "ck").join(rows.select("ck", "text"), "ck").join(asked.withColumnRenamed("text", "query"), "qid")
+    hits = si.search(chunk_index(spark, sf, "body"), asked).join(rows.select("ck", "text"), "ck").join(asked.withColumnRenamed("text", "query"), "qid")
     return se.rerank(hits, se.overlap_score()).select("qid", "ck", "score")
 
 
@@ -287,5 +285,5 @@ def _(spark, sf):
     from docmill.operators.checks import answer_gate
 
     rows, asked = keyed_chunks(spark, sf), questions(spark, sf)
-    hits = se.search(asked, rows, "ck").join(rows.select("ck", "text"), "ck")
+    hits = si.search(chunk_index(spark, sf, "body"), asked).join(rows.select("ck", "text"), "ck")
     return answer_gate(asked, hits, least=40.0).select("qid", "gate")
