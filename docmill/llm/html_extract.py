@@ -184,18 +184,16 @@ def main_text(html: str | None, slot: int | None = None, inside_slot: frozenset[
     return "\n".join([t for t, i, _ in blocks if i] or [t for t, _, i in blocks if i] or [t for t, _, _ in blocks])
 
 
-def paired(template: dict[int, list], nodes: list[Node]) -> set[int]:
-    """Simple tree matching of a page (its nodes, parents first) with a template: the paths of the nodes that it pairs, the
-    most that keep parents and the order of siblings. Siblings have different labels, so only nodes of one path can pair; where
-    their orders differ, the heaviest rising run of pairs stays."""
+def paired(order: dict[int, int], nodes: list[Node]) -> set[int]:
+    """Simple tree matching of a page (its nodes, parents first) with its host's template, whose paths have an ``order``: the paths of the nodes
+    that it pairs, the most that keep parents and the order of siblings. Siblings have different labels, so only nodes of one path
+    can pair; where their orders differ, the heaviest rising run of pairs stays."""
     weight: dict[int, int] = {}
     chosen: dict[int, list[int]] = {}
     for node in reversed(nodes):
-        own = template.get(node.path)
-        if own is None:
+        if node.path not in order:
             continue
-        order = own[ORDER]
-        both = [p for p in node.children if p in weight and p in order]
+        both = [p for p in node.children if p in weight]
         if all(order[x] < order[y] for x, y in zip(both, both[1:], strict=False)):
             kept = both
         else:
@@ -215,11 +213,11 @@ def paired(template: dict[int, list], nodes: list[Node]) -> set[int]:
 
 
 #: A template's row for a path: pages that pair it, low and high hash of their texts, text below it, of that in headings, and so on.
-PAGES, LOW, HIGH, MASS, HEADS, DEPTH, HOLDS, ORDER = range(8)
+PAGES, LOW, HIGH, MASS, HEADS, DEPTH, HOLDS = range(7)
 
 
-def align(template: dict[int, list], nodes: list[Node]) -> None:
-    """Add a page to a template: nodes that tree matching pairs are compared by text; others are kept as optional ones."""
+def align(template: dict[int, list], order: dict[int, int], nodes: list[Node]) -> None:
+    """Add a page to the sums of its host's template: the texts of the nodes that tree matching pairs, the mass of all."""
     for node in reversed(nodes):
         node.mass += sum(map(len, node.text))
         if node.heading:
@@ -227,68 +225,108 @@ def align(template: dict[int, list], nodes: list[Node]) -> None:
         if node.parent is not None:
             node.parent.mass += node.mass
             node.parent.heads += node.heads
-    same = paired(template, nodes) if template else None
+    same = paired(order, nodes)
     for node in nodes:
+        if node.path not in order:
+            continue
         row = template.get(node.path)
         if row is None:
-            row = template[node.path] = [0, (1 << 63) - 1, -1, 0, 0, node.depth, node.holds, {}]
-            new = True
-        else:
-            new = False
-        if new or same is None or node.path in same:
+            row = template[node.path] = [0, (1 << 63) - 1, -1, 0, 0, node.depth, node.holds]
+        if node.path in same:
             text = " ".join(" ".join(node.text).split())
             digest = xxhash.xxh64_intdigest(text) >> 1 if text else -1
             row[PAGES] += 1
             row[LOW], row[HIGH] = min(row[LOW], digest), max(row[HIGH], digest)
         row[MASS] += node.mass
         row[HEADS] += node.heads
-        for p in node.children:
-            row[ORDER].setdefault(p, len(row[ORDER]))
 
 
 def host(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").strip().lower()).split("/")[0].split("?")[0].split("#")[0]
 
 
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+_PLACES = "host string, path long, pages long, places long"
 _TEMPLATE = "host string, path long, pages long, low long, high long, mass long, heads long, depth int, holds boolean"
 
 
-def _partial(batches, most_nodes: int = 100_000):
-    """Rows of the templates of a task's pages, by host; handed on whenever they hold ``most_nodes``."""
-    held: dict[str, dict[int, list]] = {}
-    total = 0
+def _sums(schema: str, add, most_nodes: int):
+    """Rows of (host, path) that ``add`` sums over a task's pages; handed on whenever they are ``most_nodes``, as Spark sums them again."""
+    fields = [c.split(" ") for c in schema.split(", ")]
 
-    def out():
-        rows = [(h, p, *r[:ORDER]) for h, t in held.items() for p, r in t.items()]
-        kinds = [pa.string(), *[pa.int64()] * 6, pa.int32(), pa.bool_()]
-        names = [c.split(" ")[0] for c in _TEMPLATE.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    def run(batches):
+        held: dict[str, dict[int, list]] = {}
+        total = 0
 
-    for batch in batches:
-        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own = held.setdefault(host(url), {})
-            before = len(own)
-            align(own, walk(page or "", tree=True)[1])
-            total += len(own) - before
-            if total >= most_nodes:
-                yield out()
-                held.clear()
-                total = 0
-    if held:
-        yield out()
-
-
-def induce(pages: DataFrame, least: int = 3, least_inside: int = 8, share: float = 0.8) -> DataFrame:
+        def out():
+            rows = [(h, p, *r) for h, t in held.items() for p, r in t.items()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True):
+                own = held.setdefault(host(row[0]), {})
+                before = len(own)
+                add(own, *row)
+                total += len(own) - before
+                if total >= most_nodes:
+                    yield out()
+                    held.clear()
+                    total = 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _add_places(own: dict[int, list], url, page) -> None:
+    for node in walk(page or "", tree=True)[1]:
+        if node.parent is None:
+            own.setdefault(node.path, [0, 0])[0] += 1
+        for i, p in enumerate(node.children):
+            row = own.setdefault(p, [0, 0])
+            row[0] += 1
+            row[1] += i
+
+
+def _add_texts(own: dict[int, list], url, page, order) -> None:
+    if order:
+        align(own, {p: i for i, p in enumerate(order)}, walk(page or "", tree=True)[1])
+
+
+#: Rows of up to so many bytes are broadcast; beyond that Spark joins pages and rows by host.
+BROADCAST_BYTES = 16 << 20
+
+
+def _with_host_rows(pages: DataFrame, side: DataFrame, size) -> DataFrame:
+    """Pages (``_host``) with their host's row of a table, ``size`` bytes of which a row has."""
+    bytes_ = side.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return pages.join(F.broadcast(side) if bytes_ <= BROADCAST_BYTES else side, F.col("_host") == F.col("_h"), "left")
+
+
+def _hosted(pages: DataFrame, *columns: str) -> DataFrame:
+    name = F.regexp_extract(F.regexp_replace(F.lower(F.trim("url")), "^[a-z][a-z0-9+.-]*://", ""), "^[^/?#]*", 0)
+    return pages.select(*columns, "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(name, F.lit("")).alias("_host"))
+
+
+def induce(pages: DataFrame, least: int = 3, least_inside: int = 8, share: float = 0.8, support: float = 0.01, most_nodes: int = 100_000) -> DataFrame:
     """host, slot, inside, elsewhere: the wrapper of every host with at least ``least`` pages that are not all the same.
 
-    DOM trees of a host's pages, like siblings folded into one node, are aligned by simple tree matching within each
-    task that reads pages; templates of tasks, as rows of (host, path), are summed by Spark, so that a host of any size
-    spreads and none is gathered. A node whose text is constant on all pages that have it (``least``; in the slot
-    ``least_inside``) is template, others are varying slots. ``slot`` is the deepest container that holds ``share`` of the host's
-    text and all of its headings, menus, scripts and noise left out: the slot of the main text (null: there is none).
+    Two passes over the pages, whose DOM trees have like siblings folded into one node. First the template of a host: the paths of at least ``least``
+    pages and a ``support`` of all (so it has no more than a hundred pages' nodes, on a host of any size), siblings ordered by their mean place.
+    Then every page is aligned with that template by simple tree matching. Both are sums by (host, path), partial in each task, so
+    neither the order of pages nor how they fall into tasks matters, and no host is gathered.
+    A node whose text is constant on all pages that pair it (``least``; in the slot ``least_inside``) is template, others are varying slots. ``slot`` is the
+    deepest container that holds ``share`` of the host's text and all of its headings, menus, scripts and noise left out: the slot of the main text (null: there is none).
     Null urls are one host, the empty name; null pages have no text; an empty table gives no rows.
     """
-    rows = pages.select("url", "html").mapInArrow(lambda b: _partial(b), _TEMPLATE)
+    places = pages.select("url", "html").mapInArrow(_sums(_PLACES, _add_places, most_nodes), _PLACES)
+    places = cut(places.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("places").alias("places")))
+    all_pages = places.where("path = 0").select("host", F.col("pages").alias("all"))
+    usual = places.join(all_pages, "host").where(F.col("pages") >= F.greatest(F.lit(least), F.ceil(support * F.col("all"))))
+    orders = usual.groupBy(F.col("host").alias("_h")).agg(F.sort_array(F.collect_list(F.struct((F.col("places") / F.col("pages")).alias("place"), "path"))).alias("l"))
+    orders = cut(orders.select("_h", F.col("l.path").alias("_order")))
+    aligned = _with_host_rows(_hosted(pages), orders, F.length("_h") + 8 * F.size("_order")).select("url", "html", "_order")
+    rows = aligned.mapInArrow(_sums(_TEMPLATE, _add_texts, most_nodes), _TEMPLATE)
     sums = [F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("mass").alias("mass"), F.sum("heads").alias("heads"), F.max("depth").alias("depth"), F.max("holds").alias("holds")]
     nodes = cut(rows.groupBy("host", "path").agg(*sums))
     whole = nodes.groupBy("host").agg(F.max(F.when(F.col("path") == 0, F.struct("pages", "mass", "heads"))).alias("all"), F.max((F.col("low") < F.col("high")).cast("int")).alias("varies"))
@@ -308,10 +346,6 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-#: Wrappers of up to so many bytes are broadcast; beyond that Spark joins pages and wrappers by host.
-BROADCAST_BYTES = 16 << 20
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (main text, '' if none), n_chars of every page; whole pages.
 
@@ -323,11 +357,8 @@ def extract(pages: DataFrame) -> DataFrame:
     rows and null ids keep rows of their own; elements may be nested to any depth; other columns are ignored; an empty table gives no rows.
     """
     wrappers = cut(induce(pages))
-    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + 8 * (F.size("inside") + F.size("elsewhere") + 1)), F.lit(0))).first()[0]
-    name = F.regexp_extract(F.regexp_replace(F.lower(F.trim("url")), "^[a-z][a-z0-9+.-]*://", ""), "^[^/?#]*", 0)
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(name, F.lit("")).alias("_host"))
     side = wrappers.select(F.col("host").alias("_h"), F.col("slot").alias("_slot"), F.col("inside").alias("_inside"), F.col("elsewhere").alias("_elsewhere"))
-    joined = own.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("_host") == F.col("_h"), "left")
+    joined = _with_host_rows(_hosted(pages, "page_id"), side, F.length("_h") + 8 * (F.size("_inside") + F.size("_elsewhere") + 1))
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.select("page_id", "url", "html", "_slot", "_inside", "_elsewhere").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
 

@@ -195,13 +195,12 @@ def test_deep_pages(spark):
 
 def test_matching_keeps_the_order_of_siblings():
     tree = lambda page: html_extract.walk(page, tree=True)[1]
-    template = {}
-    html_extract.align(template, tree("<div class=a>1<b>x</b></div><div class=b>2</div><div class=c>3</div>"))
+    order = {n.path: i for i, n in enumerate(tree("<div class=a>1<b>x</b></div><div class=b>2</div><div class=c>3</div>"))}
     other = tree("<div class=c>3</div><div class=a>1<b>x</b></div><div class=b>2</div>")
-    same = html_extract.paired(template, other)
+    same = html_extract.paired(order, other)
     names = {html_extract.below(0, f"div.{c}"): c for c in "abc"}
     assert {names[p] for p in same if p in names} == {"a", "b"} and len(same) == 4
-    assert html_extract.paired(template, tree("<p>none of these")) == {0}
+    assert html_extract.paired(order, tree("<p>none of these")) == {0}
 
 
 def shingle_set(text, k):
@@ -315,3 +314,23 @@ def test_pipeline_by_stages(spark, sf_dir, docs, labels, duck):
     for r in rows:
         enc = theirs.encode(text[r.doc_id], add_special_tokens=False).ids
         assert list(r.ids) == enc and r.n_tokens == len(enc) and r.decoded == theirs.decode(enc, skip_special_tokens=False)
+
+
+def test_text_is_the_same_for_any_split(spark):
+    """Siblings in several orders, hosts of different sizes, null urls: however pages fall into tasks and sums are handed on."""
+    words = [f"w{i}" for i in range(90)]
+    notice, body = "<div class=x><p>same words here</p></div>", "<div class=y><h2>{0}</h2><p>{1}</p></div>"
+    rows = []
+    for i in range(36):
+        parts = [notice, body.format(f"{words[i]} head", " ".join(words[i : i + 40])), f"<div class=z>{words[i % 2]}</div>", "<div class=w>foot</div>"]
+        order = [(0, 1, 2, 3), (1, 0, 3, 2), (3, 2, 1, 0)][i % 3]
+        rows.append((i, f"http://many.example/{i}" if i % 4 else None, "<body>" + "".join(parts[k] for k in order) + "</body>"))
+    own = [f"<p>{' '.join(words[k : k + 30])}</p>" for k in (0, 20, 40)]
+    rows += [(100, "http://x.example/1", notice + own[0]), (101, "http://x.example/2", own[1] + notice), (102, "http://x.example/3", own[2] + notice)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda df: {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    one = texts(frame.coalesce(1))
+    assert len(one) == len(rows) and texts(frame.repartition(3)) == one and texts(frame.orderBy(F.desc("page_id")).repartition(len(rows), "page_id")) == one
+    plain = lambda df: sorted((r.host, r.slot, sorted(r.inside), sorted(r.elsewhere)) for r in df.collect())
+    assert plain(html_extract.induce(frame.repartition(5), most_nodes=3)) == plain(html_extract.induce(frame.coalesce(1)))
+    assert all("same words here" not in one[i] for i in (100, 101, 102))
