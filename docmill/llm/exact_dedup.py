@@ -23,8 +23,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (null ids are the smallest; of rows that repeat an id and a text, exactly one is kept, also where all ids are null). Digests
     that hold at least ``heavy_share`` of the rows are found by Misra-Gries and counted exactly; these at most
     1/``heavy_share`` winners are broadcast, so that the rows of large groups are decided where they are read.
-    All other digests meet by an ordinary shuffle of (digest, id): grouped with partial counts before it, and joined, so that
-    no group is gathered in one task. Extra columns are ignored; empty table: no rows.
+    All other digests meet by an ordinary shuffle of (digest, id): grouped with partial counts, cut, and joined as two exchanges, which
+    adaptive execution splits where a digest is frequent, so that no group is gathered in one task. Extra columns are ignored; empty table: no rows.
     """
     own = docs.select(F.col(id_col).alias(id_col), F.sha2(ascii_lower(text_or_empty(text_col)), 256).alias("text_sha256"))
     own = cut(own.withColumn("_row", F.monotonically_increasing_id()))
@@ -36,7 +36,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = [F.col(id_col), F.col("_last.id").alias("keep_id"), F.col("group_size"), (F.col("_last.row") == F.col("_row")).alias("kept"), F.col("text_sha256")]
     decided = own.join(F.broadcast(heavy), "text_sha256").select(*out)
     rest = own.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-    rest = rest.join(rest.groupBy("text_sha256").agg(*winners), "text_sha256").select(*out)
+    rest = rest.join(cut(rest.groupBy("text_sha256").agg(*winners)), "text_sha256").select(*out)
     return decided.unionByName(rest)
 
 

@@ -143,3 +143,22 @@ def test_fingerprints(spark, sf_dir, odd):
     links = {(r.a, r.b) for r in fingerprints.near_documents(docs).collect()}
     own = {r.doc_id: sets(r.text, 5) for r in rows}
     assert all(100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]) for a, b in links)
+
+
+def test_exact_groups_split_a_hot_digest(spark):
+    """A digest of two thirds of the rows that the heavy path does not take: both sides of the join stand on exchanges, so Spark splits it."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.range(0, 60_000, 1, 8).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN string(id) ELSE 'hot' END AS text")
+        got = exact_dedup.exact_groups(docs, heavy_share=1.0)
+        rows = got.where("kept").agg({"doc_id": "count", "group_size": "max"})
+        rows.collect()
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+        assert rows.first()[:] in ((20_001, 40_000), (40_000, 20_001))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
