@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.sources.stored import shipped
+
+shipped(__name__)
+
 
 def matches(rows: DataFrame, key: str, patterns, text: str = "text") -> DataFrame:
     """key, matched, kind, confidence, p (the pattern's number), i (the match's number): every match of every pattern.

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from docmill.functions.patterns import INDEX_STOPWORDS
 from docmill.functions.text import terms
 from docmill.operators.dedup import top_k
+from docmill.sources.stored import shipped
+
+shipped(__name__)
 
 K1, B = 1.2, 0.75
 
