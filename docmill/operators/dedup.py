@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.sources.stored import stored
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in ``order``; rows with a null key pass through."""
@@ -28,8 +30,9 @@ def dedup_chunks(chunks: DataFrame, cleaned: Column) -> DataFrame:
 def mark_duplicate_files(registry: DataFrame) -> DataFrame:
     """Files of equal checksum: the first by path is the master, the others are duplicates of it.
 
-    A grouped minimum and an equi join (which Spark may split where a checksum is frequent), not a window."""
-    first = registry.groupBy("checksum_sha256").agg(F.min(F.struct("relative_path", "document_id")).alias("_first"))
+    A grouped minimum, stored, and an equi join of two exchanges, which Spark splits where a checksum is frequent (blank files have one);
+    not a window."""
+    first = stored(registry.groupBy("checksum_sha256").agg(F.min(F.struct("relative_path", "document_id")).alias("_first")))
     j = registry.join(first, "checksum_sha256")
     other = F.col("_first.document_id") != F.col("document_id")
     return j.select(*[c for c in registry.columns if c != "status"], F.when(other, "duplicate").otherwise(F.col("status")).alias("status"), F.when(other, F.col("_first.document_id")).alias("is_duplicate_of"))
@@ -38,9 +41,9 @@ def mark_duplicate_files(registry: DataFrame) -> DataFrame:
 def repeated(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """Add ``_repeated``: whether an earlier row (by ``order``, unique) has the same key; false where the key is null or blank.
 
-    A grouped minimum, combined before it moves, and an equi join that Spark may split: no key is gathered in one task."""
+    A grouped minimum, combined before it moves and stored, and an equi join of two exchanges that Spark splits: no key is gathered in one task."""
     keyed = rows.withColumn("_key", F.when(F.trim(key) != "", key))
-    first = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min(order).alias("_first"))
+    first = stored(keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min(order).alias("_first")))
     return keyed.join(first, "_key", "left").withColumn("_repeated", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.sources.stored import shipped
@@ -10,17 +13,86 @@ from docmill.sources.stored import shipped
 shipped(__name__)
 
 
+_TOKEN = re.compile(r"\\[bBdDwWsSAzZ]|\\.|\[(?:\\.|[^\]\\])*\]|\(\?[:i]?|.", re.S)
+
+
+def required(pattern: str) -> tuple[str, ...]:
+    """Strings in lower case of which every match of a pattern holds one (none: no such strings are known): the longest run of literal
+    letters outside of optional parts (with and without an optional letter), or the runs of each alternative of a group. Of the syntax it knows groups, classes, ``|``, ``?*+{}`` and escapes."""
+    tokens = _TOKEN.findall(pattern.removeprefix("(?i)"))
+    at = 0
+
+    def alternatives(inside: bool) -> list[tuple[str, ...]]:
+        """For each alternative up to the closing bracket: its best literals."""
+        nonlocal at
+        out, best, run = [], (), {""}
+
+        def better(new) -> None:
+            nonlocal best
+            new = tuple(sorted(x for x in new if not any(y != x and y in x for y in new)))
+            if new and min(map(len, new)) > min(map(len, best), default=0):
+                best = new
+
+        while at < len(tokens):
+            t = tokens[at]
+            at += 1
+            if t == ")" and inside:
+                break
+            if t == "|":
+                better(run)
+                out.append(best)
+                best, run = (), {""}
+                continue
+            group = None
+            if t.startswith("("):
+                found = alternatives(True)
+                group = tuple(x for a in found for x in a) if all(found) else ()
+            times = tokens[at] if at < len(tokens) and tokens[at] in ("?", "*", "+", "{") else ""
+            if times == "{":
+                end = tokens.index("}", at)
+                times = "*" if tokens[at + 1] == "0" else "+"
+                at = end + 1
+            elif times:
+                at += 1
+            if times and at < len(tokens) and tokens[at] == "?":
+                at += 1
+            letter = t if group is None and len(t) == 1 and t not in ".^$" else t[1] if t[0] == "\\" and not t[1].isalnum() else ""
+            if letter and times in ("", "?") and len(run) <= 8:
+                run = {x + letter.lower() for x in run} | (run if times else set())
+                continue
+            if letter and times == "+":
+                run = {x + letter.lower() for x in run}
+            if t not in ("\\b", "\\B"):
+                better(run)
+                run = {""}
+            if group and times in ("", "+"):
+                better(group)
+        better(run)
+        out.append(best)
+        return out
+
+    found = alternatives(False)
+    return tuple(dict.fromkeys(x for a in found for x in a)) if all(found) else ()
+
+
 def matches(rows: DataFrame, key: str, patterns, text: str = "text") -> DataFrame:
     """key, matched, kind, confidence, p (the pattern's number), i (the match's number): every match of every pattern.
 
-    One narrow pass: the patterns are literals, so a row is read once and no join is needed."""
+    One narrow pass: the patterns are literals, so a row is read once and no join is needed. A pattern runs only where one of the strings that
+    it needs (:func:`required`) stands in the text's lower case, which is a search for a few letters instead of a match from every place."""
+    none = F.array().cast("array<string>")
 
     def of(n: int, pattern: str, kind: str, confidence: float):
         one = lambda m, i: F.struct(F.trim(m).alias("matched"), F.lit(kind).alias("kind"), F.lit(float(confidence)).alias("confidence"), F.lit(n).alias("p"), i.alias("i"))
-        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), 0), one)
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
+        needed = [F.col("_low").contains(s) for s in required(pattern)]
+        if needed:
+            found = F.when(reduce(Column.__or__, needed), found).otherwise(none)
+        return F.transform(found, one)
 
     found = [of(n, *p) for n, p in enumerate(patterns)]
-    return rows.select(key, F.explode(F.flatten(F.array(*found))).alias("m")).select(key, "m.*")
+    own = rows.select(key, text, F.lower(text).alias("_low"))
+    return own.select(key, F.explode(F.flatten(F.array(*found))).alias("m")).select(key, "m.*")
 
 
 def distinct_matches(found: DataFrame, key: str, by_kind: bool = True) -> DataFrame:

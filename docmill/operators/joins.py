@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.sources.stored import shipped, stored
+
+shipped(__name__)
+
 
 def map_sources(golden: DataFrame, registry: DataFrame) -> DataFrame:
     """Distinct source names of valid rows with their registry entry by folded name (the first one), and is_indexed."""
@@ -21,16 +25,53 @@ def propagate_to_duplicates(questions: DataFrame, registry: DataFrame) -> DataFr
     return questions.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)))
 
 
+#: Lengths of the grams that strings meet by: a string's are the longest that it has.
+GRAMS = (8, 4, 2, 1)
+
+
+def _grams(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, q, gram: the distinct strings of each length in ``q`` (an array) of a text; in one pass over its letters, a bounded number of rows at a time."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, t, lengths in zip(*[batch.column(c).to_pylist() for c in ("key", "text", "q")], strict=True):
+                for q in lengths:
+                    found = list({t[i : i + q] for i in range(len(t) - q + 1)})
+                    for at in range(0, len(found), 10_000):
+                        part = found[at : at + 10_000]
+                        yield pa.RecordBatch.from_pydict({key: [k] * len(part), "q": pa.array([q] * len(part), pa.int32()), "gram": part})
+
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text"), "q").mapInArrow(run, f"{key} {kind}, q int, gram string")
+
+
 def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """Pairs (needle, hay) of the distinct strings of two one-column tables where the hay contains the needle.
 
-    An equi join: each hay gives its substrings of the lengths that needles have, so only true pairs meet."""
+    Each needle is keyed by the rarest of its grams: strings of 8 letters (4, 2 or 1 for short needles). Hays give only grams that some needle has; these
+    are counted, meet the needles that are keyed by them in an equi join, and the pair is verified. So a hay is held as often as it has letters, one length of
+    gram at a time, and frequent grams are no keys unless a needle has nothing else. Empty needles are in every hay, which is a join with one row."""
     needles = needles.toDF("needle").where("needle IS NOT NULL").distinct()
-    hays = hays.toDF("hay").where("hay IS NOT NULL").distinct()
-    lengths = needles.agg(F.collect_set(F.length("needle")).alias("_lengths"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("hay"), F.lit(1)))
-    parts = F.array_distinct(F.flatten(F.transform(starts, lambda p: F.transform("_lengths", lambda n: F.col("hay").substr(p, n)))))
-    return hays.crossJoin(F.broadcast(lengths)).select("hay", F.explode(parts).alias("needle")).join(needles, "needle").select("needle", "hay")
+    hays = hays.toDF("hay").where("hay IS NOT NULL").distinct().withColumn("_h", F.xxhash64("hay"))
+    n, size = F.length("needle"), F.lit(None).cast("int")
+    for q in reversed(GRAMS):
+        size = F.when(n >= q, q).otherwise(size)
+    own = stored(needles.select("needle", size.alias("q")))
+    grams = stored(_grams(own.where("q IS NOT NULL").select("needle", F.array("q").alias("q")), "needle", "needle"))
+    lengths = [r.q for r in grams.select("q").distinct().collect()]  # four at most
+    wanted = stored(grams.select("q", "gram").distinct())
+    pairs = hays.crossJoin(F.broadcast(own.where("q IS NULL").select("needle"))).select("needle", "hay")
+    if not lengths:
+        return pairs
+    given = _grams(hays.withColumn("q", F.array(*[F.lit(q) for q in lengths])), "_h", "hay")
+    given = stored(given.join(wanted, ["q", "gram"], "left_semi"))
+    counts = stored(given.groupBy("q", "gram").agg(F.count("*").alias("n")))
+    held = grams.join(counts, ["q", "gram"], "left")  # a gram that no hay has: nor does any have the needle
+    keys = held.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "q", "gram")).alias("k")).where("k.n > 0").select("needle", "k.q", "k.gram")
+    met = given.join(stored(keys), ["q", "gram"]).select("needle", "_h").join(hays, "_h")
+    return met.where(F.col("hay").contains(F.col("needle"))).select("needle", "hay").unionByName(pairs)
 
 
 def _first_two(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -107,17 +148,23 @@ def mentioned_documents(answers: DataFrame, documents: DataFrame, key: list[str]
 def passages_in(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """pid, tid, at (1 for the first character): the texts (tid, text) that hold a passage (pid, text), and where first.
 
-    What stands between white space inside a passage stands so in a text that holds it: its longest inner word is the key of
-    an equi join with the texts' words; then the whole passage is looked for. Passages without an inner word meet texts by
-    their substrings (:func:`contained`). Null and empty passages are in none."""
+    What stands between white space inside a passage stands so in a text that holds it. Texts give the words that are such inner words of some
+    passage; these are counted, and the rarest inner word is the passage's key in an equi join; then the whole passage is looked for. Passages without
+    an inner word meet texts by their rarest gram (:func:`contained`). Null and empty passages are in none."""
     split = lambda c: F.split(c, r"\s+")
     own = passages.where("text <> ''").select("pid", F.col("text").alias("passage"))
-    inner = F.slice(split("passage"), 2, F.greatest(F.size(split("passage")) - 2, F.lit(0)))
-    keyed = own.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    inner = own.select("pid", F.explode(F.array_distinct(F.slice(split("passage"), 2, F.greatest(F.size(split("passage")) - 2, F.lit(0))))).alias("word")).where("word <> ''")
+    inner = stored(inner)
     words = texts.select("tid", F.explode(F.array_distinct(split("text"))).alias("word"))
-    found = words.join(keyed.where("word IS NOT NULL"), "word").select("tid", "pid", "passage").join(texts, "tid")
+    given = stored(words.join(stored(inner.select("word").distinct()), "word", "left_semi"))
+    counts = stored(given.groupBy("word").agg(F.count("*").alias("n")))
+    keys = inner.join(counts, "word", "left").groupBy("pid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("k")).select("pid", "k.n", "k.word")
+    keys = stored(keys)
+    found = given.join(keys.where("n > 0"), "word").select("tid", "pid").join(own, "pid").join(texts, "tid")
     hits = found.withColumn("at", F.instr(F.col("text"), F.col("passage"))).where("at > 0").select("pid", "tid", "at")
-    short = keyed.where("word IS NULL")
+    short = own.join(keys, "pid", "left_anti")
+    if short.isEmpty():
+        return hits
     whole = contained(short.select("passage"), texts.select("text"))
     rest = short.join(whole, F.col("passage") == F.col("needle")).join(texts, F.col("text") == F.col("hay"))
     return hits.unionByName(rest.select("pid", "tid", F.instr(F.col("text"), F.col("passage")).alias("at")))

@@ -13,6 +13,7 @@ from docmill.operators import stored_index as si
 from docmill.operators.joins import passages_in
 from docmill.plans.indexes import chunk_index
 from docmill.plans.views import PAGE, file_name, table
+from docmill.sources.stored import stored
 from docmill.queries.search import _STOP, INDEX_SQL, POSTINGS_SQL, SCORE_SQL, keyed_chunks, questions
 
 RAW_SQL = """raw AS (SELECT (event_id + 2)::INT AS row_number, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE event_type || (user_id % 40) || '?' END AS query, CASE WHEN event_id % 7 = 0 OR event_id % 77 = 0 THEN NULL ELSE 'answer ' || event_id END AS expected_answer, CASE WHEN event_id % 77 = 0 THEN '' ELSE 'f' || user_id || '.pdf' END AS source_document, CASE WHEN event_id % 77 = 0 THEN NULL ELSE (event_id % 5)::VARCHAR || '.0' END AS page_number, CASE WHEN event_id % 77 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'Other' ELSE 'Tax' END AS category FROM events)"""
@@ -83,11 +84,11 @@ def truth(spark, sf):
 
 
 def golden_questions(spark, sf):
-    """Every passage as a question; expected is the first document that holds it, and the page where it starts ('none.pdf' if none)."""
+    """Stored, as metrics read it more than once: every passage as a question; expected is the first document that holds it, and the page where it starts ('none.pdf' if none)."""
     first = truth(spark, sf).groupBy("qid").agg(F.min(F.struct("document_id", "at")).alias("f"))
     j = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text").join(first, "qid", "left")
     page = F.coalesce((F.floor((F.col("f.at") - 1) / PAGE) + 1).cast("int"), F.lit(1))
-    return j.select("qid", F.coalesce(file_name(F.col("f.document_id")), F.lit("none.pdf")).alias("expected_document"), page.alias("expected_page"), "text")
+    return stored(j.select("qid", F.coalesce(file_name(F.col("f.document_id")), F.lit("none.pdf")).alias("expected_document"), page.alias("expected_page"), "text"))
 
 
 def golden_hits(spark, sf):
@@ -108,21 +109,21 @@ def _(spark, sf):
 CITED_SQL = "cited AS (SELECT qid, expected_document AS document, expected_page + qid % 4 AS page FROM g WHERE qid % 3 <> 0 UNION ALL SELECT qid, replace(expected_document, 'vol', 'vol9'), expected_page FROM g)"
 
 
-def cited(spark, sf):
-    g = golden_questions(spark, sf)
+def cited(g):
     first = g.where("qid % 3 <> 0").select("qid", F.col("expected_document").alias("document"), (F.col("expected_page") + F.col("qid") % 4).cast("int").alias("page"))
     return first.unionByName(g.select("qid", F.replace("expected_document", F.lit("vol"), F.lit("vol9")).alias("document"), F.col("expected_page").alias("page")))
 
 
 @query("e5_citation_accuracy", f"WITH {EVAL_SQL}, {CITED_SQL} SELECT g.qid, max(CASE WHEN lower(document) = lower(expected_document) THEN CASE page - expected_page WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.0 END) AS citation_accuracy, 1.0::DOUBLE AS citation_score FROM g JOIN cited USING (qid) GROUP BY g.qid")
 def _(spark, sf):
-    return ev.citation_scores(golden_questions(spark, sf), cited(spark, sf))
+    g = golden_questions(spark, sf)
+    return ev.citation_scores(g, cited(g))
 
 
 def evaluated(spark, sf):
     g = golden_questions(spark, sf)
     told = g.select("qid", F.when(F.col("qid") % 4 == 0, "Information not found in the provided legal documents.").otherwise(F.col("text")).alias("answer"), F.length("text").alias("latency_ms"))
-    return ev.evaluate(g, golden_hits(spark, sf), cited(spark, sf), told)
+    return ev.evaluate(g, golden_hits(spark, sf), cited(g), told)
 
 
 @query("e6_e7_e8_evaluate_golden_set", f"WITH {EVAL_SQL} SELECT qid, retrieval_accuracy, CASE WHEN qid % 4 = 0 THEN 0.15::DOUBLE WHEN recall_at_5 > 0 THEN 0.94::DOUBLE ELSE 0.40::DOUBLE END AS answer_relevancy, CASE WHEN retrieval_accuracy > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS faithfulness, CASE WHEN retrieval_accuracy >= 0.9 THEN 'Pass' WHEN retrieval_accuracy > 0 THEN 'Partial' ELSE 'Failed' END AS status FROM ev")
@@ -138,7 +139,7 @@ def _(spark, sf):
 @query("a16_answer_confidence", f"WITH {EVAL_SQL}, {CITED_SQL}, s AS (SELECT qid, avg(score / 100.0::DOUBLE) AS mean, list(DISTINCT lower(document_name)) AS got FROM h GROUP BY qid), c AS (SELECT qid, list(DISTINCT lower(document)) AS cd, count(*) AS n FROM cited GROUP BY qid) SELECT qid, round(least(greatest(0.5::DOUBLE * mean + 0.3::DOUBLE * len(list_intersect(got, cd)) / len(got) + 0.2::DOUBLE * least(n / 3.0::DOUBLE, 1.0), 0.0), 1.0), 2) AS confidence FROM s JOIN c USING (qid)")
 def _(spark, sf):
     hits = golden_hits(spark, sf).withColumn("score", F.col("score") / 100)
-    return ag.answer_confidence(hits, cited(spark, sf).withColumnRenamed("document", "document_name"))
+    return ag.answer_confidence(hits, cited(golden_questions(spark, sf)).withColumnRenamed("document", "document_name"))
 
 
 @query("f16_build_context", f"WITH {EVAL_SQL} SELECT qid, 'Q: ' || qtext || chr(10) || string_agg('[' || rank || '] ' || h.document_name || ' (page ' || h.page_number || ')' || chr(10) || r.text, chr(10) || chr(10) ORDER BY rank) AS prompt FROM h JOIN rows_ r USING (ck) JOIN g USING (qid) WHERE rank <= 3 GROUP BY qid, qtext")
