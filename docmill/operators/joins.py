@@ -36,13 +36,25 @@ def _grams(rows: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        held: tuple[list, list, list] = ([], [], [])
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, (None, pa.int32(), pa.string()), strict=True)], [key, "q", "gram"])
+            for c in held:
+                c.clear()
+            return made
+
         for batch in batches:
             for k, t, lengths in zip(*[batch.column(c).to_pylist() for c in ("key", "text", "q")], strict=True):
                 for q in lengths:
-                    found = list({t[i : i + q] for i in range(len(t) - q + 1)})
-                    for at in range(0, len(found), 10_000):
-                        part = found[at : at + 10_000]
-                        yield pa.RecordBatch.from_pydict({key: [k] * len(part), "q": pa.array([q] * len(part), pa.int32()), "gram": part})
+                    for gram in {t[i : i + q] for i in range(len(t) - q + 1)}:
+                        held[0].append(k)
+                        held[1].append(q)
+                        held[2].append(gram)
+                        if len(held[0]) >= 20_000:
+                            yield out()
+        if held[0]:
+            yield out()
 
     return rows.select(F.col(key).alias("key"), F.col(text).alias("text"), "q").mapInArrow(run, f"{key} {kind}, q int, gram string")
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.operators import dedup, extract, joins, search
+from docmill.operators.stored_index import keyed, keyword_search, phrase_scores, scores, write_index
 from docmill.plans.hybrid import retrieve
 
 
@@ -46,16 +47,18 @@ def test_stemmer(spark, word, want):
     assert spark.range(1).select(search.s_stem(F.lit(word))).first()[0] == want
 
 
-def test_field_scores(spark):
+def test_field_scores(spark, tmp_path):
     rows = spark.createDataFrame([("a", "the tax code of the land", "Doc_1.pdf"), ("b", "code of tax the the", "Doc_2.pdf"), ("c", "nothing here", "tax_3.pdf")], "ck string, text string, document_name string")
     asked = spark.createDataFrame([(1, "The tax code"), (2, "no such words"), (3, "tx cde")], "qid int, text string")
-    phrases = {(r.qid, r.ck) for r in search.phrase_score(asked, rows, "ck").collect()}
+    index = write_index(rows, "ck", str(tmp_path / "index"), buckets=2)
+    hits = lambda found: {(r.qid, r.ck) for r in keyed(index, found).collect()}
+    phrases = hits(phrase_scores(index, search.analyze(asked, ["qid"], stopwords=())))
     assert phrases == {(1, "a")}
-    names = {(r.qid, r.ck) for r in search.name_score(asked, rows, "ck").collect()}
+    names = hits(scores(index, "name", search.analyze(asked, ["qid"]), 0.5))
     assert names == {(1, "c")}
-    top = {(r.qid, r.ck): r["rank"] for r in search.keyword_search(asked, rows, "ck").collect()}
+    top = {(r.qid, r.ck): r["rank"] for r in keyword_search(index, asked).collect()}
     assert top[1, "a"] == 1 and set(top) == {(1, "a"), (1, "b"), (1, "c")}
-    fuzzy = {(r.qid, r.ck) for r in search.keyword_search(asked, rows, "ck", fuzzy=True).collect()}
+    fuzzy = {(r.qid, r.ck) for r in keyword_search(index, asked, fuzzy=True).collect()}
     assert {(3, "a"), (3, "b")} <= fuzzy and (3, "c") not in fuzzy  # no edits in words of two letters
 
 
@@ -119,18 +122,19 @@ def test_repeated_and_split(spark):
     assert {r.id: r.split for r in split.collect()} == want
 
 
-def test_question_path(spark):
+def test_question_path(spark, tmp_path):
     rows = spark.createDataFrame([(f"k{i}", f"text number {i} about tax", f"D{i}.pdf", "en" if i % 2 else "de", 1) for i in range(8)], "ck string, text string, document_name string, category string, page_number int")
     corpus = rows.select(F.monotonically_increasing_id().alias("vec_id"), F.array(F.lit(1.0), F.substring("ck", 2, 1).cast("double")).cast("array<float>").alias("embedding"), "ck", "category")
     asked = spark.createDataFrame([(1, "  number   3 \x00"), (2, "x"), (3, None), (4, "unknownword")], "qid long, text string")
     vectors = spark.createDataFrame([(1, [1.0, 3.0]), (4, [1.0, 0.0])], "qid long, embedding array<float>")
-    got = retrieve(asked, vectors, rows, corpus, "ck", k=4, final=3, category="en").collect()
+    index = write_index(rows, "ck", str(tmp_path / "index"), buckets=2)
+    got = retrieve(asked, vectors, index, corpus, k=4, final=3, category="en").collect()
     by = collections.defaultdict(list)
     for r in got:
         by[r.qid].append(r)
     assert set(by) == {1, 4} and len(by[1]) == 3 and {r.keyword_count for r in by[4]} == {0}
     assert next(r for r in by[1] if r["rank"] == 1).ck == "k3" and all(int(r.ck[1]) % 2 for r in got)
-    again = retrieve(asked, vectors, rows, corpus, "ck", k=4, final=3, category="en", pair_score=F.when(F.col("text").contains("5"), 2.0).otherwise(0.5)).collect()
+    again = retrieve(asked, vectors, index, corpus, k=4, final=3, category="en", pair_score=F.when(F.col("text").contains("5"), 2.0).otherwise(0.5)).collect()
     assert next(r for r in again if r.qid == 1 and r["rank"] == 1).ck == "k5"
 
 
