@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -130,40 +129,6 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, floor: flo
     return top_k(pairs.mapInArrow(_best_of_packs(k, floor), "qid long, vec_id long, score double"), k, tie="vec_id")
 
 
-def vector_search_approx(queries: DataFrame, corpus: DataFrame, k: int = 10, floor: float = 0.3, tables: int = 16, bits: int = 10, flips: int = 2, seed: int = 3) -> DataFrame:
-    """As :func:`vector_search`, with candidates by random hyperplanes: rows that share a query's ``bits`` signs in one
-    of ``tables`` tables, or differ in at most ``flips``. A row at the floor of 0.3 is a candidate with probability
-    0.94 (closer ones more); tests ask a recall of 0.9 of the whole exact top lists. Candidates meet as ids; vectors follow only for these.
-    Null vectors have no hits."""
-    first = corpus.where("embedding IS NOT NULL").select(F.size("embedding").alias("n")).first()
-    if first is None:
-        return vector_search(queries, corpus, k, floor)
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, first.n))
-
-    def coded(rows: DataFrame, key: str) -> DataFrame:
-        """key, t, code: the signs of a vector by the planes of each table; a matrix product a batch."""
-
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                signs = np.einsum("tbw,nw->ntb", planes, x, optimize=True) > 0
-                codes = (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(codes), pa.list_(pa.int32()))], [key, "codes"])
-
-        made = rows.select(key, "embedding").where("embedding IS NOT NULL").mapInArrow(run, f"{key} long, codes array<int>")
-        return made.select(key, F.posexplode("codes").alias("t", "code"))
-
-    masks = [sum(1 << b for b in own) for n in range(flips + 1) for own in combinations(range(bits), n)]
-    asked = coded(queries, "qid").withColumn("code", F.explode(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.col("code").bitwiseXOR(m))))
-    pairs = asked.join(coded(corpus, "vec_id"), ["t", "code"]).select("qid", "vec_id").distinct()
-    pairs = pairs.join(corpus.select("vec_id", "embedding"), "vec_id").join(queries.select("qid", F.col("embedding").alias("q")), "qid")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.round(dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q"))), 6)
-    return top_k(pairs.withColumn("score", cosine).where(F.col("score") >= floor).select("qid", "vec_id", "score"), k, tie="vec_id")
-
-
 def hashed_counts(texts: list[str], width: int = 64) -> np.ndarray:
     """Counts of words (lower case, between spaces) by the first byte of their MD5: a stand-in for a model."""
     out = np.zeros((len(texts), width))

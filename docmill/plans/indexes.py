@@ -1,4 +1,4 @@
-"""The index of the test tables' chunks: written once a session, read by all searches."""
+"""The indexes of the test tables' chunks and vectors: written once a session, read by all searches."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators.stored_index import FIELDS, Index, add_field, write_index
+from docmill.operators.vector_index import VectorIndex, write_vector_index
 from docmill.plans.views import chunks, table
 from docmill.sources.stored import exists, temporary_folder
 
 _WRITTEN: dict[tuple, Index] = {}
+_VECTORS: dict[tuple, VectorIndex | None] = {}
 
 
 def keyed_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,3 +28,12 @@ def chunk_index(spark: SparkSession, sf: str, *fields: str) -> Index:
         if not exists(spark, f"{index.path}/{name}"):
             add_field(index, name)
     return index
+
+
+def vector_index(spark: SparkSession, sf: str) -> VectorIndex | None:
+    """The vectors by cell. Other files of ``embeddings`` are another index."""
+    rows = table(spark, sf, "embeddings")
+    known = (spark.sparkContext.applicationId, *sorted(rows.inputFiles()))
+    if known not in _VECTORS:
+        _VECTORS[known] = write_vector_index(rows, temporary_folder(spark), kept=("label",))
+    return _VECTORS[known]

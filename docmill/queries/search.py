@@ -9,7 +9,8 @@ from docmill.functions import patterns as pt
 from docmill.operators import dedup, fusion
 from docmill.operators import search as se
 from docmill.operators import stored_index as si
-from docmill.plans.indexes import chunk_index, keyed_chunks
+from docmill.operators.vector_index import vector_search_approx
+from docmill.plans.indexes import chunk_index, keyed_chunks, vector_index
 from docmill.plans.views import CHUNKS_SQL, chunks, table
 
 _STOP = ", ".join(f"'{w}'" for w in pt.INDEX_STOPWORDS)
@@ -170,7 +171,13 @@ def _(spark, sf):
 
 @query("r8_vector_search_approx")
 def _(spark, sf):
-    return se.vector_search_approx(*vectors(spark, sf))
+    return vector_search_approx(vectors(spark, sf)[0], vector_index(spark, sf))
+
+
+@query("r8_vector_search_category")
+def _(spark, sf):
+    """Rows of a category, from the same index."""
+    return vector_search_approx(vectors(spark, sf)[0], vector_index(spark, sf), where=F.col("label") == 1)
 
 
 _LISTS = "v AS (SELECT user_id AS qid, event_id AS chunk_id, value AS score, (row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id))::INT AS rank FROM events WHERE event_id % 3 <> 0), b AS (SELECT user_id AS qid, event_id AS chunk_id, event_id % 17 AS score, (row_number() OVER (PARTITION BY user_id ORDER BY event_id % 17 DESC, event_id))::INT AS rank FROM events WHERE event_id % 2 = 0), p AS (SELECT qid, chunk_id, v.score AS vs, v.rank AS vr, b.score AS bs, b.rank AS br FROM v FULL JOIN b USING (qid, chunk_id))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import patterns as pt
 from docmill.functions import text as fx
-from docmill.operators import aggregate, checks, evaluate, extract, fusion, golden, graph, search
+from docmill.operators import aggregate, checks, evaluate, extract, fusion, golden, graph
 
 
 def one(spark, column, **values):
@@ -112,17 +112,6 @@ def test_split_keeps_all_words():
     assert all(c or not text[i].strip() for i, c in enumerate(covered))
 
 
-def test_approximate_search_recall(spark, sf_dir):
-    from docmill.queries.search import vectors
-
-    q, e = vectors(spark, sf_dir)
-    exact = {(r.qid, r.vec_id): r.score for r in search.vector_search(q, e).collect()}
-    near = {(r.qid, r.vec_id) for r in search.vector_search_approx(q, e).collect()}
-    assert near <= {(r.qid, r.vec_id) for r in search.vector_search(q, e, k=1000).collect()}
-    close = {k for k, s in exact.items() if s >= 0.5}
-    assert len(close & near) / len(close) >= 0.9 and len(near & set(exact)) / len(exact) >= 0.9
-
-
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", True), (2, "b", False)], "id int, text string, ok boolean")
     for kind in ("csv", "json", "jsonl", "parquet"):
