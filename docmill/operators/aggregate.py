@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +54,22 @@ def index_statistics(chunks: DataFrame, reason: Column, key: str = "chunk_id") -
     return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("attempted"), F.coalesce(F.sum("good"), F.lit(0)).alias("indexed")).withColumn("failed", F.col("attempted") - F.col("indexed"))
 
 
+def write_indexed(rows: DataFrame, reason: Column, path: str, key: str = "chunk_id", order: str = "page_number", vector: str | None = None) -> DataFrame:
+    """Write the first row of each key among those without a ``reason`` as a table, and give one row of statistics that the write measures
+    of itself (no second scan, first by ``order``): attempted, indexed, failed (a reason, a null key or a repeated one), seconds, ms_per_row, and the ``dimension`` of its vectors."""
+    seen, put = Observation(), Observation()
+    marked = rows.withColumn("_reason", reason).observe(seen, F.count(F.lit(1)).alias("attempted"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    first = F.min_by(whole, F.struct(order, F.xxhash64(F.to_json(whole))))
+    good = marked.where(F.col("_reason").isNull() & F.col(key).isNotNull()).groupBy(key).agg(first.alias("_row")).select("_row.*")
+    width = F.max(F.lit(None).cast("int") if vector is None else F.size(vector))
+    began = time.monotonic()
+    good.observe(put, F.count(F.lit(1)).alias("indexed"), width.alias("dimension")).write.parquet(path)
+    seconds, attempted, indexed = time.monotonic() - began, seen.get["attempted"], put.get["indexed"]
+    told = (attempted, indexed, attempted - indexed, seconds, 1000 * seconds / max(indexed, 1), put.get["dimension"])
+    return rows.sparkSession.createDataFrame([told], "attempted long, indexed long, failed long, seconds double, ms_per_row double, dimension int")
+
+
 def golden_statistics(golden: DataFrame) -> DataFrame:
     """Per category (rejected rows left out): totals by status, mean query and answer length of valid rows, sources."""
     valid = F.col("status") == "valid"

@@ -9,6 +9,8 @@ from docmill.functions import patterns as pt
 from docmill.functions import text as fx
 from docmill.operators import aggregate as ag
 from docmill.operators import checks, dedup
+from docmill.sources import bucketed
+from docmill.sources.stored import temporary_folder
 from docmill.plans.views import CHUNKS_SQL, PAGES_SQL, REGISTRY_SQL, chunks, pages, registry, table
 
 
@@ -164,6 +166,35 @@ def _(spark, sf):
     return delete_documents(chunks(spark, sf), gone).select("chunk_id", "document_id")
 
 
+@query("s13_stored_upsert", f"""WITH {CHUNKS_SQL} SELECT chunk_id, document_id, sha256(CASE WHEN document_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM chunks UNION ALL SELECT chunk_id || 'n', document_id, sha256('new') FROM chunks WHERE document_id % 10 = 0 AND page_number = 1""")
+def _(spark, sf):
+    """The same on a stored table in buckets of documents, with rows that come twice and rows that are new; the same write is done twice."""
+    path, c = temporary_folder(spark), chunks(spark, sf).select("chunk_id", "document_id", "page_number", "text")
+    bucketed.create(c, path, ["document_id", "chunk_id"], by=["document_id"], buckets=16)
+    changed = c.where("document_id % 5 = 0")
+    new = c.where("document_id % 10 = 0 AND page_number = 1").withColumn("chunk_id", F.concat("chunk_id", F.lit("n"))).withColumn("text", F.lit("new"))
+    for _ in range(2):
+        bucketed.upsert(path, changed.unionByName(changed.withColumn("text", F.concat("text", F.lit("!")))).unionByName(new), order=F.length("text"))
+    return bucketed.read(spark, path).select("chunk_id", "document_id", F.sha2("text", 256).alias("h"))
+
+
+@query("s14_stored_delete", f"WITH {CHUNKS_SQL} SELECT chunk_id, document_id FROM chunks WHERE document_id % 9 <> 4")
+def _(spark, sf):
+    path = temporary_folder(spark)
+    bucketed.create(chunks(spark, sf).select("chunk_id", "document_id"), path, ["document_id", "chunk_id"], by=["document_id"], buckets=16)
+    bucketed.delete(path, table(spark, sf, "documents").where("doc_id % 9 = 4").select(F.col("doc_id").alias("document_id")))
+    return bucketed.read(spark, path).select("chunk_id", "document_id")
+
+
+@query("a5_write_statistics", f"WITH {CHUNKS_SQL}, c AS (SELECT * FROM chunks UNION ALL SELECT * FROM chunks WHERE document_id % 10 = 0) SELECT count(*) AS attempted, count(DISTINCT chunk_id) FILTER (length(trim(text)) >= 10) AS indexed, count(*) - count(DISTINCT chunk_id) FILTER (length(trim(text)) >= 10) AS failed, true AS timed FROM c")
+def _(spark, sf):
+    """Statistics that a write of the chunks (some of them twice) measures of itself; the time is only asked to be there."""
+    c = chunks(spark, sf)
+    reason = checks.first_index_error(F.col("chunk_id"), F.col("document_id").cast("string"), F.col("text"), F.col("document_name"), F.col("category"))
+    told = ag.write_indexed(c.unionByName(c.where("document_id % 10 = 0")), reason, temporary_folder(spark))
+    return told.select("attempted", "indexed", "failed", (F.col("seconds") > 0).alias("timed"))
+
+
 @query("s15_incremental_skip", f"WITH {REGISTRY_SQL} SELECT document_id, file_name FROM registry WHERE document_id % 4 <> 1 AND status <> 'invalid' AND category = 'en' ORDER BY file_name LIMIT 50")
 def _(spark, sf):
     from docmill.sources.tables import not_done
