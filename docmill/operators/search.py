@@ -34,6 +34,35 @@ def analyze(rows: DataFrame, key: list[str], text: str = "text", stopwords: tupl
     return t if stem is None else t.withColumn("term", stem(F.col("term")))
 
 
+#: Signs that join parts of one word.
+JOINING = r"[-_.'’]"
+
+
+def word_graph(rows: DataFrame, key: list[str], text: str = "text", stopwords: tuple[str, ...] = INDEX_STOPWORDS, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key columns, pos, span, term: as :func:`analyze`, where words whose parts are joined by ``JOINING`` give all their readings.
+
+    Parts are numbered one after the other, as there, so phrases match them; a possessive ``'s`` goes, and has no number. A word of several parts is itself a term
+    at its first part's position, over as many positions as it has parts (``span``), and so are runs of at least two of its parts that are all numbers, or all
+    not, written as one (``irc-162-163``: irc, 162, 163, irc-162-163, 162163). Null texts have no terms."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"([\p{{L}}\p{{N}}]+(?:{JOINING}[\p{{L}}\p{{N}}]+)*)"), 1)
+    bare = F.transform(words, lambda w: F.regexp_replace(w, "['’]s$", ""))
+    parts_of = lambda w: F.regexp_extract_all(w, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    placed = F.flatten(F.transform(bare, lambda w: F.transform(parts_of(w), lambda p, j: F.struct(p.alias("part"), j.alias("j"), w.alias("word")))))
+    rows = rows.select(*key, F.posexplode(placed).alias("pos", "_p")).select(*key, "pos", "_p.*").withColumn("_parts", parts_of(F.col("word")))
+    many, number = F.size("_parts") > 1, lambda p: p.rlike(r"^\p{N}+$")
+    ahead = F.slice("_parts", F.col("j") + 1, F.size("_parts"))
+    ends = F.array_position(F.transform(ahead, lambda p: number(p) == number(F.col("part"))), F.lit(False)).cast("int")
+    run = F.when(ends > 0, ends - 1).otherwise(F.size(ahead))
+    begins = (F.col("j") == 0) | (number(F.element_at("_parts", F.greatest(F.col("j"), F.lit(1)))) != number(F.col("part")))
+    own = F.struct(F.lit(1).alias("span"), F.col("part").alias("term"))
+    whole = F.when(many & (F.col("j") == 0), F.struct(F.size("_parts").alias("span"), F.col("word").alias("term")))
+    joined = F.when(many & begins & (run > 1), F.struct(run.alias("span"), F.array_join(F.slice(ahead, F.lit(1), run), "").alias("term")))
+    t = rows.select(*key, "pos", F.explode(F.array_compact(F.array(own, whole, joined))).alias("_t")).select(*key, "pos", "_t.*")
+    if stopwords:
+        t = t.where(~F.col("term").isin(*stopwords))
+    return t if stem is None else t.withColumn("term", stem(F.col("term")))
+
+
 def build_index(rows: DataFrame, key: str, text: str = "text", stopwords: tuple[str, ...] = INDEX_STOPWORDS, stem: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings (term, key, tf, len), document frequencies (term, df) and one row of totals (n, avg_len) of rows with unique keys.
 

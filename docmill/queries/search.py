@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docmill.registry import query
 from docmill.functions import patterns as pt
+from docmill.functions.stemming import english_stem
 from docmill.operators import dedup, fusion
 from docmill.operators import search as se
 from docmill.operators import stored_index as si
@@ -69,6 +70,24 @@ def _(spark, sf):
     return se.analyze(keyed_chunks(spark, sf), ["ck"]).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("ck").alias("chunks"))
 
 
+@query("r1_word_graph", rf"""WITH w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:[-_.''’][\p{{L}}\p{{N}}]+)*') AS ws FROM documents)),
+b AS (SELECT doc_id, i, regexp_replace(word, '[''’]s$', '') AS word FROM w), l AS (SELECT *, regexp_extract_all(word, '[\p{{L}}\p{{N}}]+') AS ps FROM b), p AS (SELECT doc_id, i, word, unnest(ps) AS part, unnest(range(len(ps))) AS j, len(ps) AS n FROM l),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS pos, regexp_full_match(part, '\p{{N}}+') AS num FROM p), h AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, i, num ORDER BY j) AS island FROM g),
+t AS (SELECT doc_id, pos, 1 AS span, part AS term FROM g UNION ALL SELECT doc_id, pos, n, word FROM g WHERE n > 1 AND j = 0
+UNION ALL SELECT doc_id, min(pos), count(*), string_agg(part, '' ORDER BY j) FROM h GROUP BY doc_id, i, num, island HAVING count(*) > 1)
+SELECT term, span::INT AS span, count(*) AS n, sum(pos)::BIGINT AS places FROM t WHERE term NOT IN ({_STOP}) GROUP BY term, span""")
+def _(spark, sf):
+    """How often and where each reading of a word stands in the documents."""
+    return se.word_graph(table(spark, sf, "documents"), ["doc_id"]).groupBy("term", "span").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+
+
+@query("r1_english_stems")
+def _(spark, sf):
+    """Terms of English documents by stem: how often it stands, and in how many forms."""
+    t = se.word_graph(table(spark, sf, "documents").where("lang = 'en'"), ["doc_id"]).withColumn("stem", english_stem(F.col("term")))
+    return t.groupBy("stem", "term").agg(F.count("*").alias("n")).groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
+
+
 @query("r1_analyze_variants", f"WITH {INDEX_SQL}, {_field_sql('x_', 'text', False)}, s AS (SELECT CASE WHEN term LIKE '%ies' AND NOT regexp_matches(term, '[ea]ies$') THEN left(term, length(term) - 3) || 'y' WHEN term LIKE '%es' AND NOT regexp_matches(term, '[aeo]es$') THEN left(term, length(term) - 1) WHEN term LIKE '%s' AND NOT regexp_matches(term, '[us]s$') THEN left(term, length(term) - 1) ELSE term END AS term FROM tok) SELECT 'stemmed' AS field, term, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'exact', term, count(*) FROM x_tok GROUP BY ALL")
 def _(spark, sf):
     """The analysed form with a stemmer, and the exact form without stop list and stemmer."""
