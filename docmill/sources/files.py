@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
+import io
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +13,9 @@ from pyspark.sql import functions as F
 from docmill import schemas
 from docmill.functions import text as fx
 from docmill.operators.checks import file_status
+from docmill.sources.stored import shipped
+
+shipped(__name__)
 
 
 def scan_files(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
@@ -110,6 +116,62 @@ def read_golden_csv(spark: SparkSession, path: str, encoding: str = "utf-8", del
     return canonical_columns(rows).withColumn("row_number", F.monotonically_increasing_id() + 2)
 
 
+def _decoded(content: bytes) -> tuple[str, str]:
+    """Text and encoding: by its mark, as UTF-8 where it is that, else Latin-1 (which any bytes are, so nothing comes after it)."""
+    if content[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+        return content.decode("utf-16"), "utf-16"
+    try:
+        return content.decode("utf-8-sig"), "utf-8-sig"
+    except UnicodeDecodeError:
+        return content.decode("latin-1"), "latin-1"
+
+
+def _question_rows(content: bytes, names: dict[str, str], delimiters: str) -> tuple[str, list[dict]]:
+    text, encoding = _decoded(content)
+    head = text.partition("\n")[0]
+    best = max(delimiters, key=lambda d: (head.count(d), -delimiters.index(d)))
+    csv.field_size_limit(2**31 - 1)  # whole fields
+    lines = csv.reader(io.StringIO(text, newline=""), delimiter=best)
+    header = [names.get(h.strip().lower()) for h in next(lines, [])]
+    if not any(header):
+        raise ValueError("no header row")
+    rows = []
+    for cells in lines:
+        row = {}
+        for name, cell in zip(header, cells, strict=False):
+            if name is not None:
+                row.setdefault(name, cell or None)
+        rows.append(row)
+    return encoding, rows
+
+
+def read_golden_files(spark: SparkSession, root: str, delimiters: str = ",;\t|") -> DataFrame:
+    """Question rows of all CSV files below ``root``: path, encoding, error, row_number (from 2) and the canonical columns as strings.
+
+    Encoding, delimiter and header are each file's own, and files are read by executors, each in a task's batch. A file that can't be read
+    (a broken encoding, no header, no bytes) is one row with an error; a file with only a header has none."""
+    import pyarrow as pa
+
+    from docmill.functions.patterns import COLUMN_ALIASES
+
+    names = {alias: name for name, aliases in COLUMN_ALIASES.items() for alias in aliases}
+    columns = list(COLUMN_ALIASES)
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    encoding, rows = _question_rows(content, names, delimiters)
+                    out = [{"path": path, "encoding": encoding, "row_number": i, **row} for i, row in enumerate(rows, 2)]
+                except (ValueError, csv.Error) as e:  # the file fails, not the job
+                    out = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("path", pa.string()), ("encoding", pa.string()), ("error", pa.string()), ("row_number", pa.int64()), *[(c, pa.string()) for c in columns]])
+    told = "path string, encoding string, error string, row_number long, " + ", ".join(f"{c} string" for c in columns)
+    return scan_files(spark, root, "csv").select("path", "content").mapInArrow(run, told)
+
+
 def write_golden(rows: DataFrame, path: str) -> None:
     """Rows that are not rejected, 13 fixed columns, as CSV; the validation report and statistics as JSON."""
     from docmill.operators.aggregate import golden_statistics, validation_report

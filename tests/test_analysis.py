@@ -64,4 +64,4 @@ def test_parts_stand_where_analyze_puts_them(spark):
     graph = search.word_graph(df, ["k"], stem=english_stem)
     parts = sorted((r.pos, r.term) for r in graph.where("span = 1").collect())
     assert parts == sorted((r.pos, r.term) for r in search.analyze(df, ["k"], stem=english_stem).collect())
-    assert (5, "poni") in parts and {r.term for r in graph.where("span > 1").collect()} == {"foo_bar", "foobar", "irc-162"}
+    assert (6, "poni") in parts and {r.term for r in graph.where("span > 1").collect()} == {"foo_bar", "foobar", "irc-162"}

@@ -73,3 +73,25 @@ def test_upsert_twice(spark):
     new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
     once = upsert(old, new, ["k"])
     assert sorted(map(tuple, upsert(once, new, ["k"]).collect())) == sorted(map(tuple, once.collect())) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_golden_files_in_any_encoding(spark, tmp_path):
+    """Each file by its own encoding and delimiter; files that can't be read are rows with an error."""
+    text = "Question;Ground_Truth;Doc;odd\n\"Wo ist die Tür;\nhier?\";é;a.pdf;x\nb;;;\n"
+    for name, encoding in (("a.csv", "utf-8"), ("b.csv", "utf-8-sig"), ("c.csv", "utf-16"), ("sub/d.CSV", "latin-1")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode(encoding))
+    (tmp_path / "long.csv").write_text("query,answer\n" + "q" * 300_000 + ",a\n")
+    (tmp_path / "broken.csv").write_bytes("query,answer\n".encode("utf-16") + b"x")
+    (tmp_path / "nothing.csv").write_bytes(b"")
+    (tmp_path / "unknown.csv").write_text("foo,bar\n1,2\n")
+    (tmp_path / "head.csv").write_text("query,answer\n")
+    (tmp_path / "no.txt").write_text("query\nx\n")
+    rows = files.read_golden_files(spark, str(tmp_path)).collect()
+    of = lambda name: sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.row_number or 0)
+    for name, encoding in (("a.csv", "utf-8-sig"), ("b.csv", "utf-8-sig"), ("c.csv", "utf-16"), ("d.CSV", "latin-1")):
+        got = [(r.encoding, r.error, r.row_number, r.query, r.expected_answer, r.source_document) for r in of(f"/{name}")]
+        assert got == [(encoding, None, 2, "Wo ist die Tür;\nhier?", "é", "a.pdf"), (encoding, None, 3, "b", None, None)]
+    assert [len(r.query) for r in of("long.csv")] == [300_000] and of("head.csv") == [] and of("no.txt") == []
+    assert [len(of(n)) for n in ("broken.csv", "nothing.csv", "unknown.csv")] == [1, 1, 1]
+    assert "Unicode" in of("broken.csv")[0].error and all("no header" in of(n)[0].error for n in ("nothing.csv", "unknown.csv"))
