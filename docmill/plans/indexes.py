@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.operators.stored_index import FIELDS, Index, add_field, write_index
+from docmill.operators.stored_index import Index, write_index
 from docmill.operators.vector_index import VectorIndex, write_vector_index
 from docmill.plans.views import chunks, table
-from docmill.sources.stored import exists, temporary_folder
+from docmill.sources.stored import temporary_folder
 
 _WRITTEN: dict[tuple, Index] = {}
 _VECTORS: dict[tuple, VectorIndex | None] = {}
@@ -18,16 +18,12 @@ def keyed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).withColumn("ck", F.concat("chunk_id", F.lit("#"), F.col("document_id").cast("string")))
 
 
-def chunk_index(spark: SparkSession, sf: str, *fields: str) -> Index:
-    """The index with these fields, each of which is written when it is first asked for. Other files of ``documents`` are another index."""
+def chunk_index(spark: SparkSession, sf: str) -> Index:
+    """The chunks with the words of their fields, without postings: all queries scan. Other files of ``documents`` are another index."""
     known = (spark.sparkContext.applicationId, *sorted(table(spark, sf, "documents").inputFiles()))
     if known not in _WRITTEN:
-        _WRITTEN[known] = write_index(keyed_chunks(spark, sf), "ck", temporary_folder(spark), fields={})
-    index = _WRITTEN[known]
-    for name in fields or FIELDS:
-        if not exists(spark, f"{index.path}/{name}"):
-            add_field(index, name)
-    return index
+        _WRITTEN[known] = write_index(keyed_chunks(spark, sf), "ck", temporary_folder(spark), postings=False)
+    return _WRITTEN[known]
 
 
 def vector_index(spark: SparkSession, sf: str) -> VectorIndex | None:

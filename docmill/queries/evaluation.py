@@ -93,7 +93,7 @@ def golden_questions(spark, sf):
 
 def golden_hits(spark, sf):
     rows = keyed_chunks(spark, sf)
-    return si.search(chunk_index(spark, sf, "body"), questions(spark, sf)).join(rows.select("ck", "document_name", "page_number", "text"), "ck")
+    return si.search(chunk_index(spark, sf), questions(spark, sf)).join(rows.select("ck", "document_name", "page_number", "text"), "ck")
 
 
 @query("e1_retrieval_accuracy", f"WITH {EVAL_SQL} SELECT qid, retrieval_accuracy FROM ev")
@@ -164,7 +164,7 @@ SELECT qid, count(DISTINCT doc_id) AS relevant, (SELECT count(DISTINCT document_
 def _(spark, sf):
     """Per passage that some document holds: documents that hold it, how many of them the first five hits name, MRR."""
     rows, asked = keyed_chunks(spark, sf), questions(spark, sf)
-    hits = si.search(chunk_index(spark, sf, "body"), asked).where("rank <= 5").join(rows.select("ck", "document_id"), "ck").select("qid", "document_id", "rank")
+    hits = si.search(chunk_index(spark, sf), asked).where("rank <= 5").join(rows.select("ck", "document_id"), "ck").select("qid", "document_id", "rank")
     first = hits.groupBy("qid", "document_id").agg(F.min("rank").alias("rank"))
     j = truth(spark, sf).join(first, ["qid", "document_id"], "left")
     return j.groupBy("qid").agg(F.countDistinct("document_id").alias("relevant"), F.countDistinct(F.when(F.col("rank").isNotNull(), F.col("document_id"))).alias("found"), F.coalesce(F.round(1.0 / F.min("rank"), 6), F.lit(0.0)).alias("mrr"))
