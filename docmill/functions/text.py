@@ -148,6 +148,15 @@ def slice_and_normalize(vector: Column, width: int) -> Column:
     return F.transform(head, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
+def round_half_away(x: Column, digits: int) -> Column:
+    """A double times a power of ten, rounded to whole numbers with halves away from 0, and divided by it, as SQL engines do on doubles and Spark, which rounds
+    the decimal text, does not. What is negative stays so: the small ones become -0.0."""
+    scaled = F.abs(x) * F.lit(10.0**digits)
+    low = F.floor(scaled).cast("double")
+    whole = F.when(scaled - low >= 0.5, low + F.lit(1.0)).otherwise(low) / F.lit(10.0**digits)
+    return F.when(x < 0, F.negative(whole)).otherwise(F.when(x.isNotNull() & ~F.isnan(x), whole).otherwise(x))
+
+
 def whitespace_fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 

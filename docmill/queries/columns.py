@@ -81,7 +81,7 @@ def _(spark, sf):
 @query("f15_slice_and_normalize", "SELECT vec_id, list_transform(v[1:32], lambda x: round(CASE WHEN n > 0 THEN x / n ELSE x END, 6)) AS unit FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v[1:32], lambda y: y * y))) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.transform(fx.slice_and_normalize(F.col("embedding"), 32), lambda x: F.round(x, 6)).alias("unit"))
+    return e.select("vec_id", F.transform(fx.slice_and_normalize(F.col("embedding"), 32), lambda x: fx.round_half_away(x, 6)).alias("unit"))
 
 
 @query("f18_whitespace_fold", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS folded FROM documents")
