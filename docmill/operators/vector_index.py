@@ -18,6 +18,8 @@ shipped(__name__)
 WIDTH = 2
 #: Rows at most that the cells and code books are learnt from.
 SAMPLE = 20_000
+#: Codes that are scored at once, and packs of them in a task.
+PACK, PACKS = 2048, 16
 
 
 @dataclass(frozen=True)
@@ -170,7 +172,7 @@ def _shortlists(cells: np.ndarray, books: np.ndarray, probes: int, shortlist: in
     return run
 
 
-def _packs(rows: DataFrame, key: str, size: int = 2048) -> DataFrame:
+def _packs(rows: DataFrame, key: str, size: int = PACK) -> DataFrame:
     """cell, ids, codes: rows of a batch by their cell, codes one after the other."""
 
     def run(batches):
@@ -215,7 +217,10 @@ def shortlists(index: VectorIndex, queries: DataFrame, size: int, where: Column
     rows = (rows if where is None else rows.where(where)).join(F.broadcast(cells), "cell", "left_semi")
     blocks = max(1, -(-queries.count() // block))
     q = _packed(queries, "qid", F.pmod(F.xxhash64("qid"), F.lit(blocks)), block).select(F.col("ids").alias("qids"), F.col("v").alias("qv"))
-    pairs = _packs(rows, index.key).crossJoin(F.broadcast(q) if blocks == 1 else q)
+    # a joined row has a whole block of queries, and a task's rows go to Python in one batch: few packs a task, whatever the table's size
+    packs = _packs(rows, index.key)
+    packs = packs.repartition(max(1, -(-rows.count() // (PACK * PACKS))), F.xxhash64("ids"))
+    pairs = packs.crossJoin(F.broadcast(q) if blocks == 1 else q)
     run = _shortlists(index.cells, index.books, probes or index.probes, size)
     return top_k(pairs.mapInArrow(run, "qid long, cell int, vec_id long, score double"), size, tie="vec_id")
 
