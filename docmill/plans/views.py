@@ -30,9 +30,9 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("document_id"), file_name(F.col("doc_id")).alias("document_name"), F.col("lang").alias("category"), (F.col("_i") + 1).alias("page_number"), F.col("_slice").alias("text"), F.col("source").alias("file_path"))
 
 
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """document_id, document_name, category, page_number, chunk_index, chunk_id, text: three chunks a page."""
-    d = slices(table(spark, sf, "documents"), CHUNK)
+def chunks(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    """document_id, document_name, category, page_number, chunk_index, chunk_id, text: three chunks a page; of all documents, or of ``docs``."""
+    d = slices(table(spark, sf, "documents") if docs is None else docs, CHUNK)
     page, index = F.floor(F.col("_i") / 3).cast("int") + 1, F.col("_i") % 3
     return d.select(F.col("doc_id").alias("document_id"), file_name(F.col("doc_id")).alias("document_name"), F.col("lang").alias("category"), page.alias("page_number"), index.alias("chunk_index"), F.format_string("%s_PAGE%03d_CHUNK%03d", F.col("doc_id").cast("string"), page, index).alias("chunk_id"), F.col("_slice").alias("text"))
 

@@ -11,10 +11,10 @@ from docmill.operators import evaluate as ev
 from docmill.operators import golden as go
 from docmill.operators import stored_index as si
 from docmill.operators.joins import passages_in
-from docmill.plans.indexes import chunk_index
+from docmill.plans.indexes import chunk_rows, with_chunks
 from docmill.plans.views import PAGE, file_name, table
 from docmill.sources.stored import stored
-from docmill.queries.search import _STOP, INDEX_SQL, POSTINGS_SQL, SCORE_SQL, keyed_chunks, questions
+from docmill.queries.search import _STOP, INDEX_SQL, POSTINGS_SQL, SCORE_SQL, questions
 
 RAW_SQL = """raw AS (SELECT (event_id + 2)::INT AS row_number, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE event_type || (user_id % 40) || '?' END AS query, CASE WHEN event_id % 7 = 0 OR event_id % 77 = 0 THEN NULL ELSE 'answer ' || event_id END AS expected_answer, CASE WHEN event_id % 77 = 0 THEN '' ELSE 'f' || user_id || '.pdf' END AS source_document, CASE WHEN event_id % 77 = 0 THEN NULL ELSE (event_id % 5)::VARCHAR || '.0' END AS page_number, CASE WHEN event_id % 77 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'Other' ELSE 'Tax' END AS category FROM events)"""
 GOLDEN_SQL = RAW_SQL + """, cl AS (SELECT row_number, nullif(trim(query), '') AS query, nullif(trim(expected_answer), '') AS expected_answer, nullif(trim(source_document), '') AS source_document, CASE WHEN try_cast(page_number AS DOUBLE)::INT > 0 THEN try_cast(page_number AS DOUBLE)::INT END AS page, category, page_number IS NULL AND nullif(trim(query), '') IS NULL AND nullif(trim(expected_answer), '') IS NULL AND nullif(trim(source_document), '') IS NULL AND category IS NULL AS empty FROM raw),
@@ -92,8 +92,7 @@ def golden_questions(spark, sf):
 
 
 def golden_hits(spark, sf):
-    rows = keyed_chunks(spark, sf)
-    return si.search(chunk_index(spark, sf), questions(spark, sf)).join(rows.select("ck", "document_name", "page_number", "text"), "ck")
+    return with_chunks(spark, sf, si.search(chunk_rows(spark, sf), questions(spark, sf)), "document_name", "page_number", "text")
 
 
 @query("e1_retrieval_accuracy", f"WITH {EVAL_SQL} SELECT qid, retrieval_accuracy FROM ev")
@@ -163,8 +162,7 @@ t AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contain
 SELECT qid, count(DISTINCT doc_id) AS relevant, (SELECT count(DISTINCT document_id) FROM h WHERE h.qid = t.qid AND EXISTS (SELECT 1 FROM t x WHERE x.qid = t.qid AND x.doc_id = h.document_id)) AS found, coalesce(round(1.0::DOUBLE / (SELECT min(rank) FROM h WHERE h.qid = t.qid AND EXISTS (SELECT 1 FROM t x WHERE x.qid = t.qid AND x.doc_id = h.document_id)), 6), 0) AS mrr FROM t GROUP BY qid""")
 def _(spark, sf):
     """Per passage that some document holds: documents that hold it, how many of them the first five hits name, MRR."""
-    rows, asked = keyed_chunks(spark, sf), questions(spark, sf)
-    hits = si.search(chunk_index(spark, sf), asked).where("rank <= 5").join(rows.select("ck", "document_id"), "ck").select("qid", "document_id", "rank")
+    hits = with_chunks(spark, sf, si.search(chunk_rows(spark, sf), questions(spark, sf)).where("rank <= 5"), "document_id").select("qid", "document_id", "rank")
     first = hits.groupBy("qid", "document_id").agg(F.min("rank").alias("rank"))
     j = truth(spark, sf).join(first, ["qid", "document_id"], "left")
     return j.groupBy("qid").agg(F.countDistinct("document_id").alias("relevant"), F.countDistinct(F.when(F.col("rank").isNotNull(), F.col("document_id"))).alias("found"), F.coalesce(F.round(1.0 / F.min("rank"), 6), F.lit(0.0)).alias("mrr"))
