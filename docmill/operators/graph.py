@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import node_id, stem, summary_text
+from docmill.sources.stored import stored
+
+#: Pairs of a seed and an edge that a task of a walk makes, about.
+PAIRS = 1_000_000
 
 
 def build_nodes(chunks: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -39,21 +43,35 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbors(seeds: DataFrame, edges: DataFrame, depth: int = 1, edge_types: list[str] | None = None) -> DataFrame:
     """seed, node, level, via (the smallest edge that first reached it): an undirected walk, ``depth`` 4 at most.
 
-    A join of the frontier per level against edges in both directions, without the nodes that are reached already."""
+    A join of the frontier per level against edges in both directions, without the nodes that are reached already. Small tables can make many pairs where
+    a node has many edges and many seeds reach it, so tasks are dealt by pairs, not by bytes: a node's edges are split over as many as its pairs need."""
     if not 1 <= depth <= 4:
         raise ValueError("depth is 1 to 4")
     e = edges if edge_types is None else edges.where(F.col("edge_type").isin(*edge_types))
     label = F.concat_ws("→", F.col("source_id").cast("string"), F.col("target_id").cast("string"), "edge_type")
-    both = e.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), label.alias("via")).unionByName(e.select(F.col("target_id").alias("u"), F.col("source_id").alias("v"), label.alias("via")))
+    e = stored(e.select("source_id", "target_id", label.alias("via")))
+    both = e.toDF("u", "v", "via").unionByName(e.toDF("v", "u", "via"))
+    degrees = stored(both.groupBy("u").agg(F.count("*").alias("n")))
     reached = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("via"))
     frontier = reached
     for level in range(1, depth + 1):
-        step = frontier.select("seed", F.col("node").alias("u")).join(both, "u").groupBy("seed", F.col("v").alias("node")).agg(F.min("via").alias("via"))
+        step = _stepped(frontier.select("seed", F.col("node").alias("u")), both, degrees).groupBy("seed", F.col("v").alias("node")).agg(F.min("via").alias("via"))
         frontier = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("level"), "via")
+        frontier = stored(frontier) if level < depth else frontier
         reached = reached.unionByName(frontier)
     return reached.where("level > 0")
 
 
+def _stepped(frontier: DataFrame, both: DataFrame, degrees: DataFrame) -> DataFrame:
+    """seed, v, via: the frontier (seed, u) joined with edges (u, v, via), about ``PAIRS`` a task."""
+    at = stored(frontier.groupBy("u").agg(F.count("*").alias("f")).join(degrees, "u").select("u", "n", (F.col("f") * F.col("n")).alias("pairs")))
+    tasks = max(1, min(20_000, -(-(at.agg(F.sum("pairs")).first()[0] or 0) // PAIRS)))
+    busy = at.where(F.col("pairs") > PAIRS).select("u", F.least("n", F.ceil(F.col("pairs") / PAIRS)).cast("int").alias("parts"))  # fewer than tasks
+    split = both.join(F.broadcast(busy), "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), "parts").cast("int"), F.lit(0))).drop("parts")
+    asked = frontier.join(F.broadcast(busy), "u", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return asked.repartition(tasks, "u", "part").join(split.repartition(tasks, "u", "part"), ["u", "part"]).select("seed", "v", "via")
+
+
 def related(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int, edge_types: list[str], node_types: list[str]) -> DataFrame:
     """Nodes of given types that a walk over given edge types reaches: referenced acts, judgments, publications."""
     keep = nodes.where(F.col("node_type").isin(*node_types)).select(F.col("node_id").alias("node"), "node_type")
