@@ -87,9 +87,9 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
 
 
 def _first_two(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Of each key the first row by ``order`` and the first one of another document_id."""
-    rows = rows.select(key, F.struct(*order).alias("o"))
-    first = rows.groupBy(key).agg(F.min("o").alias("f"))
+    """Of each key the first row by ``order`` and the first one of another document_id. The rows are read twice, so they are stored."""
+    rows = stored(rows.select(key, F.struct(*order).alias("o")))
+    first = stored(rows.groupBy(key).agg(F.min("o").alias("f")))
     second = rows.join(first, key).where("o.document_id <> f.document_id").groupBy(key).agg(F.min("o").alias("f"))
     return first.unionByName(second).select(key, "f.*")
 
@@ -101,17 +101,22 @@ def resolve_references(found: DataFrame, documents: DataFrame) -> DataFrame:
     Distinct texts meet distinct stems by equi joins on substrings (:func:`contained`), at any size. Since only the
     source itself is ruled out, the first two documents of a stem, and then of a text, are all that can be a target."""
     fold = lambda c: F.regexp_replace(F.lower(c), "[ -]", "_")
-    texts = found.select("matched").distinct().withColumn("low", F.lower("matched")).withColumn("norm", fold("matched"))
+    texts = stored(found.select("matched").distinct().withColumn("low", F.lower("matched")).withColumn("norm", fold("matched")))
     docs = documents.where("document_id IS NOT NULL").select("document_id", "ord", F.lower("stem").alias("stem"))
-    docs = _first_two(docs.where("stem IS NOT NULL"), "stem", ["ord", "document_id"]).withColumn("norm_name", fold("stem"))
+    docs = stored(_first_two(docs.where("stem IS NOT NULL"), "stem", ["ord", "document_id"]).withColumn("norm_name", fold("stem")))
 
-    def pairs(text: str, name: str, own: DataFrame, number: int) -> DataFrame:
-        t, n = own.select(text), docs.select(name)
+    def pairs(text: str, name: str, own: DataFrame, of: DataFrame, number: int) -> DataFrame:
+        t, n = own.select(text), of.select(name)
         both = contained(t, n).select(F.col("needle").alias(text), F.col("hay").alias(name))
-        both = both.unionByName(contained(n, t).select(F.col("hay").alias(text), F.col("needle").alias(name))).distinct()
-        return own.join(both, text).join(docs, name).select("matched", F.lit(number).alias("pass"), "ord", "document_id")
-
-    cand = pairs("low", "stem", texts, 1).unionByName(pairs("norm", "norm_name", texts.where(F.length("norm") >= 4), 2))
+        both = both.unionByName(contained(n, t).where("needle <> hay").select(F.col("hay").alias(text), F.col("needle").alias(name)))
+        return own.join(both, text).join(of, name).select("matched", F.lit(number).alias("pass"), "ord", "document_id")
+
+    cand = pairs("low", "stem", texts, docs, 1)
+    # where folding changes neither text nor name, the second pass finds what the first one has found
+    long, changed = texts.where(F.length("norm") >= 4), docs.where("norm_name <> stem")
+    for own, of in ((long.where("norm <> low"), docs), (long.where("norm = low"), changed)):
+        if not own.isEmpty() and not of.isEmpty():
+            cand = cand.unionByName(pairs("norm", "norm_name", own, of, 2))
     cand = _first_two(cand, "matched", ["pass", "ord", "document_id"])
     first = F.min(F.struct("pass", "ord", "document_id"))
     j = found.select("source_id", "matched").distinct().join(cand, "matched").where("source_id <> document_id")

@@ -52,3 +52,12 @@ def test_references_beyond_a_million_documents(spark):
     found = spark.createDataFrame([(1, "tax"), (2, "understand")], "source_id long, matched string")
     got = {(r.source_id, r.matched): r.target_id for r in joins.resolve_references(found, docs).collect()}
     assert got == {(1, "tax"): 2_000_000, (2, "understand"): 2_000_001}
+
+
+def test_unfolded_texts_take_one_pass(spark, monkeypatch):
+    """Where folding changes no text and no name, strings meet once in each direction, not twice."""
+    calls, plain = [], joins.contained
+    monkeypatch.setattr(joins, "contained", lambda n, h: calls.append(1) or plain(n, h))
+    docs = [(1, 1, "taxation"), (2, 2, "under"), (3, 0, "tax")]
+    found = [(9, "tax"), (3, "taxations"), (9, "understand"), (9, "none")]
+    assert resolved(spark, found, docs) == brute(found, docs) and len(calls) == 2
