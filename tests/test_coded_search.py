@@ -42,3 +42,14 @@ def test_no_index_is_written_for_given_words(spark, sf_dir):
         assert QUERIES[name](spark, sf_dir).count()
     assert not indexes._WRITTEN
     indexes._WRITTEN.update(before)
+
+
+@pytest.mark.parametrize("name", ["entry_keyword_quality"])
+def test_evaluations_write_no_index(spark, sf_dir, monkeypatch, name):
+    def written(*_, **__):
+        raise AssertionError("an index is written")
+
+    monkeypatch.setattr(si, "write_index", written)
+    monkeypatch.setattr(indexes, "write_index", written)
+    monkeypatch.setattr(indexes, "_WRITTEN", {})
+    assert QUERIES[name](spark, sf_dir).count()
