@@ -44,7 +44,7 @@ def test_no_index_is_written_for_given_words(spark, sf_dir):
     indexes._WRITTEN.update(before)
 
 
-@pytest.mark.parametrize("name", ["entry_keyword_quality", "a16_answer_confidence"])
+@pytest.mark.parametrize("name", ["entry_keyword_quality", "a16_answer_confidence", "f16_build_context"])
 def test_evaluations_write_no_index(spark, sf_dir, monkeypatch, name):
     def written(*_, **__):
         raise AssertionError("an index is written")
