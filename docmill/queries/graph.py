@@ -23,11 +23,13 @@ l2 AS (SELECT l1.seed, v AS node, min(both_.via) AS via FROM l1 JOIN both_ ON u
 
 
 def raw_edges(spark, sf):
+    """Lines meet by their SHA-256: text moves only for a caller that reads ``pattern``."""
     d = table(spark, sf, "documents")
     lines = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.length("line") >= 30)
-    firsts = lines.groupBy("line").agg(F.min("doc_id").alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    j = lines.join(firsts, "line").where("doc_id <> f")
-    return j.select(F.col("doc_id").alias("source_id"), F.col("f").alias("target_id"), F.when(F.length("line") >= 60, "CITES").otherwise("REFERS_TO").alias("edge_type"), F.least(F.lit(0.5) + F.floor(F.length("line") / 8) * F.lit(0.02), F.lit(0.95)).alias("confidence"), F.col("line").alias("pattern"))
+    lines = lines.select("doc_id", F.unhex(F.sha2("line", 256)).alias("digest"), F.length("line").alias("size"), "line")
+    firsts = lines.groupBy("digest").agg(F.min("doc_id").alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
+    j = lines.join(firsts, "digest").where("doc_id <> f")
+    return j.select(F.col("doc_id").alias("source_id"), F.col("f").alias("target_id"), F.when(F.col("size") >= 60, "CITES").otherwise("REFERS_TO").alias("edge_type"), F.least(F.lit(0.5) + F.floor(F.col("size") / 8) * F.lit(0.02), F.lit(0.95)).alias("confidence"), F.col("line").alias("pattern"))
 
 
 def edges(spark, sf):
