@@ -88,6 +88,8 @@ def _dealt(frontier: DataFrame, both: DataFrame, degrees: DataFrame, reached: Da
     rows = both.join(at.select("u"), "u", "left_semi").unionByName(frontier.where("seed IS NOT NULL AND u IS NOT NULL"), allowMissingColumns=True)
     if reached is not None:
         rows = rows.unionByName(reached.where("seed IS NOT NULL AND v IS NOT NULL"), allowMissingColumns=True)
+    copies = (size.asked or 0) * across + (size.links or 0) * down
+    rows = rows.repartition(1 + copies // PAIRS, "seed", "u", "v")  # a stored frontier may be one file; its copies are made by many tasks
     row, column = (F.pmod(F.xxhash64(F.lit(salt), c), F.lit(n)).cast("int") for salt, c, n in (("seed", "seed", down), ("v", "v", across)))
     every = lambda n, cell: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell)
     cells = F.when(F.col("seed").isNull(), every(down, lambda i: i * across + column)).when(F.col("u").isNull(), F.array(row * across + column)).otherwise(every(across, lambda i: row * across + i))
